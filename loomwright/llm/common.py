@@ -42,15 +42,22 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def salted_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], salt: Column, n_salts: int, out: str) -> DataFrame:
+def salted_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], salt: Column, n_salts: int, out: str, beside: DataFrame | None = None) -> DataFrame:
     """Adds ``out``: each row's gapless rank from 0 among its ``keys``, in the order of (salt bucket, order).
 
     A key may hold any share of the rows: only the counts of its ``n_salts`` buckets meet in one place, the rows of a
-    bucket are ranked on their own and moved up by the rows of the buckets before it."""
+    bucket are ranked on their own and moved up by the rows of the buckets before it. ``beside`` has a row for each key at
+    most; its other columns come along."""
     df = df.withColumn("_salt", F.pmod(salt, F.lit(n_salts)).cast("int"))
     before = Window.partitionBy(*keys).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = df.groupBy(*keys, "_salt").agg(F.count("*").alias("_n"))
     offsets = offsets.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_salt").alias("_s"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    if beside is not None:
+        beside = beside.select(*[F.col(k).alias(f"_b{i}") for i, k in enumerate(keys)], *[c for c in beside.columns if c not in keys])
+        told = F.lit(True)
+        for i in range(len(keys)):
+            told = told & F.col(f"_k{i}").eqNullSafe(F.col(f"_b{i}"))
+        offsets = offsets.join(beside, told).drop(*[f"_b{i}" for i in range(len(keys))])
     same = F.col("_salt") == F.col("_s")
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))

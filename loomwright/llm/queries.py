@@ -6,16 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .jaccard import op2_bayesian_jaccard
+from .mixing import op8_subset_sum_mix
 from .packing import op1_best_fit_packing
 from .quality import OP4_SQL, op4_host_rules
+from .repeats import op6_repeated_passages
 from .sharding import op3_sampled_splitters
 from .token_files import op5_token_files
+from .topk import OP9_SQL, op9_histogram_topk
+from .toxicity import op10_ftrl_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_bayesian_jaccard": op2_bayesian_jaccard,
     "op3_sampled_splitters": op3_sampled_splitters,
     "op4_host_rules": op4_host_rules,
     "op5_token_files": op5_token_files,
+    "op6_repeated_passages": op6_repeated_passages,
+    "op8_subset_sum_mix": op8_subset_sum_mix,
+    "op9_histogram_topk": op9_histogram_topk,
+    "op10_ftrl_toxicity": op10_ftrl_toxicity,
 }
 
-SQL: dict[str, str] = {"op4_host_rules": OP4_SQL}
+SQL: dict[str, str] = {"op4_host_rules": OP4_SQL, "op9_histogram_topk": OP9_SQL}
