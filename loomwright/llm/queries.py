@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .jaccard import op2_bayesian_jaccard
 from .mixing import op8_subset_sum_mix
 from .packing import op1_best_fit_packing
+from .pages import op7_tree_model_text
 from .quality import OP4_SQL, op4_host_rules
 from .repeats import op6_repeated_passages
 from .sharding import op3_sampled_splitters
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_host_rules": op4_host_rules,
     "op5_token_files": op5_token_files,
     "op6_repeated_passages": op6_repeated_passages,
+    "op7_tree_model_text": op7_tree_model_text,
     "op8_subset_sum_mix": op8_subset_sum_mix,
     "op9_histogram_topk": op9_histogram_topk,
     "op10_ftrl_toxicity": op10_ftrl_toxicity,
