@@ -1 +1 @@
-
+"""Streaming imports of arriving files."""
