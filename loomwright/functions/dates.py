@@ -1,14 +1,24 @@
-"""Dates in many spellings, to ISO text in UTC with whole seconds."""
+"""Dates in many spellings, to ISO text in UTC with whole seconds.
+
+A cell is taken apart by one pattern, put together as year-month-day hour:minute:second, and parsed once."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Spellings of the time of day, and of dates that need no order.
-TIMES = ["", " H:mm", " H:mm:ss", " h:mma", " h:mm a", " H'h'mm"]
-PLAIN = ["yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]XXX", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyy/MM/dd", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy"]
 ISO = "yyyy-MM-dd'T'HH:mm:ss'Z'"
+#: Two-digit years from here on are of the last century.
+PIVOT = 69
+# The months.
+MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+
+TIME = r"(?:[ ,T]+(?:at )?(\d{1,2})(?:[:hH](\d{1,2}))?(?::(\d{1,2})(?:\.\d+)?)? ?(?:([AaPp])\.?[Mm]\.?)?)?$"
+SLASHED = r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4}|\d{2})" + TIME
+YEAR_FIRST = r"^(\d{4})[/-](\d{1,2})[/-](\d{1,2})" + TIME
+DAY_NAMED = r"^(?:[A-Za-z]{3,9},? )?(\d{1,2})(?:st|nd|rd|th)? ([A-Za-z]{3,9})\.?,? (\d{4})" + TIME
+MONTH_NAMED = r"^(?:[A-Za-z]{3,9},? )?([A-Za-z]{3,9})\.? (\d{1,2})(?:st|nd|rd|th)?,? (\d{4})" + TIME
+ZONED = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)? ?(Z|[+-]\d{2}:?\d{2})$"
 
 
 def java_format(strftime: str) -> str:
@@ -18,26 +28,36 @@ def java_format(strftime: str) -> str:
     return strftime
 
 
-def ordered(dayfirst: bool) -> list[str]:
-    day = "d{s}M{s}" if dayfirst else "M{s}d{s}"
-    return [day.format(s=s) + y + t for s in "/-" for y in ("yyyy", "yy") for t in TIMES]
-
-
-def tried(c: Column, formats: list[str]) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in formats])
+def month_number(name: Column) -> Column:
+    return F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(name, 1, 3)))
 
 
 def timestamp(c: Column, source_format: str | None = None, dayfirst: bool = False) -> Column:
     """The time that a cell spells, or null. Dates with slashes or dashes are read day first if the first number is above 12,
-    month first if the second is, else by ``dayfirst``, else the other way."""
-    text = F.regexp_replace(F.trim(c.cast("string")), r"(?i)\s*([ap])\.?m\.?$", "$1m")
-    text = F.regexp_replace(F.regexp_replace(text, "am$", "AM"), "pm$", "PM")
-    slashed = text.rlike(r"^\d{1,2}[/-]\d{1,2}[/-]\d{2,4}")
-    first, second = (F.regexp_extract(text, r"^(\d{1,2})[/-](\d{1,2})", g).try_cast("int") for g in (1, 2))
-    day = F.when((first > 12) & (second <= 31), True).when((second > 12) & (first <= 12), False).otherwise(dayfirst)
-    by_day, by_month = tried(text, ordered(True)), tried(text, ordered(False))
-    numeric = F.when(day, F.coalesce(by_day, by_month)).otherwise(F.coalesce(by_month, by_day))
-    found = F.when(slashed, numeric).otherwise(tried(text, PLAIN))
+    month first if the second is, else by ``dayfirst``."""
+    text = F.trim(c.cast("string"))
+    # the shapes have as many groups each: one pattern, whichever of them fits
+    shapes = [SLASHED, YEAR_FIRST, DAY_NAMED, MONTH_NAMED]
+    shape = F.lit(None).cast("int")
+    for i, pattern in reversed(list(enumerate(shapes))):
+        shape = F.when(text.rlike(pattern), i).otherwise(shape)
+    chosen = F.get(F.array(*map(F.lit, shapes)), shape)
+    parts = F.struct(shape.alias("shape"), *[F.call_function("regexp_extract", text, chosen, F.lit(g)).alias(f"p{g}") for g in range(1, 8)])
+    return F.get(F.transform(F.array(parts), lambda p: together(text, p, dayfirst, source_format)), F.lit(0))
+
+
+def together(text: Column, p: Column, dayfirst: bool, source_format: str | None) -> Column:
+    a, b, d = (p[f"p{g}"].try_cast("int") for g in (1, 2, 3))
+    by_day = F.when((a > 12) & (b <= 12), True).when((b > 12) & (a <= 12), False).otherwise(dayfirst)
+    short = F.when(F.length(p["p3"]) == 2, F.when(d >= PIVOT, d + 1900).otherwise(d + 2000)).otherwise(d)
+    year = F.when(p["shape"] == 1, a).otherwise(short)
+    month = F.when(p["shape"] == 0, F.when(by_day, b).otherwise(a)).when(p["shape"] == 1, b).when(p["shape"] == 2, month_number(p["p2"])).otherwise(month_number(p["p1"]))
+    day = F.when(p["shape"] == 0, F.when(by_day, a).otherwise(b)).when(p["shape"] == 1, d).when(p["shape"] == 2, a).otherwise(b)
+    hour = F.coalesce(p["p4"].try_cast("int"), F.lit(0))
+    half = F.lower(p["p7"])
+    hour = F.when(half == "p", hour % 12 + 12).when(half == "a", hour % 12).otherwise(hour)
+    spelled = F.format_string("%04d-%02d-%02d %02d:%02d:%02d", year, month, day, hour, F.coalesce(p["p5"].try_cast("int"), F.lit(0)), F.coalesce(p["p6"].try_cast("int"), F.lit(0)))
+    found = F.when(text.rlike(ZONED), F.try_to_timestamp(text)).when(p["shape"].isNotNull() & month.isNotNull(), F.try_to_timestamp(spelled, F.lit("yyyy-MM-dd HH:mm:ss")))
     return F.coalesce(F.try_to_timestamp(text, F.lit(java_format(source_format))), found) if source_format else found
 
 
