@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import dates, multivalue, numbers, phones, text, validators
@@ -33,16 +33,29 @@ def query(sql: str | None, *names: str):
 
 
 # Contacts made of customers, the same in both languages.
-PHONE = F.concat(F.lit("+"), F.get(F.array(*map(F.lit, ("1", "44", "49"))), (F.col("c_custkey") % 3).cast("int")), F.lit(" "), F.lpad((F.col("c_custkey") * 7919 % 1000).cast("string"), 3, "0"), F.lit("-"), F.lpad((F.col("c_custkey") * 104729 % 10000000).cast("string"), 7, "0"))
+def phone() -> Column:
+    return F.concat(F.lit("+"), F.get(F.array(*map(F.lit, ("1", "44", "49"))), (F.col("c_custkey") % 3).cast("int")), F.lit(" "), F.lpad((F.col("c_custkey") * 7919 % 1000).cast("string"), 3, "0"), F.lit("-"), F.lpad((F.col("c_custkey") * 104729 % 10000000).cast("string"), 7, "0"))
+
+
 PHONE_SQL = "'+' || [ '1', '44', '49' ][c_custkey % 3 + 1] || ' ' || lpad((c_custkey * 7919 % 1000)::VARCHAR, 3, '0') || '-' || lpad((c_custkey * 104729 % 10000000)::VARCHAR, 7, '0')"
-LIST = F.concat_ws("; ", F.lower("c_mktsegment"), F.upper("c_mktsegment"), F.when(F.col("c_custkey") % 4 > 0, F.col("c_name")), F.when(F.col("c_custkey") % 5 == 0, F.lit("null")))
+
+
+def tag_list() -> Column:
+    return F.concat_ws("; ", F.lower("c_mktsegment"), F.upper("c_mktsegment"), F.when(F.col("c_custkey") % 4 > 0, F.col("c_name")), F.when(F.col("c_custkey") % 5 == 0, F.lit("null")))
+
+
 LIST_SQL = "concat_ws('; ', lower(c_mktsegment), upper(c_mktsegment), CASE WHEN c_custkey % 4 > 0 THEN c_name END, CASE WHEN c_custkey % 5 = 0 THEN 'null' END)"
-MONEY = F.concat(F.when(F.col("l_linenumber") % 3 == 0, F.lit("(")).otherwise(F.lit("$")), F.format_number(F.col("l_extendedprice").cast("decimal(18,2)"), 2), F.when(F.col("l_linenumber") % 3 == 0, F.lit(")")).otherwise(F.lit("")))
+
+
+def money() -> Column:
+    return F.concat(F.when(F.col("l_linenumber") % 3 == 0, F.lit("(")).otherwise(F.lit("$")), F.format_number(F.col("l_extendedprice").cast("decimal(18,2)"), 2), F.when(F.col("l_linenumber") % 3 == 0, F.lit(")")).otherwise(F.lit("")))
+
+
 MONEY_SQL = "CASE WHEN l_linenumber % 3 = 0 THEN '(' ELSE '$' END || format('{:,.2f}', l_extendedprice::DECIMAL(18,2)::DOUBLE) || CASE WHEN l_linenumber % 3 = 0 THEN ')' ELSE '' END"
 
 
 def contacts(customer: DataFrame) -> DataFrame:
-    return customer.select("c_custkey", "c_name", PHONE.alias("phone"), LIST.alias("tags"))
+    return customer.select("c_custkey", "c_name", phone().alias("phone"), tag_list().alias("tags"))
 
 
 @query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_mktsegment = 'BUILDING' AND c_name ILIKE '%1%' ORDER BY c_acctbal DESC NULLS FIRST, c_custkey LIMIT 25 OFFSET 5", "customer")
@@ -249,7 +262,7 @@ phone_query("digits_only", "d")
 
 @query(f"SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 = 0 THEN -1 ELSE 1 END * l_extendedprice::DECIMAL(18,2)::DOUBLE AS amount, l_quantity::BIGINT AS units FROM (SELECT *, {MONEY_SQL} AS m FROM lineitem)", "lineitem")
 def clean_numbers(lineitem):
-    return lineitem.select("l_orderkey", "l_linenumber", numbers.to_decimal(MONEY).cast("double").alias("amount"), numbers.to_integer(F.concat(F.lit(" $"), F.format_number("l_quantity", 1))).alias("units"))
+    return lineitem.select("l_orderkey", "l_linenumber", numbers.to_decimal(money()).cast("double").alias("amount"), numbers.to_integer(F.concat(F.lit(" $"), F.format_number("l_quantity", 1))).alias("units"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_retailprice::DECIMAL(18,2)::DOUBLE END AS price FROM part", "part")
