@@ -14,6 +14,8 @@ WEIGHTS, SHARE, REPEATS = (5, 2, 1), 1.5, 2
 SEED = 17
 #: Budget in words that dynamic programming fills; what is above it is filled by the largest lengths that fit.
 DP_WORDS = 1 << 16
+#: Words of the budget that are left to dynamic programming, beside what rounding leaves.
+DP_FREE = DP_WORDS // 4
 RANK_SALTS = 256
 
 
@@ -36,12 +38,14 @@ def targets(sizes: DataFrame) -> DataFrame:
 def choose(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length (ascending, above 0) to take so that their lengths add up to ``budget``, or as near to it as can be.
 
-    Each length first gives its share, rounded down. What is left is filled from the remaining documents by bounded-knapsack
-    dynamic programming over sums, a bit set with a word for a bit; lengths come in a seeded order, in powers of two of their counts."""
+    Each length first gives its share, rounded down, of all but the last DP_FREE words. What is left is filled from the
+    remaining documents by bounded-knapsack dynamic programming over sums, a bit set with a word for a bit; lengths come in
+    a seeded order, in powers of two of their counts."""
     whole = int((lengths * counts).sum())
     if budget >= whole:
         return counts.copy()
-    taken = counts * budget // whole
+    # in doubles: counts times words can exceed 64 bits; a share may come out one lower, never above the count
+    taken = np.minimum(counts, (counts * (max(0, budget - DP_FREE) / whole)).astype(np.int64))
     left = budget - int((lengths * taken).sum())
     for i in range(len(lengths) - 1, -1, -1):
         if left <= DP_WORDS:
@@ -52,13 +56,11 @@ def choose(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     goal, free = left, counts - taken
     if not goal or not free.any():
         return taken
-    limit = goal + int(lengths[free > 0][0])  # above the goal by less than the smallest length, if that is nearer
+    limit = 1 + goal + min(goal, int(lengths[free > 0][-1]))  # what is further above than nothing is below is never nearer
     mask, sums, trail = (1 << limit) - 1, 1, []
     for i in np.random.default_rng(SEED).permutation(len(lengths)):
         n, part = int(free[i]), 1
-        if lengths[i] >= limit:
-            continue
-        n = min(n, limit // int(lengths[i]))
+        n = min(n, (limit - 1) // int(lengths[i]))
         while n > 0 and not sums >> goal & 1:
             part = min(part, n)
             trail.append((i, part, sums))

@@ -52,7 +52,7 @@ class Tree:
     """Block elements in page order (parents first) and the runs of text that stand in them."""
 
     def __init__(self, page: str):
-        self.tag, self.parent, self.names, self.label = ["#root"], [-1], [frozenset()], [0]
+        self.tag, self.parent, self.names, self.label = ["#root"], [-1], [frozenset()], [1]
         self.runs: list[tuple[int, list[str]]] = []  # (node, pieces of text)
         self.linked: list[int] = [0]
         self.text: list[int] = [0]
@@ -314,6 +314,9 @@ def labelled_pages(n: int = PAGES, seed: int = SEED) -> Iterator[str]:
             cut = rng.randint(0, len(after))
             body = el(rng.choice(["div", "main"]), 1, body + "".join(after[:cut]), "", "wrapper", "container", "page")
             after = after[cut:]
+        if rng.random() < 0.12:  # a fragment: no html, no body, perhaps nothing but paragraphs
+            yield rng.choice([lambda: paragraphs(rng.randint(1, 3), 1), lambda: "".join(before) + body + "".join(after)])()
+            continue
         yield f'<html data-y="1"><head><title>{words(2, 6)}</title></head><body data-y="1">{"".join(before)}{body}{"".join(after)}</body></html>'
 
 
