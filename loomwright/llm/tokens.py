@@ -13,9 +13,9 @@ from functools import cache
 
 import numpy as np
 
-#: Words whose pre-tokens are plain: Latin letters (all unchanged by NFC), a full stop or comma, and perhaps a second line.
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)(?:(\n)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?))?")
-#: Words a worker keeps; the frequent ones come first, the rest are encoded when they come.
+#: Words whose pre-tokens are plain: Latin letters (all unchanged by NFC), a run of marks, and perhaps a second line.
+PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!%#$&*]*)(?:(\n)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!%#$&*]*))?")
+#: Words, and pre-tokens of words, that a worker keeps; the frequent ones come first, the rest are encoded when they come.
 KEPT_WORDS = 300_000
 
 
@@ -53,7 +53,7 @@ class Encoder:
         self.spaced = self.ids_of_whole(" a") != self.ids_of_whole("a")
         self.lower = self.ids_of_whole("A") == self.ids_of_whole("a")
         self.first, self.later = Words(lambda w: self.of_word("", w)), Words(lambda w: self.of_word(" " if self.spaced else "", w))
-        self.marks = {m: self.pre_token(m) for m in ".,"} | {"": b"", None: b"", "\n": self.ids_of_whole("\n")}
+        self.pieces, self.newline = Words(self.pre_token), self.ids_of_whole("\n")
 
     def ids_of_whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -63,13 +63,14 @@ class Encoder:
         spelled = piece if piece.isascii() and piece[0] != " " else "\u0120" + piece[1:] if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
         return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
-    def letters_of(self, space: str, word: str) -> bytes:
-        return self.pre_token(space + (word.lower() if self.lower else word))
+    def letters_and_marks(self, space: str, letters: str, marks: str) -> bytes:
+        ids = self.pieces[space + (letters.lower() if self.lower else letters)]
+        return ids + self.pieces[marks] if marks else ids
 
     def of_word(self, space: str, word: str) -> bytes:
         if m := PLAIN.fullmatch(word):
-            ids = self.letters_of(space, m[1]) + self.marks[m[2]]
-            return ids + self.marks["\n"] + self.letters_of("", m[4]) + self.marks[m[5]] if m[3] else ids
+            ids = self.letters_and_marks(space, m[1], m[2])
+            return ids + self.newline + self.letters_and_marks("", m[4], m[5]) if m[3] else ids
         return self.ids_of_whole(space + word)
 
     def encode(self, text: str) -> bytes:

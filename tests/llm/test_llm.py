@@ -51,7 +51,7 @@ def rows(df):
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_ids_are_the_librarys(name, docs):
     e = tokens.Encoder(public_tokenizers.path(name))
-    extra = ["", " ", "a  b", " x", "x ", "a\n b", "a\n\nb c", "<|endoftext|> a<|endoftext|>b", "don't it's ÀÉ ß İ Σς ﬁ", "é̀ é", "a\tb c d", "日本 語", "a, b. c"]
+    extra = ["", " ", "a  b", " x", "x ", "a\n b", "a\n\nb c", "<|endoftext|> a<|endoftext|>b", "don't it's ÀÉ ß İ Σς ﬁ", "é̀ é", "a\tb c d", "日本 語", "a, b. c", "AND!! x%%%\ny$$$ z.*** &&& #a a#b A!!\nB", "Éa,!!\nÀ, b..", "don't!! a's."]
     for text in [*docs.values(), *extra]:
         assert e.encode(text) == e.ids_of_whole(text)
 
