@@ -31,16 +31,22 @@ from .common import stored, table
 REPEAT, NAME = 50, 26
 WINDOW = REPEAT - NAME + 1
 #: Bytes of text handled at once in a task, and bytes of text for each range of names.
-SLICE, RANGE = 1 << 20, 1 << 25
+SLICE, RANGE = 1 << 16, 1 << 23
 NAME_BITS = 48
-LAST = 2**63 - 1
+#: Names in one row of those that are known to be shared.
+SETTLED = 100_000
+#: In place of a doc_id: of rows that have none, and of names that stand for no document.
+LAST, NONE = 2**63 - 1, -(2**63)
+
+PARTS = "range long, known boolean, names binary, docs binary, ords binary"
 
 U = np.uint64
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> U(33))) * U(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> U(33))) * U(0xC4CEB9FE1A85EC53)
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> U(33))) * U(0xFF51AFD7ED558CCD)
+        x = (x ^ (x >> U(33))) * U(0xC4CEB9FE1A85EC53)
     return x ^ (x >> U(33))
 
 
@@ -134,7 +140,7 @@ def unplaned(data: bytes, width: int) -> np.ndarray:
 def named(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
     """Rows (range, known, names, docs, ords) of each batch. Names that two documents of the batch share are known to be shared
     already: they go by documents to any range, and once, without a document, to their own."""
-    for k, batch in enumerate(batches):
+    for batch in batches:
         ords = batch.column("ord").to_numpy()
         name, doc = [np.zeros(0, U)], [np.zeros(0, np.int64)]
         for begin, _, s in slices(batch):
@@ -150,41 +156,63 @@ def named(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordB
         first[1:] = name[1:] != name[:-1]
         shared = ~first
         shared[:-1] |= ~first[1:]
-        table_, at = np.unique(doc, return_inverse=True)
-        # document 0 of a row's table stands for none
-        own = np.where(shared, 0, at + 1)[first]
-        out = []
-        where = (name[first] * U(ranges) >> U(NAME_BITS)).astype(np.int64)
+        one, head, out = np.where(shared, NONE, doc)[first], name[first], []
+        where = (head * U(ranges) >> U(NAME_BITS)).astype(np.int64)
         cuts = np.searchsorted(where, np.arange(ranges + 1))
         for r in range(ranges):
             part = slice(cuts[r], cuts[r + 1])
             if part.start < part.stop:
-                out.append((r, False, planes(name[first][part], NAME_BITS // 8), planes(own[part], 4), table_.tobytes()))
-        if shared.any():
-            out.append(((int(ords[0]) + k) % ranges, True, planes(name[shared], NAME_BITS // 8), planes(at[shared] + 1, 4), table_.tobytes()))
+                out.append((r, False, planes(head[part], NAME_BITS // 8), *indexed(one[part])))
+        out += settled(name[shared], doc[shared], NAME_BITS // 8)
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["range", "known", "names", "docs", "ords"])
 
 
-def shared_names(rows: pd.DataFrame) -> pd.DataFrame:
-    """(ord, names) of the documents whose names in this range other documents have too."""
+def settled(names: np.ndarray, docs: np.ndarray, width: int) -> list[tuple]:
+    """Rows of what is known already, a bounded number of names in each; they may go anywhere, so each has a key of its own."""
+    out = []
+    for at in range(0, len(names), SETTLED):
+        part, key = slice(at, at + SETTLED), int(names[at] ^ mixed(docs[at : at + 1].astype(U))[0]) >> 1
+        out.append((-1 - key, True, planes(names[part], width), *indexed(docs[part])))
+    return out
+
+
+def indexed(docs: np.ndarray) -> tuple[bytes, bytes]:
+    """Documents as places in a table of their own, and the table."""
+    table_, at = np.unique(docs, return_inverse=True)
+    return planes(at, 4), planes(table_, 8)
+
+
+def unpacked(rows: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names (or strings), documents and known of all rows of a range."""
     names, docs, known = [], [], []
     for r in rows.itertuples():
-        table_ = np.concatenate([[-1], np.frombuffer(r.ords, dtype=np.int64)])
-        at = unplaned(r.docs, 4).astype(np.int64)
-        names.append(unplaned(r.names, NAME_BITS // 8))
-        docs.append(np.where(at > 0, table_[at], LAST))
-        known.append(np.where(at > 0, r.known, True))
-    name, doc, known = np.concatenate(names), np.concatenate(docs), np.concatenate(known)
-    none = np.concatenate([unplaned(r.docs, 4) == 0 for r in rows.itertuples()])
-    passed = np.concatenate([np.full(len(n), r.known) for n, r in zip(names, rows.itertuples(), strict=True)])
-    _, group, n = np.unique(np.where(passed, U(2**63) + np.arange(len(name)).astype(U), name), return_inverse=True, return_counts=True)
-    keep = ~none & (passed | (n[group] > 1))
-    name, doc = name[keep], doc[keep]
+        names.append(unplaned(r.names, width))
+        docs.append(unplaned(r.ords, 8).astype(np.int64)[unplaned(r.docs, 4).astype(np.int64)])
+        known.append(np.full(len(docs[-1]), r.known))
+    return np.concatenate(names), np.concatenate(docs), np.concatenate(known)
+
+
+def by_document(x: np.ndarray, doc: np.ndarray, name: str) -> pd.DataFrame:
+    """(ord, the bytes of its numbers) of each document."""
     order = np.argsort(doc, kind="stable")
-    name, doc = name[order], doc[order]
+    x, doc = x[order], doc[order]
     cuts = np.flatnonzero(np.diff(doc)) + 1
-    return pd.DataFrame({"ord": doc[np.concatenate([[0], cuts]).astype(int)] if len(doc) else doc, "names": [x.tobytes() for x in np.split(name, cuts)] if len(doc) else []})
+    return pd.DataFrame({"ord": doc[np.concatenate([[0], cuts]).astype(int)] if len(doc) else doc, name: [p.tobytes() for p in np.split(x, cuts)] if len(doc) else []})
+
+
+def shared_names(rows: pd.DataFrame) -> pd.DataFrame:
+    """(ord, names) of the documents whose names in this range other documents have too."""
+    name, doc, known = unpacked(rows, NAME_BITS // 8)
+    # a name that is here twice, by document or as known, is shared; those that came by documents are settled
+    order = np.argsort(np.where(known, U(2**63), name), kind="stable")
+    name, doc, known = name[order], doc[order], known[order]
+    twice = known.copy()
+    equal = (name[1:] == name[:-1]) & ~known[1:]
+    twice[1:] |= equal
+    twice[:-1] |= equal
+    keep = twice & (doc != NONE)
+    return by_document(name[keep], doc[keep], "names")
 
 
 def numbers(blobs: list[bytes] | None, order: str = "<") -> np.ndarray:
@@ -208,22 +236,26 @@ def resolved(batch: pa.RecordBatch, columns: tuple[str, ...]) -> Iterator[tuple]
     lists = {c: batch.column(c).to_pylist() for c in ("names", *columns)}
     for begin, end, s in slices(batch):
         s.only(found_in(s.name, s.doc, [numbers(x) for x in lists["names"][begin:end]]))
-        yield begin, end, s, [[numbers(x, ">") for x in lists[c][begin:end]] for c in columns]
+        yield begin, end, s, [[numbers(x, "<" if c == "repeats" else ">") for x in lists[c][begin:end]] for c in columns]
 
 
 def context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ords = batch.column("ord").to_numpy()
+        ords, out = batch.column("ord").to_numpy(), []
         for begin, _, s, _ in resolved(batch, ()):
             if len(s.at):
                 _, _, context = s.contexts(s.strings())
-                yield pa.RecordBatch.from_arrays([pa.array(s.name.astype(np.int64)), pa.array(context.view(np.int64)), pa.array(ords[begin + s.doc])], names=["name", "context", "ord"])
+                out.append((s.name.astype(np.int64), context.view(np.int64), ords[begin + s.doc]))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["name", "context", "ord"])
 
 
-def string_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(string, ord) of the strings in contexts that a document owns and that another context may share."""
+def string_parts(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
+    """Rows as of ``named``: the strings in contexts that a document owns and that another context may share. Of documents of
+    a batch with one string, the smallest goes to the string's range; for the others the string is known to be a repeat."""
     for batch in batches:
         ords = batch.column("ord").to_numpy()
+        string, doc = [np.zeros(0, U)], [np.zeros(0, np.int64)]
         for begin, _, s, (open_,) in resolved(batch, ("open",)):
             if not len(s.at) or not any(map(len, open_)):
                 continue
@@ -231,7 +263,37 @@ def string_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first, last, context = s.contexts(strings)
             keep = found_in(context, s.doc, open_)
             at = np.unique(spread(first[keep], last[keep]))
-            yield pa.RecordBatch.from_arrays([pa.array(strings[at].view(np.int64)), pa.array(ords[begin + np.searchsorted(s.ends, at, side="right")])], names=["string", "ord"])
+            string.append(strings[at])
+            doc.append(ords[begin + np.searchsorted(s.ends, at, side="right")])
+        string, doc = np.concatenate(string), np.concatenate(doc)
+        order = np.lexsort((doc, string))
+        string, doc = string[order], doc[order]
+        same = string[1:] == string[:-1]
+        first = np.concatenate([[True], ~same])[: len(string)]
+        new = np.concatenate([[True], ~same | (doc[1:] != doc[:-1])])[: len(string)]
+        # the smallest document of each string; rows of one document may repeat a string
+        group = np.cumsum(first) - 1
+        later = new & ~first & (doc != doc[first][group])
+        head, one, out = string[first], doc[first], []
+        cuts = np.searchsorted((head >> U(64 - NAME_BITS)) * U(ranges) >> U(NAME_BITS), np.arange(ranges + 1).astype(U))
+        for r in range(ranges):
+            part = slice(cuts[r], cuts[r + 1])
+            if part.start < part.stop:
+                out.append((r, False, planes(head[part], 8), *indexed(one[part])))
+        out += settled(string[later], doc[later], 8)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["range", "known", "names", "docs", "ords"])
+
+
+def repeated_strings(rows: pd.DataFrame) -> pd.DataFrame:
+    """(ord, strings) of the documents whose strings in this range a smaller document has."""
+    string, doc, known = unpacked(rows, 8)
+    order = np.lexsort((doc, string, known))
+    string, doc, known = string[order], doc[order], known[order]
+    first = np.ones(len(string), dtype=bool)
+    first[1:] = string[1:] != string[:-1]
+    keep = known | (doc > doc[first][np.cumsum(first) - 1])
+    return by_document(string[keep], doc[keep], "strings")
 
 
 def spread(first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -287,7 +349,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     Names are 48-bit and strings 64-bit fingerprints. Other columns are not read; an empty table gives no rows."""
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     texts = bucketed(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("ord"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b")).alias("digest")), "texts")
-    firsts = texts.groupBy("digest").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).where("first < last")
+    # a table of its own: the join with it can split the rows of a digest
+    firsts = stored(texts.groupBy("digest").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).where("first < last"), "digests")
     digests = texts.select("ord", "digest").join(firsts, "digest").where("ord > first").groupBy("ord").agg(F.collect_set("digest").alias("copies"))
     digests = stored(digests, "copies")
     is_copy = F.coalesce(F.array_contains("copies", F.col("digest")), F.lit(False))
@@ -296,7 +359,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = 8 + size // RANGE
-    parts = own.select("ord", "text").mapInArrow(lambda b: named(b, ranges), "range long, known boolean, names binary, docs binary, ords binary")
+    parts = own.select("ord", "text").mapInArrow(lambda b: named(b, ranges), PARTS)
     shared = parts.groupBy("range").applyInPandas(shared_names, "ord long, names binary")
     names = bucketed(shared.groupBy("ord").agg(F.collect_list("names").alias("names")), "names")
 
@@ -307,10 +370,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     claims = owners.join(several, "name").groupBy("ord").agg(blob("context", F.lit(True)).alias("owned"), blob("context", F.col("n") > 1).alias("open"))
     claims = bucketed(claims, "claims")
 
-    strings = own.select("ord", "text").join(names, "ord").join(claims.where(F.size("open") > 0).select("ord", "open"), "ord").select("ord", "text", "names", "open").mapInArrow(string_rows, "string long, ord long")
-    strings = stored(strings.distinct(), "strings")
-    least = strings.groupBy("string").agg(F.min("ord").alias("least"), F.max("ord").alias("most")).where("least < most")
-    repeats = strings.join(least, "string").where("ord > least").groupBy("ord").agg(F.collect_list(bits("string")).alias("repeats"))
+    opened = own.select("ord", "text").join(names, "ord").join(claims.where(F.size("open") > 0).select("ord", "open"), "ord").select("ord", "text", "names", "open")
+    strings = opened.mapInArrow(lambda b: string_parts(b, ranges), PARTS).groupBy("range").applyInPandas(repeated_strings, "ord long, strings binary")
+    repeats = strings.groupBy("ord").agg(F.collect_list("strings").alias("repeats"))
     # copies have no names joined: they go whole
     all_ = texts.join(names, "ord", "left").join(claims.select("ord", "owned"), "ord", "left").join(repeats, "ord", "left")
     return all_.select("doc_id", "text", "copy", *[F.when(~F.col("copy"), F.col(c)).alias(c) for c in ("names", "owned", "repeats")]).mapInArrow(removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
