@@ -212,7 +212,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Rows that repeat are copies of each other. Word order and case count, white space doesn't. Other columns are not read."""
     rows = stored(signed(docs), "signatures")
     full = rows.where("n > 0")
-    groups = stored(full.groupBy("set_key").agg(F.min("rid").alias("rep"), F.count("*").alias("copies")), "copies")
+    groups = stored(full.groupBy("set_key").agg(F.min("rid").alias("rep"), F.count("*").alias("copies"), F.min("doc_id").alias("least")), "copies")
     reps = full.join(groups, (full["rid"] == groups["rep"]) & (full["set_key"] == groups["set_key"])).select("rid", "doc_id", "text_hash", "n", "signature", "copies")
     held = stored(buckets(reps), "buckets")
     wanted = reps.join(held.select("rid").distinct(), "rid").withColumnsRenamed({"doc_id": "_doc_id", "text_hash": "_text_hash"})
@@ -225,11 +225,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = stored(tasks.join(found_texts, "rid").groupBy("h", "left", "right").applyInPandas(linked, "rid long, links long, root long"), "links")
     links = found.groupBy("rid").agg(F.sum("links").alias("links"))
     classes = groups.join(components(found), F.col("rep") == F.col("rid"), "left").drop("rid").join(links, F.col("rep") == F.col("rid"), "left")
-    classes = stored(classes.select("set_key", "copies", F.coalesce("root", "rep").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "classes")
-    members = rows.join(classes, (rows["set_key"] == classes["set_key"]) & (F.col("n") > 0), "left").select("doc_id", F.coalesce("root", "rid").alias("root"), (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"))
-    members = stored(members, "members")
-    names = members.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    return members.join(names, "root").select("doc_id", "class_id", "n_links")
+    classes = stored(classes.select("set_key", "copies", "least", F.coalesce("root", "rep").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "classes")
+    names = stored(classes.groupBy("root").agg(F.min("least").alias("class_id")), "class-names")
+    named = stored(classes.join(names, "root").select("set_key", (F.col("links") + F.col("copies") - 1).alias("n_links"), "class_id"), "named-classes")
+    # both sides are tables: the join can split the rows of a set that many documents have
+    # texts without words have keys of their own, so that they don't meet in one task
+    key = F.when(F.col("n") > 0, F.col("set_key")).otherwise(F.encode(F.col("rid").cast("string"), "utf-8"))
+    members = rows.select("doc_id", key.alias("set_key")).join(named, "set_key", "left")
+    return members.select("doc_id", F.when(F.col("n_links").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def op2_bayesian_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
