@@ -4,16 +4,32 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Hashable, Sequence
+from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 #: White space that separates words: space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]"
 
 
+_HELD: dict = {}
+
+
+def held(what: Hashable, make: Callable[[], T]) -> T:
+    """What a Python worker keeps from task to task: one thing at a time, as workers go on to other operators."""
+    if what not in _HELD:
+        _HELD.clear()
+        pa.default_memory_pool().release_unused()
+        _HELD[what] = make()
+    return _HELD[what]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

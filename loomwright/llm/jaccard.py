@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import held, stored, table
 
 SHINGLE, THRESHOLD = 5, (4, 5)  # words; similarity of at least 4/5
 BANDS, BAND = 32, 4
@@ -43,15 +43,10 @@ class WordHashes(dict):
         return out
 
 
-@cache
-def word_hashes() -> WordHashes:
-    return WordHashes()
-
-
 def shingles(text: str) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct 5-word shingles; a text of 1 to 4 words has itself as its one shingle."""
     words = text.split()
-    h = np.fromiter(map(word_hashes().__getitem__, words), dtype=np.uint64, count=len(words))
+    h = np.fromiter(map(held("word hashes", WordHashes).__getitem__, words), dtype=np.uint64, count=len(words))
     if not len(h):
         return h
     n = min(SHINGLE, len(h))
@@ -214,13 +209,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     full = rows.where("n > 0")
     groups = stored(full.groupBy("set_key").agg(F.min("rid").alias("rep"), F.count("*").alias("copies"), F.min("doc_id").alias("least")), "copies")
     reps = full.join(groups, (full["rid"] == groups["rep"]) & (full["set_key"] == groups["set_key"])).select("rid", "doc_id", "text_hash", "n", "signature", "copies")
-    held = stored(buckets(reps), "buckets")
-    wanted = reps.join(held.select("rid").distinct(), "rid").withColumnsRenamed({"doc_id": "_doc_id", "text_hash": "_text_hash"})
+    filled = stored(buckets(reps), "buckets")
+    wanted = reps.join(filled.select("rid").distinct(), "rid").withColumnsRenamed({"doc_id": "_doc_id", "text_hash": "_text_hash"})
     same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_hash") == F.col("_text_hash"))
     found_texts = docs.select(*texts()).join(wanted, same).select("rid", "n", "signature", "copies", "text").dropDuplicates(["rid"])
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("rid"), blocks).cast("int")
-    tasks = held.withColumn("block", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    tasks = filled.withColumn("block", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     tasks = tasks.select("h", "band", "rid", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
     found = stored(tasks.join(found_texts, "rid").groupBy("h", "left", "right").applyInPandas(linked, "rid long, links long, root long"), "links")
     links = found.groupBy("rid").agg(F.sum("links").alias("links"))

@@ -22,6 +22,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +34,8 @@ WINDOW = REPEAT - NAME + 1
 #: Bytes of text handled at once in a task, and bytes of text for each range of names.
 SLICE, RANGE = 1 << 16, 1 << 23
 NAME_BITS = 48
+#: Bytes of text whose names are in a task's memory at once.
+PORTION = 1 << 23
 #: Names in one row of those that are known to be shared.
 SETTLED = 100_000
 #: In place of a doc_id: of rows that have none, and of names that stand for no document.
@@ -137,10 +140,20 @@ def unplaned(data: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of PORTION bytes of text or one document."""
+    for batch in batches:
+        sizes = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False))
+        cuts = np.flatnonzero(np.diff(sizes // PORTION)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(batch)], strict=True):
+            if a < b:
+                yield batch.slice(a, b - a)
+
+
 def named(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
     """Rows (range, known, names, docs, ords) of each batch. Names that two documents of the batch share are known to be shared
     already: they go by documents to any range, and once, without a document, to their own."""
-    for batch in batches:
+    for batch in portions(batches):
         ords = batch.column("ord").to_numpy()
         name, doc = [np.zeros(0, U)], [np.zeros(0, np.int64)]
         for begin, _, s in slices(batch):
@@ -157,17 +170,20 @@ def named(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordB
         shared = ~first
         shared[:-1] |= ~first[1:]
         one, head, out = np.where(shared, NONE, doc)[first], name[first], []
-        where = (head * U(ranges) >> U(NAME_BITS)).astype(np.int64)
-        cuts = np.searchsorted(where, np.arange(ranges + 1))
-        for r in range(ranges):
-            part = slice(cuts[r], cuts[r + 1])
-            if part.start < part.stop:
-                out.append((r, False, planes(head[part], NAME_BITS // 8), *indexed(one[part])))
+        for r, part in parted(head * U(ranges) >> U(NAME_BITS)):
+            out.append((r, False, planes(head[part], NAME_BITS // 8), *indexed(one[part])))
         out += settled(name[shared], doc[shared], NAME_BITS // 8)
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["range", "known", "names", "docs", "ords"])
 
 
+def parted(ranges: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Each range that is there, and where; ranges ascend."""
+    cuts = [0, *(np.flatnonzero(np.diff(ranges)) + 1).tolist(), len(ranges)] if len(ranges) else []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield int(ranges[a]), slice(a, b)
+
+
 def settled(names: np.ndarray, docs: np.ndarray, width: int) -> list[tuple]:
     """Rows of what is known already, a bounded number of names in each; they may go anywhere, so each has a key of its own."""
     out = []
@@ -240,7 +256,7 @@ def resolved(batch: pa.RecordBatch, columns: tuple[str, ...]) -> Iterator[tuple]
 
 
 def context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in portions(batches):
         ords, out = batch.column("ord").to_numpy(), []
         for begin, _, s, _ in resolved(batch, ()):
             if len(s.at):
@@ -253,7 +269,7 @@ def context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def string_parts(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
     """Rows as of ``named``: the strings in contexts that a document owns and that another context may share. Of documents of
     a batch with one string, the smallest goes to the string's range; for the others the string is known to be a repeat."""
-    for batch in batches:
+    for batch in portions(batches):
         ords = batch.column("ord").to_numpy()
         string, doc = [np.zeros(0, U)], [np.zeros(0, np.int64)]
         for begin, _, s, (open_,) in resolved(batch, ("open",)):
@@ -275,11 +291,8 @@ def string_parts(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.
         group = np.cumsum(first) - 1
         later = new & ~first & (doc != doc[first][group])
         head, one, out = string[first], doc[first], []
-        cuts = np.searchsorted((head >> U(64 - NAME_BITS)) * U(ranges) >> U(NAME_BITS), np.arange(ranges + 1).astype(U))
-        for r in range(ranges):
-            part = slice(cuts[r], cuts[r + 1])
-            if part.start < part.stop:
-                out.append((r, False, planes(head[part], 8), *indexed(one[part])))
+        for r, part in parted((head >> U(64 - NAME_BITS)) * U(ranges) >> U(NAME_BITS)):
+            out.append((r, False, planes(head[part], 8), *indexed(one[part])))
         out += settled(string[later], doc[later], 8)
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["range", "known", "names", "docs", "ords"])
@@ -304,7 +317,7 @@ def spread(first: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, bytes before, bytes removed, runs removed and what is kept, of every row."""
-    for batch in batches:
+    for batch in portions(batches):
         n, gone, runs, kept = [], [], [], []
         copy = batch.column("copy").to_pylist()
         for begin, end, s, (owned, repeats) in resolved(batch, ("owned", "repeats")):

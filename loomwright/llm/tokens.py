@@ -9,10 +9,11 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Callable, Iterator
-from functools import cache
 
 import numpy as np
 
+from .common import held
+
 #: Words whose pre-tokens are plain: Latin letters (all unchanged by NFC), a run of marks, and perhaps a second line.
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!%#$&*]*)(?:(\n)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!%#$&*]*))?")
 #: Words, and pre-tokens of words, that a worker keeps; the frequent ones come first, the rest are encoded when they come.
@@ -82,14 +83,8 @@ class Encoder:
         return self.first[head] + b"".join(map(self.later.__getitem__, rest))
 
 
-@cache
-def encoder(path: str) -> Encoder:
-    """One for each worker process and vocabulary."""
-    return Encoder(path)
-
-
 def encode_column(texts, path: str) -> Iterator[bytes]:
     """The ids of each text of an Arrow column; null counts as empty."""
-    of = encoder(path)
+    of = held(("encoder", path), lambda: Encoder(path))
     for x in texts:
         yield of.encode(x.as_py() or "")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import held, stored, table
 
 #: Labelled rows the model is fitted on at most: those with the smallest hashes of doc_id, whatever the corpus holds.
 TRAIN_ROWS = 10_000
@@ -39,15 +38,10 @@ class Hashes(dict):
         return out
 
 
-@cache
-def hashes() -> Hashes:
-    return Hashes()
-
-
 def grams(text: str) -> tuple[np.ndarray, int]:
     """Slots from 1 to 2**BITS - 1 of the words, stems, word pairs and pairs around one word of a text, with repeats; the number of words."""
     words = WORDS.findall(text.lower())
-    rows = np.frombuffer(b"".join(map(hashes().__getitem__, words)), dtype=np.uint64).reshape(-1, 1 + len(STEMS))
+    rows = np.frombuffer(b"".join(map(held("hashes of words and stems", Hashes).__getitem__, words)), dtype=np.uint64).reshape(-1, 1 + len(STEMS))
     word = rows[:, 0]
     with np.errstate(over="ignore"):
         pairs = word[:-1] * np.uint64(0x9E3779B97F4A7C15) + word[1:]
@@ -66,6 +60,11 @@ def features(slots: np.ndarray, n_words: int) -> np.ndarray:
 def fit(examples: list[tuple[np.ndarray, int]]) -> np.ndarray:
     """FTRL-proximal over the examples (indices that are on, label) in their order; the dense weights, most of them 0."""
     z, n = np.zeros(LEVELS << BITS), np.zeros(LEVELS << BITS)
+    # what so few examples have that L1 keeps its weight at 0 throughout is left out: a gradient is 1 at most
+    seen = np.zeros(LEVELS << BITS, dtype=np.int32)
+    for on, _ in examples:
+        seen[on] += 1
+    examples = [(on[seen[on] * EPOCHS > L1], label) for on, label in examples]
 
     def weights(z: np.ndarray, n: np.ndarray, l1: np.ndarray | float) -> np.ndarray:
         return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
@@ -86,7 +85,7 @@ def train(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     The bounded sample is fitted in one task, as FTRL goes through it in order. No rows give no weights, thus scores of 0.5 and predictions of 1 only by the threshold's tie; see ``score``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        examples = [(features(*grams(text.as_py() or "")), label.as_py()) for b in batches for text, label in zip(b.column("text"), b.column("toxic"), strict=True)]
+        examples = [(features(*grams(text.as_py() or "")).astype(np.int32), label.as_py()) for b in batches for text, label in zip(b.column("text"), b.column("toxic"), strict=True)]
         w = fit(examples) if examples else np.zeros(1)
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at])], names=["at", "w"])
