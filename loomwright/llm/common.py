@@ -58,12 +58,13 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def salted_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], salt: Column, n_salts: int, out: str, beside: DataFrame | None = None) -> DataFrame:
+def salted_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], salt: Column, n_salts: int, out: str, beside: DataFrame | None = None, null_keys: bool = True) -> DataFrame:
     """Adds ``out``: each row's gapless rank from 0 among its ``keys``, in the order of (salt bucket, order).
 
     A key may hold any share of the rows: only the counts of its ``n_salts`` buckets meet in one place, the rows of a
     bucket are ranked on their own and moved up by the rows of the buckets before it. ``beside`` has a row for each key at
-    most; its other columns come along."""
+    most; its other columns come along. Without ``null_keys`` rows move once: Spark sees that a plain join and the window want
+    them in the same places; rows with a null key would be lost then."""
     df = df.withColumn("_salt", F.pmod(salt, F.lit(n_salts)).cast("int"))
     before = Window.partitionBy(*keys).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = df.groupBy(*keys, "_salt").agg(F.count("*").alias("_n"))
@@ -76,7 +77,7 @@ def salted_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], sal
         offsets = offsets.join(beside, told).drop(*[f"_b{i}" for i in range(len(keys))])
     same = F.col("_salt") == F.col("_s")
     for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        same = same & (F.col(k).eqNullSafe(F.col(f"_k{i}")) if null_keys else F.col(k) == F.col(f"_k{i}"))
     inside = Window.partitionBy(*keys, "_salt").orderBy(*order)
     ranked = df.join(offsets, same).withColumn(out, F.col("_before") + F.row_number().over(inside) - 1)
     return ranked.drop("_salt", "_s", "_before", *[f"_k{i}" for i in range(len(keys))])

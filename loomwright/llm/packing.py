@@ -99,10 +99,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to ``pieces`` (a table that is read twice; columns doc_id, piece and length from 1
     to ``capacity``; further columns stay). Ties and repeated rows are placed next to each other; an empty table stays empty."""
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
-    if any(not 0 < x <= capacity for x in counts):
+    if any(x is None or not 0 < x <= capacity for x in counts):
         raise ValueError("piece lengths must be from 1 to the capacity")
     steps, _ = plan(counts, capacity)
-    ranked = salted_rank(pieces, ["length"], [F.col("doc_id"), F.col("piece")], F.xxhash64("doc_id", "piece"), RANK_SALTS, "rank")
+    ranked = salted_rank(pieces, ["length"], [F.col("doc_id"), F.col("piece")], F.xxhash64("doc_id", "piece"), RANK_SALTS, "rank", null_keys=False)
     big = np.int64(1) << 40
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,36 +125,83 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((at, capacity) for at in range(first, n, capacity))]
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
-    """The pieces of every whole text: its ids, then ``end_id``, cut to ``capacity``; ids as little-endian 32-bit bytes.
+def zipped(ids: bytes) -> bytes:
+    """Ids as they move: the first bytes of all ids, then the second ones and so on, compressed."""
+    return pa.Codec("zstd", 1).compress(np.frombuffer(ids, "u1").reshape(-1, 4).T.tobytes(), asbytes=True)
+
+
+def unzipped(moved: bytes, length: int) -> bytes:
+    planes = pa.Codec("zstd").decompress(moved, 4 * length)
+    return np.frombuffer(planes, "u1").reshape(4, -1).T.tobytes()
+
+
+def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = CAPACITY, zip_ids: bool = False) -> DataFrame:
+    """The pieces of every whole text: its ids, then ``end_id``, cut to ``capacity``; ids as little-endian 32-bit bytes,
+    ``zipped`` with ``zip_ids``.
 
     A null or empty text is its end id alone; other columns of ``docs`` are not read."""
     end = array("I", [end_id]).tobytes()
+    form = zipped if zip_ids else bytes
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for doc_id, ids in zip(batch.column(0), tokens.encode_column(batch.column(1), tokenizer_path), strict=True):
                 ids += end
-                out += [(doc_id.as_py(), k, start, n, ids[4 * start : 4 * (start + n)]) for k, (start, n) in enumerate(cut(len(ids) // 4, capacity))]
+                out += [(doc_id.as_py(), k, start, n, form(ids[4 * start : 4 * (start + n)])) for k, (start, n) in enumerate(cut(len(ids) // 4, capacity))]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "piece", "start", "length", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(pieces, PIECES)
 
 
-def sequences(packed: DataFrame) -> DataFrame:
-    """The packed sequences themselves: sequence_id, ids (all pieces in the order of their offsets; a sequence has ``capacity`` ids at most)."""
-    parts = F.sort_array(F.collect_list(F.struct("offset", "ids")))
-    return packed.groupBy("sequence_id").agg(parts.alias("p")).select("sequence_id", F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"))
+def sequences(packed: DataFrame, zip_ids: bool = False) -> DataFrame:
+    """The packed sequences themselves: sequence_id, ids (all pieces in the order of their offsets; a sequence has ``capacity``
+    ids at most) and pieces, which says whose ids begin at which offset. With ``zip_ids`` the ids of ``packed`` are zipped."""
+    parts = F.sort_array(F.collect_list(F.struct("offset", "doc_id", "piece", "start", "length", "ids")))
+    lists = packed.groupBy("sequence_id").agg(parts.alias("p"))
+    lists = lists.select("sequence_id", F.transform("p", lambda x: F.struct(*[x[c].alias(c) for c in ("offset", "doc_id", "piece", "start")])).alias("pieces"), F.col("p.length").alias("lengths"), F.col("p.ids").alias("parts"))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths, parts = batch.column("lengths").to_pylist(), batch.column("parts").to_pylist()
+            ids = [b"".join(map(unzipped, p, n) if zip_ids else p) for p, n in zip(parts, lengths, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("sequence_id"), pa.array(ids, pa.binary()), batch.column("pieces")], names=["sequence_id", "ids", "pieces"])
+
+    schema = lists.select("sequence_id", F.lit(b"").alias("ids"), "pieces").schema
+    return lists.mapInArrow(join, schema)
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_digest(table(spark, sf_dir, "documents"))
 
 
-def packed_digest(docs: DataFrame) -> DataFrame:
+def packed_zipped(docs: DataFrame) -> DataFrame:
+    """doc_id, piece, start, length, zipped ids, sequence_id and offset of every piece of ``docs``."""
     import public_tokenizers
 
-    pieces = token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"))
-    return pack(stored(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces"))
+    return pack(stored(token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), zip_ids=True), "pieces"))
+
+
+def packed_pieces(docs: DataFrame) -> DataFrame:
+    """Every piece of ``docs`` with its ids, beside its sequence and its offset there."""
+    packed = packed_zipped(docs)
+
+    def open_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("ids")
+            ids = [unzipped(z, n) for z, n in zip(batch.column("ids").to_pylist(), batch.column("length").to_pylist(), strict=True)]
+            yield batch.set_column(at, "ids", pa.array(ids, pa.binary()))
+
+    opened = packed.mapInArrow(open_ids, packed.schema)
+    return opened.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset", "ids")
+
+
+def packed_digest(docs: DataFrame) -> DataFrame:
+    """What the packed sequences of ``docs`` hold: each piece's place, and its length and checksum as they are read from its sequence."""
+    built = sequences(packed_zipped(docs), zip_ids=True)
+    ends = F.concat(F.slice(F.col("pieces.offset"), 2, F.size("pieces")), F.array((F.octet_length("ids") / 4).cast("long")))
+    parts = F.arrays_zip(F.col("pieces").alias("p"), ends.alias("end"))
+    rows = built.select("sequence_id", "ids", F.explode(parts).alias("x")).select("sequence_id", "ids", "x.p.*", (F.col("x.end") - F.col("x.p.offset")).alias("length"))
+    own = F.substring("ids", (4 * F.col("offset") + 1).cast("int"), (4 * F.col("length")).cast("int"))
+    return rows.select("doc_id", "piece", "start", "length", F.crc32(own).alias("ids_crc32"), "sequence_id", "offset")

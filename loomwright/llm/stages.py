@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .common import stored, table
 from .jaccard import near_duplicates
 from .mixing import mix
-from .packing import packed_digest
+from .packing import packed_pieces
 from .repeats import without_repeats
 from .toxicity import THRESHOLD, score, train, training_rows
 
@@ -58,4 +58,5 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packed_digest(docs)
+    """The pieces of the documents with their token ids, beside the sequence that each is in and its offset there."""
+    return packed_pieces(docs)

@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from loomwright.llm import jaccard, mixing, packing, pages, quality, repeats, sharding, token_files, tokens, topk, toxicity
+from loomwright.llm import jaccard, mixing, packing, pages, quality, repeats, sharding, stages, token_files, tokens, topk, toxicity
 from loomwright.llm.queries import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
@@ -133,6 +133,24 @@ def test_packing_awkward(spark, awkward, empty):
     assert sum(len(r["ids"]) // 4 for r in rows(whole)) == sum(r["length"] for r in got)
 
 
+def test_packed_ids(spark, awkward):
+    """The ids themselves are in the sequences, and beside the pieces that the pipeline ends with."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    want = sorted(((r["doc_id"], r["piece"], bytes(r["ids"])) for r in packing.token_pieces(awkward, path).collect()), key=str)
+    got = rows(stages.packed(spark, awkward, DATA))
+    check_sequences(got)
+    assert sorted(((r["doc_id"], r["piece"], bytes(r["ids"])) for r in got), key=str) == want
+    assert all(len(r["ids"]) == 4 * r["length"] and zlib.crc32(r["ids"]) == r["ids_crc32"] for r in got)
+    whole = rows(packing.sequences(packing.packed_zipped(awkward), zip_ids=True))
+    cuts = []
+    for r in whole:
+        ends = [*(p["offset"] for p in r["pieces"][1:]), len(r["ids"]) // 4]
+        cuts += [(p["doc_id"], p["piece"], bytes(r["ids"][4 * p["offset"] : 4 * e])) for p, e in zip(r["pieces"], ends, strict=True)]
+    assert sorted(cuts, key=str) == want
+    ids = np.array([0, 1, 70_000, 2**32 - 1], "<u4").tobytes()
+    assert packing.unzipped(packing.zipped(ids), 4) == ids
+
+
 def test_cut():
     assert packing.cut(5000, 2048) == [(0, 904), (904, 2048), (2952, 2048)] and packing.cut(4096, 2048) == [(0, 2048), (2048, 2048)] and packing.cut(1, 2048) == [(0, 1)]
 
