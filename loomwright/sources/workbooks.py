@@ -69,7 +69,8 @@ def header_row(first: list[list]) -> int:
 
 
 def read_workbook(spark: SparkSession, path: str, sheet: str | None = None, header: bool = True) -> DataFrame:
-    """A sheet's rows as text columns. The first rows are looked at on the driver for names; cells are parsed in tasks."""
+    """A sheet's rows as text columns. The first rows are looked at on the driver for names; cells are parsed in
+    tasks. The widest of all rows says how many columns there are."""
     files = spark.read.format("binaryFile").load(path).select("content")
 
     def parse(batches):
@@ -81,9 +82,10 @@ def read_workbook(spark: SparkSession, path: str, sheet: str | None = None, head
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(got)), pa.int64()), pa.array(got, pa.list_(pa.string()))], names=["row", "cells"])
 
     cells = files.mapInArrow(parse, "row long, cells array<string>")
-    first = [r["cells"] for r in cells.where("row < 10").orderBy("row").collect()]
+    head = F.collect_list(F.when(F.col("row") < 10, F.struct("row", "cells")))  # 10 rows of a workbook
+    width, head = cells.agg(F.coalesce(F.max(F.size("cells")), F.lit(0)), F.sort_array(head)).first()
+    first = [r["cells"] for r in head]
     start = header_row(first) if header and first else -1
-    width = max(map(len, first), default=0)
     names = [str(c).strip() if c else f"col_{i}" for i, c in enumerate(first[start] + [None] * (width - len(first[start])))] if start >= 0 else [f"col_{i}" for i in range(width)]
     rows = cells.where((F.col("row") > start) & F.exists("cells", lambda c: F.coalesce(F.trim(c), F.lit("")) != ""))
     return rows.select(*[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)], (F.col("row") - start).alias("_source_record_number"))

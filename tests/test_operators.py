@@ -154,13 +154,13 @@ def test_charts(spark):
 SHEET = '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="inlineStr"><is><t>age</t></is></c></row><row r="2"><c r="A2" t="s"><v>1</v></c><c r="B2"><v>7</v></c></row></sheetData></worksheet>'
 
 
-def workbook() -> bytes:
+def workbook(sheet: str = SHEET) -> bytes:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
         z.writestr("xl/workbook.xml", '<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="One" sheetId="1" r:id="r1"/></sheets></workbook>')
         z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>')
         z.writestr("xl/sharedStrings.xml", '<sst xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><si><t>name</t></si><si><t>Ann</t></si></sst>')
-        z.writestr("xl/worksheets/sheet1.xml", SHEET)
+        z.writestr("xl/worksheets/sheet1.xml", sheet)
     return out.getvalue()
 
 
@@ -189,6 +189,19 @@ def test_sources(spark, tmp_path):
     assert files.file_hashes(spark, f"{at}/a.csv").count() == 1
 
 
+def test_late_columns_of_a_sheet(spark, tmp_path):
+    """A column that is first filled after the rows that are looked at for the header."""
+    cell = lambda at, x: f'<c r="{at}" t="inlineStr"><is><t>{x}</t></is></c>'
+    body = "".join(f'<row r="{i}">{cell(f"A{i}", f"n{i}")}{cell(f"C{i}", "late") if i == 14 else ""}</row>' for i in range(1, 16))
+    (tmp_path / "late.xlsx").write_bytes(workbook(f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{body}</sheetData></worksheet>'))
+    (tmp_path / "none.xlsx").write_bytes(workbook('<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData></sheetData></worksheet>'))
+    for header, names in ((True, ["n1", "col_1", "col_2"]), (False, ["col_0", "col_1", "col_2"])):
+        df = workbooks.read_workbook(spark, f"file://{tmp_path}/late.xlsx", header=header)
+        assert df.columns == [*names, "_source_record_number"] and df.count() == 15 - header
+        assert [r["col_2"] for r in df.where("col_2 is not null").collect()] == ["late"]
+    assert workbooks.read_workbook(spark, f"file://{tmp_path}/none.xlsx").count() == 0
+
+
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/1.csv").write_text("mail,n\na@x.org,1\nA@x.org,2\nbad,3\n")
