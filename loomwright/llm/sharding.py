@@ -20,12 +20,18 @@ WHOLE_GROUP = 0.01
 KEY = ["k1", "k2", "k3"]
 
 
+def digest(doc_id: Column, text: Column) -> list[Column]:
+    """doc_id, size and text_crc32; null texts count as empty, size 1."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    return [doc_id.cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")]
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32 and the key (hash of the text, doc_id, row number); null texts count as empty, size 1."""
+    """size, the key (hash of the text, doc_id, row number) and doc, a struct of all columns of a row."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(
-        F.col("doc_id").cast("long"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.xxhash64(text).alias("k1"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("k2"), F.monotonically_increasing_id().alias("k3"),
+        digest(F.col("doc_id"), F.col("text"))[1], F.xxhash64(text).alias("k1"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("k2"),
+        F.monotonically_increasing_id().alias("k3"), F.struct(*docs.columns).alias("doc"),
     )
 
 
@@ -126,19 +132,28 @@ def whole_groups(rows: DataFrame, ends: list[tuple], shard: float) -> list[tuple
     return [(e[0], -(2**63), -1) if e[0] in small else e for e in ends]
 
 
-def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """doc_id, size, text_crc32, shard and slot (gapless from 0 in each shard, in key order) of every row of ``docs``.
+def shard(docs: DataFrame, shards: int = SHARDS, carry: bool = False) -> DataFrame:
+    """doc_id, size, text_crc32, shard and slot (gapless from 0 in each shard, in key order) of every row of ``docs``; with
+    ``carry`` also doc, a struct of all its columns. The records move to their ranges (without ``carry`` Spark leaves out all
+    but doc_id and text), and size and text_crc32 are those of the moved ones.
 
     Bytes are near equal: a shard is off by a thousandth or so, plus one document, plus a group of equal texts below
     WHOLE_GROUP of a shard. A larger group of equal texts is parted. Null texts count as empty; repeated rows keep their
-    places by row number; an empty table gives no rows. Other columns of ``docs`` are not read."""
+    places by row number; an empty table gives no rows."""
     rows = stored(keyed(docs), "keys")
     ends, at = shard_ends(rows, shards)
-    fine = stored(rows.withColumn("range", range_of(sorted({*at, *ends}))).withColumn("shard", range_of(sorted(ends))), "ranges")
+    fine = rows.withColumn("range", range_of(sorted({*at, *ends}))).withColumn("shard", range_of(sorted(ends)))
     before = Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     counts = fine.groupBy("shard", "range").agg(F.count("*").alias("n")).select(F.col("range").alias("_range"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
-    slot = F.col("_before") + F.row_number().over(Window.partitionBy("range").orderBy(*KEY)) - 1
-    return fine.join(counts, F.col("range") == F.col("_range")).select("doc_id", "size", "text_crc32", "shard", slot.alias("slot"))
+    counts = stored(counts, "range-counts")  # a row for each range
+    nth = F.row_number().over(Window.partitionBy("range").orderBy(*KEY)).alias("_nth")
+    ranked = fine.select("range", "shard", "doc", nth)
+    return ranked.join(F.broadcast(counts), F.col("range") == F.col("_range")).select(*digest(F.col("doc.doc_id"), F.col("doc.text")), "shard", (F.col("_before") + F.col("_nth") - 1).alias("slot"), *(["doc"] if carry else []))
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
+    """The records of ``docs`` as Parquet in a folder for each shard (shard=0 and so on), with their slots; a file holds ranges of keys."""
+    shard(docs, shards, carry=True).select("shard", "slot", "doc").write.partitionBy("shard").parquet(path)
 
 
 def op3_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:

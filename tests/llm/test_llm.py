@@ -195,6 +195,19 @@ def test_shards(spark, docs, awkward, empty):
     assert sharding.shard(empty).count() == 0
 
 
+def test_records_of_shards(spark, awkward, tmp_path):
+    """The records themselves are in the shards, all columns of them."""
+    path = f"file://{tmp_path}/shards"
+    sharding.write_shards(awkward, path, 3)
+    back = spark.read.parquet(path)
+    assert sorted(map(str, back.select("doc.*").collect())) == sorted(map(str, awkward.collect()))
+    assert {f.name for f in tmp_path.joinpath("shards").iterdir() if f.is_dir()} == {f"shard={r['shard']}" for r in back.select("shard").distinct().collect()}
+    slots = {(r["shard"], r["slot"]): (r["doc_id"], r["size"], r["text_crc32"]) for r in sharding.shard(awkward, 3).collect()}
+    text = lambda r: (r["doc"]["text"] or "").encode()
+    assert {k[0] for k in slots} == {r["shard"] for r in back.collect()} and len(slots) == len(AWKWARD)
+    assert sorted(((r["doc"]["doc_id"], len(text(r)) + 1, zlib.crc32(text(r))) for r in back.collect()), key=str) == sorted(slots.values(), key=str)
+
+
 def test_shards_of_copies(spark):
     """A third of all rows are one text; groups that are small stay whole."""
     df = spark.range(30_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "the same").otherwise(F.concat(F.lit("text "), (F.col("id") % 5000).cast("string"))).alias("text"))
