@@ -30,10 +30,14 @@ def signals(column: str) -> dict[str, Column]:
     }
 
 
-def profile(df: DataFrame, columns: Sequence[str] | None = None, sample: int = 1000) -> DataFrame:
-    """A row for each column: its signals over the first ``sample`` rows, its share of nulls and its type."""
+def some(df: DataFrame, sample: int | None) -> DataFrame:
+    return df if sample is None else df.limit(sample)
+
+
+def profile(df: DataFrame, columns: Sequence[str] | None = None, sample: int | None = None) -> DataFrame:
+    """A row for each column: its signals over all rows (or any ``sample`` of them), its share of nulls and its type."""
     columns = list(columns or df.columns)
-    rows = df.select(*columns).limit(sample)
+    rows = some(df.select(*columns), sample)
     found = {c: signals(c) for c in columns}
     wide = rows.agg(F.count("*").alias("rows"), *[F.struct(*[v.alias(k) for k, v in s.items()]).alias(f"s{i}") for i, s in enumerate(found.values())])
     cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col("rows"), F.col(f"s{i}")["filled"].alias("filled"), *[F.col(f"s{i}")[k].alias(k) for k in found[c] if k != "filled"]) for i, c in enumerate(columns)])
@@ -47,7 +51,7 @@ def detected() -> Column:
     return F.when(F.col("filled") == 0, "TEXT").when((F.col("separated_phone") > 0) | (F.col("marked") > 0), "TEXT").when(F.col("numeric") == 1, number).when(F.col("date") >= DATE_SHARE, "TIMESTAMP").otherwise("TEXT")
 
 
-def typed(df: DataFrame, sample: int = 1000) -> dict[str, str]:
+def typed(df: DataFrame, sample: int | None = None) -> dict[str, str]:
     return {r["column"]: r["type"] for r in profile(df, sample=sample).select("column", "type").collect()}  # a row a column
 
 
@@ -74,11 +78,11 @@ def coerce_report(df: DataFrame, types: dict[str, str]) -> DataFrame:
     return counted.select(F.inline(cells)).withColumn("status", status)
 
 
-def multi_valued(df: DataFrame, columns: Sequence[str], sample: int = 1000) -> DataFrame:
+def multi_valued(df: DataFrame, columns: Sequence[str], sample: int | None = None) -> DataFrame:
     """Columns of which at least MULTI of the cells are JSON arrays, and what most of their items are."""
     out = None
     for c in columns:
-        cells = df.select(F.col(f"`{c}`").cast("string").alias("c")).limit(sample).where(F.trim("c") != "")
+        cells = some(df.select(F.col(f"`{c}`").cast("string").alias("c")), sample).where(F.trim("c") != "")
         items = F.when(F.col("c").rlike(r"^\s*\["), multivalue.values(F.col("c")))
         per_cell = cells.select(items.isNotNull().alias("listed"), F.explode_outer(items).alias("item"), F.coalesce(F.size(items), F.lit(1)).alias("n"))
         weight = 1 / F.greatest("n", F.lit(1))

@@ -189,6 +189,13 @@ def test_sources(spark, tmp_path):
     assert files.file_hashes(spark, f"{at}/a.csv").count() == 1
 
 
+def test_types_of_all_rows(spark):
+    """A cell beyond the first thousand counts."""
+    df = spark.range(0, 5000, 1, 1).selectExpr("if(id = 4000, '1.5', cast(id as string)) AS a", "if(id < 1000, '[\"x\"]', 'x') AS l")
+    assert inference.typed(df) == {"a": "DECIMAL", "l": "TEXT"} and inference.typed(df, sample=1000)["a"] == "INTEGER"
+    assert inference.multi_valued(df, ["l"]).count() == 0 and inference.multi_valued(df, ["l"], sample=1000).count() == 1
+
+
 def test_late_columns_of_a_sheet(spark, tmp_path):
     """A column that is first filled after the rows that are looked at for the header."""
     cell = lambda at, x: f'<c r="{at}" t="inlineStr"><is><t>{x}</t></is></c>'
