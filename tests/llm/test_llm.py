@@ -2,6 +2,8 @@
 
 import hashlib
 import itertools
+import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -56,6 +58,17 @@ def test_ids_are_the_librarys(name, docs):
         assert e.encode(text) == e.ids_of_whole(text)
 
 
+def test_ids_of_odd_strings():
+    """Letters, digits, marks, accents, spaces and line ends in any order: the ids are the library's."""
+    rng = random.Random(1)
+    parts = ["a", "B", "é", "É", "ﬁ", "İ", "Σ", "9", "0", *".,!%#$&*", "\n", "\n\n", " ", "  ", "'", "'s", "-", "_", "the", "The", "don't", "\t", "日", "é", "|", "<", "@", "~", "x.", "x-", "-.", "9.", "ab\ncd", "ab,\ncd.", "\r", " "]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        e = tokens.Encoder(public_tokenizers.path(name))
+        for _ in range(4000):
+            text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 9)))
+            assert e.encode(text) == e.ids_of_whole(text), repr(text)
+
+
 def brute_bins(lengths, capacity):
     """Best-fit decreasing, one by one."""
     left = []
@@ -340,14 +353,43 @@ def test_repeats_awkward(spark, awkward):
 # Pages
 
 
-def test_pages(spark):
-    model = pages.Model().fit(list(pages.labelled_pages()))
-    exact = n = 0
-    for page in pages.labelled_pages(150, 77):
-        tree = pages.Tree(page)
+@pytest.fixture(scope="module")
+def model():
+    return pages.Model().fit(list(pages.labelled_pages()))
+
+
+@pytest.mark.parametrize(("unnamed", "least"), [(0.0, 0.95), (1.0, 0.9)])
+def test_held_out_pages(model, unnamed, least):
+    """Other pages than those of the fit; in the second case no class or id is a word that the model knows."""
+    exact = 0
+    for page in pages.labelled_pages(150, 77, unnamed):
+        tree = pages.Tree(page, labelled=True)
         exact += tree.blocks(model.content(tree)) == tree.blocks([bool(y) for y in tree.label])
-        n += 1
-    assert exact >= 0.93 * n
+    assert exact >= least * 150
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<p data-y="12.5">One.</p>', "One."), ("<p data-x=it's>One.</p><p>Two.</p><p>It's three.</p>", "One.\n\nTwo.\n\nIt's three."), ('<p class="x" ">One.</p>', "One."),
+        ("<article><p>One.</p><object data=x><p>Two.</p><p>Three.</p></article>", "One.\n\nTwo.\n\nThree."), ("<article><h1>T</h1><p>The value <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p></article>", "T\n\nThe value x=2 holds."),
+        ("<p>a &lt; b &am<b>p;</b> 3 < 4 </p>", "a < b &amp; 3 < 4"), ("<p>x<!-- a > b --> y<!--> z", "x y z"), ("<p>Two<br>lines</p><script>a</script ><p>End", "Two lines\n\nEnd"), ("<p>x <a href='", "x"),
+        ("<header><button>Menu</header><article><p>The words of the story stand here.</p></article>", "The words of the story stand here."), ("<header><svg><title>Logo</header><article><p>The words of the story stand here.</p></article>", "The words of the story stand here."),
+        ("<article><p>One.</p><p>Two <button>Buy</button> two.</p><noscript><p>Three.</p></noscript></article>", "One.\n\nTwo two.\n\nThree."),
+    ],
+)
+def test_odd_markup(model, page, text):
+    assert pages.main_text(page, model) == text
+
+
+def test_pages_take_linear_time(model):
+    for page in ("<div>" * 20_000 + "x", '<a b="c>d ' * 16_000, "<a b='\"" * 16_000, "<a " * 50_000, "<b><div>" + "<i>" * 20_000 + "</b>" * 20_000, "<div>" * 20_000 + "<td></td>" * 20_000, "<button>x" * 20_000, "<script>" * 20_000):
+        began = time.process_time()
+        pages.main_text(page, model)
+        assert time.process_time() - began < 3
+
+
+def test_pages(spark, model):
     page = """<html><head><title>T</title></head><body><div id="cookie-notice">We use cookies.</div><ul class="menu"><li><a href="/">Home</a></ul><main><h1>Big &amp; small</h1>
       <p>First   part,<br>second <b>part</b>.<p>Another&nbsp;one.<div class="advert">Buy</div><script>x="</p>"</script></main>
       <div class="comments"><div class="comment"><p>Nice post!</p></div></div><footer>&copy; me</footer></body></html>"""
