@@ -8,16 +8,16 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 
 from .common import held
 
-#: Words whose pre-tokens are plain: Latin letters (all unchanged by NFC), a run of marks, and perhaps a second line.
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!%#$&*]*)(?:(\n)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!%#$&*]*))?")
-#: Words, and pre-tokens of words, that a worker keeps; the frequent ones come first, the rest are encoded when they come.
-KEPT_WORDS = 300_000
+#: Letters whose words are one pre-token each (Latin, all unchanged by NFC), and marks that are one when they follow each other.
+LETTERS, MARKS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+"), ".,!%#$&*"
+#: Words that a worker keeps, and marked words beside them; the frequent ones come first, the rest are put together when they come.
+KEPT_WORDS, KEPT_MARKED = 500_000, 250_000
 
 
 def byte_letters() -> list[str]:
@@ -29,18 +29,45 @@ def byte_letters() -> list[str]:
 
 
 class Words(dict):
-    """word -> its ids as little-endian 32-bit bytes."""
+    """Word -> its ids where it stands after ``space``, as little-endian 32-bit bytes. A word of letters with marks behind it is put
+    together from both, one with a line's end in it from its lines; any other is encoded whole."""
 
-    def __init__(self, encode: Callable[[str], bytes]):
-        self.encode = encode
+    def __init__(self, encoder: Encoder, space: str):
+        self.encoder, self.space, self.marked = encoder, space, 0
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.encode(word)
-        if len(self) < KEPT_WORDS:
+        letters = word.rstrip(MARKS)
+        if len(letters) < len(word) and LETTERS.fullmatch(letters):
+            ids = self[letters] + self.encoder.marks[word[len(letters) :]]
+            if self.marked < KEPT_MARKED:
+                self.marked += 1
+                self[word] = ids
+            return ids
+        if LETTERS.fullmatch(word):
+            ids = self.encoder.of_letters(self.space, word)
+        else:
+            head, line, tail = word.partition("\n")
+            if line and LETTERS.fullmatch(head.rstrip(MARKS)) and LETTERS.fullmatch(tail.rstrip(MARKS)):
+                return self[head] + self.encoder.newline + self.encoder.first[tail]
+            ids = self.encoder.ids_of_whole(self.space + word)
+        if len(self) - self.marked < KEPT_WORDS:
             self[word] = ids
         return ids
 
 
+class Marks(dict):
+    """Marks in a row, one pre-token -> their ids."""
+
+    def __init__(self, encoder: Encoder):
+        self.encoder = encoder
+
+    def __missing__(self, marks: str) -> bytes:
+        ids = self.encoder.pre_token(marks)
+        if len(self) < KEPT_MARKED:
+            self[marks] = ids
+        return ids
+
+
 class Encoder:
     """encode(text) -> ids as little-endian unsigned 32-bit bytes, equal to tokenizers' encode(text, add_special_tokens=False)."""
 
@@ -53,8 +80,9 @@ class Encoder:
         self.letters = byte_letters()
         self.spaced = self.ids_of_whole(" a") != self.ids_of_whole("a")
         self.lower = self.ids_of_whole("A") == self.ids_of_whole("a")
-        self.first, self.later = Words(lambda w: self.of_word("", w)), Words(lambda w: self.of_word(" " if self.spaced else "", w))
-        self.pieces, self.newline = Words(self.pre_token), self.ids_of_whole("\n")
+        self.newline = self.ids_of_whole("\n")
+        self.marks, self.first = Marks(self), Words(self, "")
+        self.later = Words(self, " ") if self.spaced else self.first
 
     def ids_of_whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -64,15 +92,8 @@ class Encoder:
         spelled = piece if piece.isascii() and piece[0] != " " else "\u0120" + piece[1:] if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
         return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
-    def letters_and_marks(self, space: str, letters: str, marks: str) -> bytes:
-        ids = self.pieces[space + (letters.lower() if self.lower else letters)]
-        return ids + self.pieces[marks] if marks else ids
-
-    def of_word(self, space: str, word: str) -> bytes:
-        if m := PLAIN.fullmatch(word):
-            ids = self.letters_and_marks(space, m[1], m[2])
-            return ids + self.newline + self.letters_and_marks("", m[4], m[5]) if m[3] else ids
-        return self.ids_of_whole(space + word)
+    def of_letters(self, space: str, letters: str) -> bytes:
+        return self.pre_token(space + (letters.lower() if self.lower else letters))
 
     def encode(self, text: str) -> bytes:
         if not text:
