@@ -13,16 +13,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
 from .common import salted_rank, stored, table
 
 CAPACITY = 2048
-PIECES = "doc_id long, piece int, start long, length long, ids binary"
-#: Buckets that pieces of one length are ranked in; more let one length hold more rows.
-RANK_SALTS = 256
+PIECES = "doc_id long, piece int, start long, length long, ids binary, part int, nth long"
+NAMES, TYPES = ["doc_id", "piece", "start", "length", "ids", "part", "nth"], [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
+#: Pieces of one length that a bucket holds at most, or so; a length has as many buckets as it needs.
+RANKED_ROWS = 1_000_000
 
 
 class CapacityTree:
@@ -95,14 +97,36 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
     return np.array(steps, dtype=np.int64).reshape(-1, 5), bins
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset to ``pieces`` (a table that is read twice; columns doc_id, piece and length from 1
-    to ``capacity``; further columns stay). Ties and repeated rows are placed next to each other; an empty table stays empty."""
+def histogram(pieces: DataFrame, capacity: int) -> dict[int, int]:
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     if any(x is None or not 0 < x <= capacity for x in counts):
         raise ValueError("piece lengths must be from 1 to the capacity")
+    return counts
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Adds sequence_id and offset to ``pieces`` (a table that is read twice; columns doc_id, piece and length from 1
+    to ``capacity``; further columns stay). Ties and repeated rows are placed next to each other; an empty table stays empty."""
+    counts = histogram(pieces, capacity)
+    salts = 256 + max(counts.values(), default=0) // RANKED_ROWS
+    ranked = salted_rank(pieces, ["length"], [F.col("doc_id"), F.col("piece")], F.xxhash64("doc_id", "piece"), salts, "rank", null_keys=False)
+    return placed(ranked, counts, capacity)
+
+
+def pack_numbered(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """As ``pack``, of a stored table that says which task made a piece (part) and how many of its length that task had made
+    before (nth). Ranks are nth and the counts of earlier tasks, so pieces stay where they are, as long as Spark finds the
+    counts (a row for each task and length) small enough to broadcast; beyond that it moves pieces once, by task and length."""
+    counts = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = stored(counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "piece-counts")
+    ranked = pieces.join(starts, ["part", "length"]).withColumn("rank", F.col("before") + F.col("nth"))
+    return placed(ranked.select(*[c for c in pieces.columns if c not in ("part", "nth")], "rank"), histogram(pieces, capacity), capacity)
+
+
+def placed(ranked: DataFrame, counts: dict[int, int], capacity: int) -> DataFrame:
+    """Sequences and offsets by length and rank."""
     steps, _ = plan(counts, capacity)
-    ranked = salted_rank(pieces, ["length"], [F.col("doc_id"), F.col("piece")], F.xxhash64("doc_id", "piece"), RANK_SALTS, "rank", null_keys=False)
     big = np.int64(1) << 40
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,20 +161,23 @@ def unzipped(moved: bytes, length: int) -> bytes:
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = CAPACITY, zip_ids: bool = False) -> DataFrame:
     """The pieces of every whole text: its ids, then ``end_id``, cut to ``capacity``; ids as little-endian 32-bit bytes,
-    ``zipped`` with ``zip_ids``.
+    ``zipped`` with ``zip_ids``; the task that made a piece, and how many of the length it had made before.
 
     A null or empty text is its end id alone; other columns of ``docs`` are not read."""
     end = array("I", [end_id]).tobytes()
     form = zipped if zip_ids else bytes
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, made = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in batches:
             out = []
             for doc_id, ids in zip(batch.column(0), tokens.encode_column(batch.column(1), tokenizer_path), strict=True):
                 ids += end
-                out += [(doc_id.as_py(), k, start, n, form(ids[4 * start : 4 * (start + n)])) for k, (start, n) in enumerate(cut(len(ids) // 4, capacity))]
+                for k, (start, n) in enumerate(cut(len(ids) // 4, capacity)):
+                    out.append((doc_id.as_py(), k, start, n, form(ids[4 * start : 4 * (start + n)]), part, made[n]))
+                    made[n] += 1
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "piece", "start", "length", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), TYPES, strict=True)], names=NAMES)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(pieces, PIECES)
 
@@ -180,7 +207,7 @@ def packed_zipped(docs: DataFrame) -> DataFrame:
     """doc_id, piece, start, length, zipped ids, sequence_id and offset of every piece of ``docs``."""
     import public_tokenizers
 
-    return pack(stored(token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), zip_ids=True), "pieces"))
+    return pack_numbered(stored(token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), zip_ids=True), "pieces"))
 
 
 def packed_pieces(docs: DataFrame) -> DataFrame:
