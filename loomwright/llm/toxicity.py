@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -82,7 +82,7 @@ def fit(examples: list[tuple[np.ndarray, int]]) -> np.ndarray:
 def train(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Indices and values of the weights that are not 0, fitted to ``labelled`` (doc_id, text, toxic: TRAIN_ROWS rows at most).
 
-    The bounded sample is fitted in one task, as FTRL goes through it in order. No rows give no weights, thus scores of 0.5 and predictions of 1 only by the threshold's tie; see ``score``."""
+    The bounded sample is fitted in one task, as FTRL goes through it in order. No rows give no weights; see ``score``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         examples = [(features(*grams(text.as_py() or "")).astype(np.int32), label.as_py()) for b in batches for text, label in zip(b.column("text"), b.column("toxic"), strict=True)]
@@ -102,12 +102,14 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # TRAIN_ROWS rows
 
 
-def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id and score (0 to 1) of every row of ``docs``, over its whole text.
+def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], carry: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The columns ``carry`` and score (0 to 1) of every row of ``docs``, over its whole text.
 
-    Null and empty texts, and texts without words, have the score of the bias alone. Rows that repeat are scored each;
-    other columns are not read. The weights reach the tasks as a broadcast of at most LEVELS << BITS numbers."""
+    Null and empty texts, and texts without words, have the score of the bias alone. Without weights nothing speaks for
+    toxicity, and the score is 0. Rows that repeat are scored each; other columns are not read. The weights reach the tasks
+    as a broadcast of at most LEVELS << BITS numbers."""
     sent = docs.sparkSession.sparkContext.broadcast(weights)
+    rows = docs.select(*[F.col(c).cast("long").alias(c) if c == "doc_id" else F.col(c) for c in carry], F.col("text").cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, value = sent.value
@@ -116,12 +118,13 @@ def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray]) -> DataFrame:
         live = (w.reshape(-1, LEVELS) != 0).any(axis=1)
         for batch in batches:
             out = []
-            for text in batch.column("text"):
+            for text in batch.column("_text"):
                 slots, n_words = grams(text.as_py() or "")
                 out.append(w[features(slots[live[slots]], n_words)].sum())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(np.array(out, dtype=float), -35, 35))))], names=["doc_id", "score"])
+            scores = 1 / (1 + np.exp(-np.clip(np.array(out, dtype=float), -35, 35))) if len(at) else np.zeros(len(out))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(carry))), pa.array(scores)], names=[*carry, "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+    return rows.mapInArrow(run, rows.drop("_text").schema.add("score", "double"))
 
 
 def op10_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
