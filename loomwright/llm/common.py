@@ -35,9 +35,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that the cluster shares (``spark.checkpoint.dir``); a temporary one only where none is set."""
+    """A new path in the folder that the cluster shares (``spark.checkpoint.dir``). Where none is set, a temporary one of this
+    machine serves a local session; on a cluster that would lose what other machines write, so it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         root = "file://" + tempfile.mkdtemp(prefix="loomwright-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -52,12 +55,6 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def salted_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], salt: Column, n_salts: int, out: str, beside: DataFrame | None = None, null_keys: bool = True) -> DataFrame:
     """Adds ``out``: each row's gapless rank from 0 among its ``keys``, in the order of (salt bucket, order).
 
@@ -81,3 +78,15 @@ def salted_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], sal
     inside = Window.partitionBy(*keys, "_salt").orderBy(*order)
     ranked = df.join(offsets, same).withColumn(out, F.col("_before") + F.row_number().over(inside) - 1)
     return ranked.drop("_salt", "_s", "_before", *[f"_k{i}" for i in range(len(keys))])
+
+
+def with_totals(df: DataFrame, keys: Sequence[str], spread: Column, totals: dict[str, tuple[Column, Callable[[Column], Column]]], n_salts: int = 32) -> DataFrame:
+    """Adds aggregates of the rows of a key to each of them; a key may hold any share of the rows.
+
+    ``totals`` says for each new column how rows are aggregated and how the parts of a key are. Rows meet by key and a salt
+    of ``spread`` only; keys meet with what is left of them, ``n_salts`` rows each at most."""
+    salted = df.withColumn("_salt", F.pmod(spread, F.lit(n_salts)).cast("int"))
+    parts = salted.groupBy(*keys, "_salt").agg(*[rows.alias(name) for name, (rows, _) in totals.items()])
+    whole = parts.groupBy(*keys).agg(*[join(F.col(name)).alias(name) for name, (_, join) in totals.items()])
+    told = parts.select(*keys, "_salt").join(whole, list(keys))
+    return salted.join(told, [*keys, "_salt"]).drop("_salt")

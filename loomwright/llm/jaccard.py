@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held, stored, table
+from .common import held, stored, table, with_totals
 
 SHINGLE, THRESHOLD = 5, (4, 5)  # words; similarity of at least 4/5
 BANDS, BAND = 32, 4
@@ -94,8 +94,10 @@ def texts() -> list[Column]:
     return [F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash")]
 
 
-def signed(docs: DataFrame) -> DataFrame:
-    """rid (row number), doc_id, text_hash, n (shingles), set_key (digest of the shingle set) and signature of every row."""
+def signed(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """rid (row number), doc_id, text_hash, n (shingles), set_key (digest of the shingle set) and signature of every row, and
+    what ``row`` names."""
+    extra = [F.col(row).cast("long").alias("_row")] if row else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,9 +107,11 @@ def signed(docs: DataFrame) -> DataFrame:
                 n.append(len(h))
                 keys.append(xxhash.xxh3_128_digest(h.tobytes()))
                 sigs.append(signature(h).tobytes() if len(h) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "text_hash", "n", "set_key", "signature"])
+            made = [pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())]
+            also = [batch.column("_row")] if row else []
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *made, *also], names=["doc_id", "text_hash", "n", "set_key", "signature", "_row"][: 5 + len(also)])
 
-    rows = docs.select(*texts()).mapInArrow(run, "doc_id long, text_hash long, n long, set_key binary, signature binary")
+    rows = docs.select(*texts(), *extra).mapInArrow(run, "doc_id long, text_hash long, n long, set_key binary, signature binary" + (", _row long" if row else ""))
     return rows.withColumn("rid", F.monotonically_increasing_id())
 
 
@@ -181,9 +185,12 @@ def components(edges: DataFrame) -> DataFrame:
     def star(pairs: DataFrame, large: bool) -> DataFrame:
         # each u tells its smallest neighbour (or itself) to its larger (smaller) neighbours; u > v in pairs
         near = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else pairs
-        least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        told = near.join(least, "u")
-        out = told.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")) if large else told.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        # the neighbours of a hub are many: they don't meet in one task
+        told = with_totals(near, ["u"], F.xxhash64("v"), {"least": (F.min("v"), F.min)}).withColumn("m", F.least("least", "u"))
+        if large:
+            out = told.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        else:
+            out = told.select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))))
         return out.where("u > v").distinct()
 
     def mark(pairs: DataFrame) -> tuple:
@@ -199,15 +206,18 @@ def components(edges: DataFrame) -> DataFrame:
         had = now
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, row: str | None = None) -> DataFrame:
     """doc_id, class_id and n_links of every row of ``docs``: the smallest doc_id of its class, and how many other rows have
     a similarity of 0.8 or more to it. Classes are connected by such links; equal shingle sets have the similarity 1.
+    With ``row``, a column of row ids, also that column and first: whether the row is the one of its class that has the
+    smallest doc_id (a row without doc_id is it only if all are without; of equal ones, one is).
 
     Null and empty texts, and texts without words, link to nothing; a text of fewer than five words has one shingle, all of it.
     Rows that repeat are copies of each other. Word order and case count, white space doesn't. Other columns are not read."""
-    rows = stored(signed(docs), "signatures")
+    rows = stored(signed(docs, row), "signatures")
     full = rows.where("n > 0")
-    groups = stored(full.groupBy("set_key").agg(F.min("rid").alias("rep"), F.count("*").alias("copies"), F.min("doc_id").alias("least")), "copies")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
+    groups = stored(full.groupBy("set_key").agg(F.min("rid").alias("rep"), F.count("*").alias("copies"), F.min(place).alias("least")), "copies")
     reps = full.join(groups, (full["rid"] == groups["rep"]) & (full["set_key"] == groups["set_key"])).select("rid", "doc_id", "text_hash", "n", "signature", "copies")
     filled = stored(buckets(reps), "buckets")
     wanted = reps.join(filled.select("rid").distinct(), "rid").withColumnsRenamed({"doc_id": "_doc_id", "text_hash": "_text_hash"})
@@ -221,13 +231,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = found.groupBy("rid").agg(F.sum("links").alias("links"))
     classes = groups.join(components(found), F.col("rep") == F.col("rid"), "left").drop("rid").join(links, F.col("rep") == F.col("rid"), "left")
     classes = stored(classes.select("set_key", "copies", "least", F.coalesce("root", "rep").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "classes")
-    names = stored(classes.groupBy("root").agg(F.min("least").alias("class_id")), "class-names")
-    named = stored(classes.join(names, "root").select("set_key", (F.col("links") + F.col("copies") - 1).alias("n_links"), "class_id"), "named-classes")
+    names = stored(classes.groupBy("root").agg(F.min("least").alias("head")), "class-names")
+    named = stored(classes.join(names, "root").select("set_key", (F.col("links") + F.col("copies") - 1).alias("n_links"), "head"), "named-classes")
     # both sides are tables: the join can split the rows of a set that many documents have
     # texts without words have keys of their own, so that they don't meet in one task
     key = F.when(F.col("n") > 0, F.col("set_key")).otherwise(F.encode(F.col("rid").cast("string"), "utf-8"))
-    members = rows.select("doc_id", key.alias("set_key")).join(named, "set_key", "left")
-    return members.select("doc_id", F.when(F.col("n_links").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    members = rows.withColumn("set_key", key).join(named, "set_key", "left")
+    alone = F.col("n_links").isNull()
+    out = ["doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")]
+    return members.select(*out, *([F.col("_row").alias(row), (alone | (F.col("rid") == F.col("head.rid"))).alias("first")] if row else []))
 
 
 def op2_bayesian_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
