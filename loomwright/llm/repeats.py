@@ -1,4 +1,5 @@
-"""Removal of passages that repeat across documents, exact to the byte, without moving a suffix of every position.
+"""Removal of passages that repeat across documents, byte by byte, without moving a suffix of every position. Strings are told
+apart by 64-bit fingerprints: what repeats is always found, and among n strings some n * n / 2**65 meet by chance.
 
 Suffixes are sampled, named, and unsampled ones are settled through the sampled one they contain. The sample is a
 synchronizing set, the content-defined form of a difference cover: a position is in it if the 26 bytes from there have the
@@ -26,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import stored, table, with_totals
 
 #: A repeat has so many bytes at least; a name has NAME, and any REPEAT bytes hold WINDOW names.
 REPEAT, NAME = 50, 26
@@ -38,8 +39,8 @@ NAME_BITS = 48
 PORTION = 1 << 23
 #: Names in one row of those that are known to be shared.
 SETTLED = 100_000
-#: In place of a doc_id: of rows that have none, and of names that stand for no document.
-LAST, NONE = 2**63 - 1, -(2**63)
+#: In place of a doc_id: from LAST on those of rows that have none; and that of names that stand for no document.
+LAST, NONE = 2**62, -(2**63)
 
 PARTS = "range long, known boolean, names binary, docs binary, ords binary"
 
@@ -342,7 +343,8 @@ def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 gone.append(int(cut.sum()))
                 runs.append(int(cut[:1].sum() + (cut[1:] & ~cut[:-1]).sum()))
                 kept.append(s.data[a:b][~cut].tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+        also = [batch.column("row")] if "row" in batch.schema.names else []
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary()), *also], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "row"][: 5 + len(also)])
 
 
 def bucketed(df: DataFrame, label: str) -> DataFrame:
@@ -354,20 +356,24 @@ def bucketed(df: DataFrame, label: str) -> DataFrame:
     return spark.table(name)
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes) of every row of ``docs``.
+def without_repeats(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes) of every row of ``docs``, and the column ``row`` (row ids) if it is named.
 
     A byte goes if a 50-byte string that covers it also starts in a document with a smaller doc_id, by the input. Null texts
-    are empty; rows without doc_id come after all others; rows of one doc_id are one document and don't remove each other.
-    Names are 48-bit and strings 64-bit fingerprints. Other columns are not read; an empty table gives no rows."""
+    are empty. Rows without doc_id are documents of their own that come after all others, in any order; rows of one doc_id are
+    one document and don't remove each other. doc_ids are below 2**62. Names are 48-bit and strings 64-bit fingerprints.
+    Other columns are not read; an empty table gives no rows."""
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    texts = bucketed(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("ord"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b")).alias("digest")), "texts")
+    extra = [F.col(row).cast("long").alias("row")] if row else []
+    place = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST) + F.monotonically_increasing_id())
+    texts = bucketed(docs.select(place.alias("ord"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b")).alias("digest"), *extra), "texts")
+    extra = ["row"] if row else []
     # a table of its own: the join with it can split the rows of a digest
     firsts = stored(texts.groupBy("digest").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).where("first < last"), "digests")
     digests = texts.select("ord", "digest").join(firsts, "digest").where("ord > first").groupBy("ord").agg(F.collect_set("digest").alias("copies"))
     digests = stored(digests, "copies")
     is_copy = F.coalesce(F.array_contains("copies", F.col("digest")), F.lit(False))
-    texts = texts.join(digests, "ord", "left").select("ord", "doc_id", "text", is_copy.alias("copy"))
+    texts = texts.join(digests, "ord", "left").select("ord", "doc_id", "text", is_copy.alias("copy"), *extra)
     own = texts.where(~F.col("copy"))
 
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -378,9 +384,10 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     contexts = own.select("ord", "text").join(names, "ord").mapInArrow(context_rows, "name long, context long, ord long")
     owners = stored(contexts.groupBy("name", "context").agg(F.min("ord").alias("ord")), "owners")
-    several = owners.groupBy("name").agg(F.count("*").alias("n"))
+    # a name may have any share of all contexts
+    claimed = with_totals(owners, ["name"], F.col("context"), {"n": (F.count("*"), F.sum)})
     blob = lambda c, when: F.collect_list(F.when(when, bits(c)))
-    claims = owners.join(several, "name").groupBy("ord").agg(blob("context", F.lit(True)).alias("owned"), blob("context", F.col("n") > 1).alias("open"))
+    claims = claimed.groupBy("ord").agg(blob("context", F.lit(True)).alias("owned"), blob("context", F.col("n") > 1).alias("open"))
     claims = bucketed(claims, "claims")
 
     opened = own.select("ord", "text").join(names, "ord").join(claims.where(F.size("open") > 0).select("ord", "open"), "ord").select("ord", "text", "names", "open")
@@ -388,7 +395,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     repeats = strings.groupBy("ord").agg(F.collect_list("strings").alias("repeats"))
     # copies have no names joined: they go whole
     all_ = texts.join(names, "ord", "left").join(claims.select("ord", "owned"), "ord", "left").join(repeats, "ord", "left")
-    return all_.select("doc_id", "text", "copy", *[F.when(~F.col("copy"), F.col(c)).alias(c) for c in ("names", "owned", "repeats")]).mapInArrow(removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary" + (", row long" if row else "")
+    out = all_.select("doc_id", "text", "copy", *extra, *[F.when(~F.col("copy"), F.col(c)).alias(c) for c in ("names", "owned", "repeats")]).mapInArrow(removed, schema)
+    return out.withColumnRenamed("row", row) if row else out
 
 
 def bits(c: str) -> Column:
