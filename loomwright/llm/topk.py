@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import stored, table
 
 K, SCALE = 5, 256
-BLOCK, QUERY_BLOCK = 2048, 256
+BLOCK, QUERY_BLOCK = 2048, 1024
 BINS = 1024
 PACKED = "block long, ids binary, dim int, vectors binary"
 
@@ -30,8 +30,8 @@ def usable(vector: Column) -> Column:
 
 
 def packed(rows: DataFrame, size: int) -> tuple[DataFrame, int]:
-    """Blocks of about ``size`` rows (vec_id, embedding): ids and vectors as 64-bit integers, floor(SCALE * component);
-    shorter vectors are filled with zeros. Also the number of blocks."""
+    """Blocks of about ``size`` rows (vec_id, embedding): ids and vectors as integers, floor(SCALE * component), of 32 bits
+    where those hold a block's, else of 64; shorter vectors are filled with zeros. Also the number of blocks."""
     n = max(1, -(-rows.count() // size))
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
@@ -39,14 +39,17 @@ def packed(rows: DataFrame, size: int) -> tuple[DataFrame, int]:
         out = np.zeros((len(rows), dim), dtype=np.int64)
         for i, v in enumerate(rows["embedding"]):
             out[i, : len(v)] = np.floor(SCALE * np.asarray(v, dtype=np.float64))
+        if np.abs(out).max(initial=0) < 2**31:
+            out = out.astype(np.int32)
         return pd.DataFrame({"block": [int(rows["block"].iloc[0])], "ids": [rows["vec_id"].to_numpy(np.int64).tobytes()], "dim": [dim], "vectors": [out.tobytes()]})
 
-    dealt = rows.withColumn("block", F.monotonically_increasing_id() % n)
+    # by a hash of the row's number: even, however short the partitions are and however often a vec_id is there
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)))
     return stored(dealt.groupBy("block").applyInPandas(pack, PACKED), "blocks"), n
 
 
 def matrix(vectors: bytes, dim: int, n: int) -> np.ndarray:
-    return np.frombuffer(vectors, dtype=np.int64).reshape(n, dim)
+    return np.frombuffer(vectors, dtype=np.int64 if len(vectors) == 8 * n * dim else np.int32).reshape(n, dim)
 
 
 def scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -54,7 +57,7 @@ def scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     dim = min(q.shape[1], v.shape[1])
     q, v = q[:, :dim], v[:, :dim]
     if dim and q.size and v.size and float(np.abs(q).max()) * float(np.abs(v).max()) * dim >= 2**53:
-        return q @ v.T
+        return q.astype(np.int64) @ v.T.astype(np.int64)
     return (q.astype(np.float64) @ v.T.astype(np.float64)).astype(np.int64)
 
 
@@ -98,7 +101,7 @@ def limit(*blocks: DataFrame) -> int:
 
     def largest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            yield pd.DataFrame({"dim": rows["dim"], "most": [float(np.abs(np.frombuffer(v, dtype=np.int64)).max(initial=0)) for v in rows["vectors"]]})
+            yield pd.DataFrame({"dim": rows["dim"], "most": [float(np.abs(matrix(v, d, len(i) // 8)).max(initial=0)) for i, v, d in zip(rows["ids"], rows["vectors"], rows["dim"], strict=True)]})
 
     tops = [b.mapInPandas(largest, "dim int, most double").agg(F.max("dim"), F.max("most")).first() for b in blocks]
     bound = min(t[0] or 0 for t in tops) * int(tops[0][1] or 0) * int(tops[1][1] or 0)
