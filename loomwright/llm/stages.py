@@ -1,11 +1,15 @@
-"""The operators as steps of a corpus pipeline: documents in, documents out."""
+"""The operators as steps of a corpus pipeline: documents in, documents out.
+
+Each stage gives its rows ids of their own first, and the operator's verdict is joined to them: what happens to a row never
+depends on another row having its doc_id, or on the row having none. Columns of the input keep their names and values, whatever
+they are called, except text and n_chars where a stage changes the text. Empty tables stay empty."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stored, table
@@ -16,47 +20,59 @@ from .repeats import without_repeats
 from .toxicity import THRESHOLD, score, train, training_rows
 
 
+def with_rows(docs: DataFrame, label: str, *columns: str) -> DataFrame:
+    """row (an id that stays), the named columns and doc, a struct of all columns; written down."""
+    row = F.monotonically_increasing_id().alias("row")
+    return stored(docs.select(row, *columns, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")), label)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below the threshold; the model is fitted to the labelled rows among ``docs``."""
-    scores = score(docs, train(training_rows(docs, table(spark, sf_dir, "labels"))))
-    bad = stored(scores.where(F.col("score") >= THRESHOLD).select("doc_id").distinct(), "toxic")
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """Rows whose text scores below the threshold; the model is fitted to the labelled rows among ``docs``.
+
+    Each row is judged by its own text, with or without doc_id. Null and empty texts have the score of the bias alone.
+    Without a labelled row nothing is known of toxicity, the score is 0, and all rows stay."""
+    weights = train(training_rows(docs, table(spark, sf_dir, "labels")))
+    rows = docs.select(F.col("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    return score(rows, weights, carry=("doc",)).where(F.col("score") < THRESHOLD).select("doc.*")
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class: that of the smallest doc_id. Rows without doc_id stay."""
-    members = near_duplicates(docs)
-    rest = stored(members.where(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct(), "near-copies")
-    kept = docs.join(rest, "doc_id", "left_anti").select(*docs.columns)
-    again = kept.withColumn("_rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
-    return again.where(F.col("doc_id").isNull() | (F.col("_rank") == 1)).drop("_rank")
+    """One row of each near-duplicate class: that of the smallest doc_id (none: last), and of equal ones any one.
+
+    Rows of equal doc_id are copies only if their texts are near. Texts without words are near to nothing and stay."""
+    rows = with_rows(docs, "near-rows", "doc_id", "text")
+    members = near_duplicates(rows.select("doc_id", "text", "row"), row="row")
+    gone = stored(members.where(~F.col("first")).select("row"), "near-copies")
+    return rows.join(gone, "row", "left_anti").select("doc.*")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages of 50 bytes or more that a document of smaller doc_id has. A document of which nothing is left
-    goes; what is left of a character that was cut in two goes too."""
+    """Texts without passages of 50 bytes or more that a document of smaller doc_id has; rows without doc_id come after all
+    others, and count as documents of their own. Rows of one doc_id are one document and don't cut each other. A row of which
+    nothing is left goes; one that was empty stays. What is left of a character that was cut in two goes too."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left = [x.as_buffer().to_pybytes().decode("utf-8", "ignore") for x in batch.column("kept")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(left, pa.string())], names=["doc_id", "_left"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("n_bytes"), batch.column("n_removed"), pa.array(left, pa.string())], names=["row", "n_bytes", "n_removed", "left"])
 
-    rows = stored(without_repeats(docs).where("n_removed > 0"), "cut")
-    gone = rows.where("n_removed = n_bytes").select("doc_id").distinct()
-    changed = rows.where("n_removed < n_bytes").select("doc_id", "kept").mapInArrow(decode, "doc_id long, _left string").dropDuplicates(["doc_id"])
-    left = docs.join(gone, "doc_id", "left_anti").join(changed, "doc_id", "left")
-    text = F.coalesce("_left", "text")
-    new = {"text": text, "n_chars": F.when(F.col("_left").isNull(), F.col("n_chars")).otherwise(F.length("_left").cast("long"))}
-    return left.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    rows = with_rows(docs, "passage-rows", "doc_id", "text")
+    cut = without_repeats(rows.select("doc_id", "text", "row"), row="row").where("n_removed > 0")
+    cut = stored(cut.mapInArrow(decode, "row long, n_bytes long, n_removed long, left string"), "cut")
+    both = rows.join(cut, "row", "left").where("n_removed IS NULL OR n_removed < n_bytes")
+    new = {"text": F.coalesce("left", "doc.text"), "n_chars": F.when(F.col("left").isNull(), F.col("doc")["n_chars"]).otherwise(F.length("left").cast("long")) if "n_chars" in docs.columns else None}
+    return both.select(*[new[c].alias(c) if c in new else F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; documents of no words have nothing to take and go."""
+    """Each row as often as the mix takes it; rows of no words (null and empty texts among them) have nothing to take and go.
+    Rows without source are a source of their own; rows that repeat are taken each for itself."""
     taken = mix(docs, carry=True).where("taken > 0")
     times = (F.col("taken") / F.col("size")).cast("int")
-    return taken.select("doc", F.explode(F.sequence(F.lit(1), times)).alias("_copy")).select("doc.*")
+    return taken.select("doc", F.explode(F.sequence(F.lit(1), times))).select("doc.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents with their token ids, beside the sequence that each is in and its offset there."""
+    """The pieces of the documents with their token ids, beside the sequence that each is in and its offset there. A null or
+    empty text is one piece, its end id; rows that repeat are packed each; other columns don't come along."""
     return packed_pieces(docs)

@@ -491,6 +491,39 @@ def test_search(spark, monkeypatch):
     assert topk.search(df.where("vec_id = 1"), df.where("vec_id = 1")).count() == 0
 
 
+def test_fit_is_ftrl():
+    """The weights are those of FTRL-proximal as published, one coordinate at a time."""
+    rng = np.random.default_rng(6)
+    examples = [(np.unique(rng.integers(0, 40, 8)), int(rng.integers(0, 2))) for _ in range(200)]
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        if abs(z[i]) <= toxicity.L1:
+            return 0.0
+        return -(z[i] - np.sign(z[i]) * toxicity.L1) / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.EPOCHS):
+        for on, y in examples:
+            w = {i: weight(i) for i in on.tolist()}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - y
+            for i in w:
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / toxicity.ALPHA * w[i]
+                n[i] += g * g
+    got = toxicity.fit(examples)
+    assert np.allclose(got[:40], [weight(i) for i in range(40)]) and not got[40:].any() and (got[:40] != 0).any()
+
+
+def test_starts_of_repeated_ids(spark, tmp_path):
+    """Rows of one doc_id start where the files have them."""
+    df = spark.createDataFrame([(1, " ".join(["word"] * n)) for n in (3, 9, 1, 7, 5)], "doc_id long, text string")
+    path = f"file://{tmp_path}/same"
+    token_files.write_token_files(df, path, public_tokenizers.path("word_bpe_49k.json"))
+    back = token_files.read_token_files(spark, path)
+    in_files = [r["n_tokens"] for r in sorted(back.collect(), key=lambda r: r["place"])]
+    starts = [r["n_tokens"] for r in sorted(rows(token_files.with_starts(token_files.digest(back))), key=lambda r: r["start"])]
+    assert starts == in_files
+
+
 def test_toxicity(spark, awkward, empty):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
     got = {r["doc_id"]: r for r in rows(QUERIES["op10_ftrl_toxicity"](spark, "/root/testdata/sf0.1"))}
@@ -501,4 +534,6 @@ def test_toxicity(spark, awkward, empty):
     assert hits >= 0.85 * sum(y for _, y in held) and sum(p and not y for p, y in held) <= 0.02 * len(held)
     weights = toxicity.train(toxicity.training_rows(awkward.where("doc_id > 0"), spark.createDataFrame([(4, 1), (6, 0), (2, None)], "doc_id long, toxic int")))
     assert toxicity.score(awkward, weights).count() == len(AWKWARD)
+    nothing = toxicity.train(toxicity.training_rows(awkward, labels.limit(0)))
+    assert [r["score"] for r in toxicity.score(awkward, nothing).collect()] == [0.0] * len(AWKWARD)
     assert toxicity.score(empty, toxicity.train(toxicity.training_rows(empty, labels.limit(0)))).count() == 0
