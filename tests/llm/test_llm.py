@@ -519,7 +519,8 @@ def test_starts_of_repeated_ids(spark, tmp_path):
     path = f"file://{tmp_path}/same"
     token_files.write_token_files(df, path, public_tokenizers.path("word_bpe_49k.json"))
     back = token_files.read_token_files(spark, path)
-    in_files = [r["n_tokens"] for r in sorted(back.collect(), key=lambda r: r["place"])]
+    places = back.select("n_tokens", F.col("_metadata.file_name").alias("file"), "place").collect()
+    in_files = [r["n_tokens"] for r in sorted(places, key=lambda r: (r["file"], r["place"]))]
     starts = [r["n_tokens"] for r in sorted(rows(token_files.with_starts(token_files.digest(back))), key=lambda r: r["start"])]
     assert starts == in_files
 
