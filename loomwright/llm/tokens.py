@@ -16,8 +16,9 @@ from .common import held
 
 #: Letters whose words are one pre-token each (Latin, all unchanged by NFC), and marks that are one when they follow each other.
 LETTERS, MARKS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+"), ".,!%#$&*"
-#: Words that a worker keeps, and marked words beside them; the frequent ones come first, the rest are put together when they come.
-KEPT_WORDS, KEPT_MARKED = 500_000, 250_000
+#: Words that a worker keeps: some at once, more when they come again, and marked words beside them. The rest are put together
+#: whenever they come. What has come is remembered by so many hash slots.
+KEPT_AT_ONCE, KEPT_WORDS, KEPT_MARKED, SLOTS = 250_000, 550_000, 250_000, 1 << 22
 
 
 def byte_letters() -> list[str]:
@@ -33,7 +34,7 @@ class Words(dict):
     together from both, one with a line's end in it from its lines; any other is encoded whole."""
 
     def __init__(self, encoder: Encoder, space: str):
-        self.encoder, self.space, self.marked = encoder, space, 0
+        self.encoder, self.space, self.marked, self.came = encoder, space, 0, bytearray(SLOTS)
 
     def __missing__(self, word: str) -> bytes:
         letters = word.rstrip(MARKS)
@@ -50,8 +51,10 @@ class Words(dict):
             if line and LETTERS.fullmatch(head.rstrip(MARKS)) and LETTERS.fullmatch(tail.rstrip(MARKS)):
                 return self[head] + self.encoder.newline + self.encoder.first[tail]
             ids = self.encoder.ids_of_whole(self.space + word)
-        if len(self) - self.marked < KEPT_WORDS:
+        slot = hash(word) & SLOTS - 1
+        if len(self) - self.marked < (KEPT_WORDS if self.came[slot] else KEPT_AT_ONCE):
             self[word] = ids
+        self.came[slot] = 1
         return ids
 
 
