@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -149,14 +150,20 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((at, capacity) for at in range(first, n, capacity))]
 
 
+@cache
+def codec() -> pa.Codec:
+    return pa.Codec("zstd", 1)
+
+
 def zipped(ids: bytes) -> bytes:
-    """Ids as they move: the first bytes of all ids, then the second ones and so on, compressed."""
-    return pa.Codec("zstd", 1).compress(np.frombuffer(ids, "u1").reshape(-1, 4).T.tobytes(), asbytes=True)
+    """Ids as they move: the lowest bytes of all ids, then the next ones and so on, compressed."""
+    x = np.frombuffer(ids, "<u4")
+    return codec().compress(b"".join([(x >> bits).astype("u1").tobytes() for bits in (0, 8, 16, 24)]), asbytes=True)
 
 
 def unzipped(moved: bytes, length: int) -> bytes:
-    planes = pa.Codec("zstd").decompress(moved, 4 * length)
-    return np.frombuffer(planes, "u1").reshape(4, -1).T.tobytes()
+    planes = np.frombuffer(codec().decompress(moved, 4 * length), "u1").reshape(4, length).astype("<u4")
+    return (planes[0] | planes[1] << 8 | planes[2] << 16 | planes[3] << 24).tobytes()
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = CAPACITY, zip_ids: bool = False) -> DataFrame:
