@@ -97,7 +97,7 @@ def texts() -> list[Column]:
 def signed(docs: DataFrame, row: str | None = None) -> DataFrame:
     """rid (row number), doc_id, text_hash, n (shingles), set_key (digest of the shingle set) and signature of every row, and
     what ``row`` names."""
-    extra = [F.col(row).cast("long").alias("_row")] if row else []
+    extra = [F.col(row).alias("_row")] if row else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,7 +111,7 @@ def signed(docs: DataFrame, row: str | None = None) -> DataFrame:
             also = [batch.column("_row")] if row else []
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *made, *also], names=["doc_id", "text_hash", "n", "set_key", "signature", "_row"][: 5 + len(also)])
 
-    rows = docs.select(*texts(), *extra).mapInArrow(run, "doc_id long, text_hash long, n long, set_key binary, signature binary" + (", _row long" if row else ""))
+    rows = docs.select(*texts(), *extra).mapInArrow(run, "doc_id long, text_hash long, n long, set_key binary, signature binary" + (f", _row {docs.schema[row].dataType.simpleString()}" if row else ""))
     return rows.withColumn("rid", F.monotonically_increasing_id())
 
 

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table, with_totals
+from .common import stored, table
 
 #: A repeat has so many bytes at least; a name has NAME, and any REPEAT bytes hold WINDOW names.
 REPEAT, NAME = 50, 26
@@ -364,7 +364,7 @@ def without_repeats(docs: DataFrame, row: str | None = None) -> DataFrame:
     one document and don't remove each other. doc_ids are below 2**62. Names are 48-bit and strings 64-bit fingerprints.
     Other columns are not read; an empty table gives no rows."""
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    extra = [F.col(row).cast("long").alias("row")] if row else []
+    extra = [F.col(row).alias("row")] if row else []
     place = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST) + F.monotonically_increasing_id())
     texts = bucketed(docs.select(place.alias("ord"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b")).alias("digest"), *extra), "texts")
     extra = ["row"] if row else []
@@ -384,10 +384,10 @@ def without_repeats(docs: DataFrame, row: str | None = None) -> DataFrame:
 
     contexts = own.select("ord", "text").join(names, "ord").mapInArrow(context_rows, "name long, context long, ord long")
     owners = stored(contexts.groupBy("name", "context").agg(F.min("ord").alias("ord")), "owners")
-    # a name may have any share of all contexts
-    claimed = with_totals(owners, ["name"], F.col("context"), {"n": (F.count("*"), F.sum)})
+    # tables on both sides: the join can split a name that has any share of all contexts
+    several = stored(owners.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name", F.lit(True).alias("open")), "open-names")
     blob = lambda c, when: F.collect_list(F.when(when, bits(c)))
-    claims = claimed.groupBy("ord").agg(blob("context", F.lit(True)).alias("owned"), blob("context", F.col("n") > 1).alias("open"))
+    claims = owners.join(several, "name", "left").groupBy("ord").agg(blob("context", F.lit(True)).alias("owned"), blob("context", F.col("open")).alias("open"))
     claims = bucketed(claims, "claims")
 
     opened = own.select("ord", "text").join(names, "ord").join(claims.where(F.size("open") > 0).select("ord", "open"), "ord").select("ord", "text", "names", "open")
@@ -395,7 +395,7 @@ def without_repeats(docs: DataFrame, row: str | None = None) -> DataFrame:
     repeats = strings.groupBy("ord").agg(F.collect_list("strings").alias("repeats"))
     # copies have no names joined: they go whole
     all_ = texts.join(names, "ord", "left").join(claims.select("ord", "owned"), "ord", "left").join(repeats, "ord", "left")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary" + (", row long" if row else "")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary" + (f", row {docs.schema[row].dataType.simpleString()}" if row else "")
     out = all_.select("doc_id", "text", "copy", *extra, *[F.when(~F.col("copy"), F.col(c)).alias(c) for c in ("names", "owned", "repeats")]).mapInArrow(removed, schema)
     return out.withColumnRenamed("row", row) if row else out
 

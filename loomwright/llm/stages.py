@@ -20,10 +20,18 @@ from .repeats import without_repeats
 from .toxicity import THRESHOLD, score, train, training_rows
 
 
-def with_rows(docs: DataFrame, label: str, *columns: str) -> DataFrame:
-    """row (an id that stays), the named columns and doc, a struct of all columns; written down."""
-    row = F.monotonically_increasing_id().alias("row")
-    return stored(docs.select(row, *columns, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")), label)
+def with_rows(docs: DataFrame) -> DataFrame:
+    """row (an id that stays: file and place in it) and doc, a struct of all columns. What isn't read from Parquet as it is gets
+    written down first."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        docs = stored(docs, "rows")
+    place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+    return docs.select(place.alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+
+
+def read_by(rows: DataFrame) -> DataFrame:
+    """What operators read of the rows: doc_id, text and row."""
+    return rows.select(F.col("doc.doc_id").alias("doc_id"), F.col("doc.text").alias("text"), "row")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +48,8 @@ def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """One row of each near-duplicate class: that of the smallest doc_id (none: last), and of equal ones any one.
 
     Rows of equal doc_id are copies only if their texts are near. Texts without words are near to nothing and stay."""
-    rows = with_rows(docs, "near-rows", "doc_id", "text")
-    members = near_duplicates(rows.select("doc_id", "text", "row"), row="row")
+    rows = with_rows(docs)
+    members = near_duplicates(read_by(rows), row="row")
     gone = stored(members.where(~F.col("first")).select("row"), "near-copies")
     return rows.join(gone, "row", "left_anti").select("doc.*")
 
@@ -56,9 +64,9 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             left = [x.as_buffer().to_pybytes().decode("utf-8", "ignore") for x in batch.column("kept")]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("n_bytes"), batch.column("n_removed"), pa.array(left, pa.string())], names=["row", "n_bytes", "n_removed", "left"])
 
-    rows = with_rows(docs, "passage-rows", "doc_id", "text")
-    cut = without_repeats(rows.select("doc_id", "text", "row"), row="row").where("n_removed > 0")
-    cut = stored(cut.mapInArrow(decode, "row long, n_bytes long, n_removed long, left string"), "cut")
+    rows = with_rows(docs)
+    cut = without_repeats(read_by(rows), row="row").where("n_removed > 0")
+    cut = stored(cut.mapInArrow(decode, "row struct<file:bigint,place:bigint>, n_bytes long, n_removed long, left string"), "cut")
     both = rows.join(cut, "row", "left").where("n_removed IS NULL OR n_removed < n_bytes")
     new = {"text": F.coalesce("left", "doc.text"), "n_chars": F.when(F.col("left").isNull(), F.col("doc")["n_chars"]).otherwise(F.length("left").cast("long")) if "n_chars" in docs.columns else None}
     return both.select(*[new[c].alias(c) if c in new else F.col("doc")[c].alias(c) for c in docs.columns])
