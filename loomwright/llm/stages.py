@@ -40,8 +40,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Each row is judged by its own text, with or without doc_id. Null and empty texts have the score of the bias alone.
     Without a labelled row nothing is known of toxicity, the score is 0, and all rows stay."""
     weights = train(training_rows(docs, table(spark, sf_dir, "labels")))
-    rows = docs.select(F.col("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    return score(rows, weights, carry=("doc",)).where(F.col("score") < THRESHOLD).select("doc.*")
+    rows = with_rows(docs)
+    gone = stored(score(read_by(rows), weights, carry=("row",)).where(F.col("score") >= THRESHOLD).select("row"), "toxic")
+    return rows.join(gone, "row", "left_anti").select("doc.*")
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

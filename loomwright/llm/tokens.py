@@ -18,7 +18,7 @@ from .common import held
 LETTERS, MARKS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+"), ".,!%#$&*"
 #: Words that a worker keeps: some at once, more when they come again, and marked words beside them. The rest are put together
 #: whenever they come. What has come is remembered by so many hash slots.
-KEPT_AT_ONCE, KEPT_WORDS, KEPT_MARKED, SLOTS = 250_000, 550_000, 250_000, 1 << 22
+KEPT_AT_ONCE, KEPT_WORDS, KEPT_MARKED, SLOTS = 200_000, 400_000, 100_000, 1 << 22
 
 
 def byte_letters() -> list[str]:
