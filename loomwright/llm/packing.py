@@ -23,6 +23,8 @@ from .common import salted_rank, stored, table
 
 CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids binary, part int, nth long"
+#: Rows whose ids are in a task's memory as they are at once.
+OPENED = 500
 NAMES, TYPES = ["doc_id", "piece", "start", "length", "ids", "part", "nth"], [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
 #: Pieces of one length that a bucket holds at most, or so; a length has as many buckets as it needs.
 RANKED_ROWS = 1_000_000
@@ -150,6 +152,13 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((at, capacity) for at in range(first, n, capacity))]
 
 
+def smaller(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of OPENED rows: what a task makes of them is several times as large."""
+    for batch in batches:
+        for at in range(0, len(batch), OPENED):
+            yield batch.slice(at, OPENED)
+
+
 @cache
 def codec() -> pa.Codec:
     return pa.Codec("zstd", 1)
@@ -176,7 +185,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made = TaskContext.get().partitionId(), [0] * (capacity + 1)
-        for batch in batches:
+        for batch in smaller(batches):
             out = []
             for doc_id, ids in zip(batch.column(0), tokens.encode_column(batch.column(1), tokenizer_path), strict=True):
                 ids += end
@@ -197,7 +206,7 @@ def sequences(packed: DataFrame, zip_ids: bool = False) -> DataFrame:
     lists = lists.select("sequence_id", F.transform("p", lambda x: F.struct(*[x[c].alias(c) for c in ("offset", "doc_id", "piece", "start")])).alias("pieces"), F.col("p.length").alias("lengths"), F.col("p.ids").alias("parts"))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in smaller(batches):
             lengths, parts = batch.column("lengths").to_pylist(), batch.column("parts").to_pylist()
             ids = [b"".join(map(unzipped, p, n) if zip_ids else p) for p, n in zip(parts, lengths, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("sequence_id"), pa.array(ids, pa.binary()), batch.column("pieces")], names=["sequence_id", "ids", "pieces"])
@@ -222,7 +231,7 @@ def packed_pieces(docs: DataFrame) -> DataFrame:
     packed = packed_zipped(docs)
 
     def open_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in smaller(batches):
             at = batch.schema.get_field_index("ids")
             ids = [unzipped(z, n) for z, n in zip(batch.column("ids").to_pylist(), batch.column("length").to_pylist(), strict=True)]
             yield batch.set_column(at, "ids", pa.array(ids, pa.binary()))
