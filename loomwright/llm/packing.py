@@ -116,7 +116,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return placed(ranked, counts, capacity)
 
 
-def pack_numbered(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def pack_numbered(pieces: DataFrame, capacity: int = CAPACITY, open_ids: bool = False) -> DataFrame:
     """As ``pack``, of a stored table that says which task made a piece (part) and how many of its length that task had made
     before (nth). Ranks are nth and the counts of earlier tasks, so pieces stay where they are, as long as Spark finds the
     counts (a row for each task and length) small enough to broadcast; beyond that it moves pieces once, by task and length."""
@@ -124,21 +124,24 @@ def pack_numbered(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = stored(counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "piece-counts")
     ranked = pieces.join(starts, ["part", "length"]).withColumn("rank", F.col("before") + F.col("nth"))
-    return placed(ranked.select(*[c for c in pieces.columns if c not in ("part", "nth")], "rank"), histogram(pieces, capacity), capacity)
+    return placed(ranked.select(*[c for c in pieces.columns if c not in ("part", "nth")], "rank"), histogram(pieces, capacity), capacity, open_ids)
 
 
-def placed(ranked: DataFrame, counts: dict[int, int], capacity: int) -> DataFrame:
-    """Sequences and offsets by length and rank."""
+def placed(ranked: DataFrame, counts: dict[int, int], capacity: int, open_ids: bool = False) -> DataFrame:
+    """Sequences and offsets by length and rank; zipped ids are opened on the way if asked for."""
     steps, _ = plan(counts, capacity)
     big = np.int64(1) << 40
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = steps[:, 0] * big + steps[:, 1]
-        for batch in batches:
+        for batch in smaller(batches) if open_ids else batches:
             length, rank = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "rank"))
             step = steps[np.searchsorted(keys, length * big + rank, side="right") - 1]
             inside = rank - step[:, 1]
             sequence, offset = step[:, 2] + inside // step[:, 3], step[:, 4] + inside % step[:, 3] * length
+            if open_ids:
+                ids = [unzipped(z, n) for z, n in zip(batch.column("ids").to_pylist(), length.tolist(), strict=True)]
+                batch = batch.set_column(batch.schema.get_field_index("ids"), "ids", pa.array(ids, pa.binary()))
             keep = [i for i, c in enumerate(batch.schema.names) if c != "rank"]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(sequence), pa.array(offset)], names=[*(batch.schema.names[i] for i in keep), "sequence_id", "offset"])
 
@@ -219,25 +222,16 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_digest(table(spark, sf_dir, "documents"))
 
 
-def packed_zipped(docs: DataFrame) -> DataFrame:
-    """doc_id, piece, start, length, zipped ids, sequence_id and offset of every piece of ``docs``."""
+def packed_zipped(docs: DataFrame, open_ids: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, zipped (or opened) ids, sequence_id and offset of every piece of ``docs``."""
     import public_tokenizers
 
-    return pack_numbered(stored(token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), zip_ids=True), "pieces"))
+    return pack_numbered(stored(token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), zip_ids=True), "pieces"), open_ids=open_ids)
 
 
 def packed_pieces(docs: DataFrame) -> DataFrame:
     """Every piece of ``docs`` with its ids, beside its sequence and its offset there."""
-    packed = packed_zipped(docs)
-
-    def open_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in smaller(batches):
-            at = batch.schema.get_field_index("ids")
-            ids = [unzipped(z, n) for z, n in zip(batch.column("ids").to_pylist(), batch.column("length").to_pylist(), strict=True)]
-            yield batch.set_column(at, "ids", pa.array(ids, pa.binary()))
-
-    opened = packed.mapInArrow(open_ids, packed.schema)
-    return opened.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset", "ids")
+    return packed_zipped(docs, open_ids=True).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset", "ids")
 
 
 def packed_digest(docs: DataFrame) -> DataFrame:

@@ -66,8 +66,9 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("n_bytes"), batch.column("n_removed"), pa.array(left, pa.string())], names=["row", "n_bytes", "n_removed", "left"])
 
     rows = with_rows(docs)
-    cut = without_repeats(read_by(rows), row="row").where("n_removed > 0")
-    cut = stored(cut.mapInArrow(decode, "row struct<file:bigint,place:bigint>, n_bytes long, n_removed long, left string"), "cut")
+    # written before they are decoded: two Python functions in one stage would each have workers of their own
+    cut = stored(without_repeats(read_by(rows), row="row").where("n_removed > 0").select("row", "n_bytes", "n_removed", "kept"), "cut")
+    cut = cut.mapInArrow(decode, "row struct<file:bigint,place:bigint>, n_bytes long, n_removed long, left string")
     both = rows.join(cut, "row", "left").where("n_removed IS NULL OR n_removed < n_bytes")
     new = {"text": F.coalesce("left", "doc.text"), "n_chars": F.when(F.col("left").isNull(), F.col("doc")["n_chars"]).otherwise(F.length("left").cast("long")) if "n_chars" in docs.columns else None}
     return both.select(*[new[c].alias(c) if c in new else F.col("doc")[c].alias(c) for c in docs.columns])
