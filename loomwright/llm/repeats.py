@@ -316,7 +316,7 @@ def spread(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
 
 
-def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def removed(batches: Iterator[pa.RecordBatch], as_text: bool) -> Iterator[pa.RecordBatch]:
     """doc_id, bytes before, bytes removed, runs removed and what is kept, of every row."""
     for batch in portions(batches):
         n, gone, runs, kept = [], [], [], []
@@ -342,9 +342,10 @@ def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n.append(b - a)
                 gone.append(int(cut.sum()))
                 runs.append(int(cut[:1].sum() + (cut[1:] & ~cut[:-1]).sum()))
-                kept.append(s.data[a:b][~cut].tobytes())
+                left = s.data[a:b][~cut].tobytes()
+                kept.append(left.decode("utf-8", "ignore") if as_text else left)
         also = [batch.column("row")] if "row" in batch.schema.names else []
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary()), *also], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "row"][: 5 + len(also)])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.string() if as_text else pa.binary()), *also], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "row"][: 5 + len(also)])
 
 
 def bucketed(df: DataFrame, label: str) -> DataFrame:
@@ -356,8 +357,9 @@ def bucketed(df: DataFrame, label: str) -> DataFrame:
     return spark.table(name)
 
 
-def without_repeats(docs: DataFrame, row: str | None = None) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes) of every row of ``docs``, and the column ``row`` (row ids) if it is named.
+def without_repeats(docs: DataFrame, row: str | None = None, as_text: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes) of every row of ``docs``, and the column ``row``
+    (row ids, or what else goes along) if it is named. With ``as_text`` kept is text, without what is left of characters that were cut in two.
 
     A byte goes if a 50-byte string that covers it also starts in a document with a smaller doc_id, by the input. Null texts
     are empty. Rows without doc_id are documents of their own that come after all others, in any order; rows of one doc_id are
@@ -395,8 +397,8 @@ def without_repeats(docs: DataFrame, row: str | None = None) -> DataFrame:
     repeats = strings.groupBy("ord").agg(F.collect_list("strings").alias("repeats"))
     # copies have no names joined: they go whole
     all_ = texts.join(names, "ord", "left").join(claims.select("ord", "owned"), "ord", "left").join(repeats, "ord", "left")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary" + (f", row {docs.schema[row].dataType.simpleString()}" if row else "")
-    out = all_.select("doc_id", "text", "copy", *extra, *[F.when(~F.col("copy"), F.col(c)).alias(c) for c in ("names", "owned", "repeats")]).mapInArrow(removed, schema)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept " + ("string" if as_text else "binary") + (f", row {docs.schema[row].dataType.simpleString()}" if row else "")
+    out = all_.select("doc_id", "text", "copy", *extra, *[F.when(~F.col("copy"), F.col(c)).alias(c) for c in ("names", "owned", "repeats")]).mapInArrow(lambda b: removed(b, as_text), schema)
     return out.withColumnRenamed("row", row) if row else out
 
 

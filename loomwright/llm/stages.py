@@ -1,14 +1,11 @@
 """The operators as steps of a corpus pipeline: documents in, documents out.
 
-Each stage gives its rows ids of their own first, and the operator's verdict is joined to them: what happens to a row never
+Rows have ids of their own, or their other columns go along with the text, and verdicts are theirs: what happens to a row never
 depends on another row having its doc_id, or on the row having none. Columns of the input keep their names and values, whatever
 they are called, except text and n_chars where a stage changes the text. Empty tables stay empty."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,18 +57,14 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     others, and count as documents of their own. Rows of one doc_id are one document and don't cut each other. A row of which
     nothing is left goes; one that was empty stays. What is left of a character that was cut in two goes too."""
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left = [x.as_buffer().to_pybytes().decode("utf-8", "ignore") for x in batch.column("kept")]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("n_bytes"), batch.column("n_removed"), pa.array(left, pa.string())], names=["row", "n_bytes", "n_removed", "left"])
-
-    rows = with_rows(docs)
-    # written before they are decoded: two Python functions in one stage would each have workers of their own
-    cut = stored(without_repeats(read_by(rows), row="row").where("n_removed > 0").select("row", "n_bytes", "n_removed", "kept"), "cut")
-    cut = cut.mapInArrow(decode, "row struct<file:bigint,place:bigint>, n_bytes long, n_removed long, left string")
-    both = rows.join(cut, "row", "left").where("n_removed IS NULL OR n_removed < n_bytes")
-    new = {"text": F.coalesce("left", "doc.text"), "n_chars": F.when(F.col("left").isNull(), F.col("doc")["n_chars"]).otherwise(F.length("left").cast("long")) if "n_chars" in docs.columns else None}
-    return both.select(*[new[c].alias(c) if c in new else F.col("doc")[c].alias(c) for c in docs.columns])
+    # the other columns go along, so that nothing is joined back to the texts
+    rest = F.struct(F.col("text").isNull().alias("none"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("doc")).alias("rest")
+    cut = without_repeats(docs.select("doc_id", "text", rest), row="rest", as_text=True).where("n_removed = 0 OR n_removed < n_bytes")
+    changed = F.col("n_removed") > 0
+    new = {"text": F.when(~F.col("rest.none"), F.col("kept"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(changed, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("rest.doc.n_chars"))
+    return cut.select(*[new[c].alias(c) if c in new else F.col("rest.doc")[c].alias(c) for c in docs.columns])
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
