@@ -1,13 +1,12 @@
 """Dates in many spellings, to ISO text in UTC with whole seconds.
 
-A cell is taken apart by one pattern, put together as year-month-day hour:minute:second, and parsed once."""
+A cell is taken apart by one pattern, put together as year-month-day hour:minute:second, and cast once."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ISO = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 #: Two-digit years from here on are of the last century.
 PIVOT = 69
 # The months.
@@ -33,36 +32,47 @@ def month_number(name: Column) -> Column:
 
 
 def timestamp(c: Column, source_format: str | None = None, dayfirst: bool = False) -> Column:
-    """The time that a cell spells, or null. Dates with slashes or dashes are read day first if the first number is above 12,
-    month first if the second is, else by ``dayfirst``."""
+    """The time that a cell spells, or null, without a zone (what names a zone is taken to UTC). Dates with slashes or dashes are
+    read day first if the first number is above 12, month first if the second is, else by ``dayfirst``."""
     text = F.trim(c.cast("string"))
-    # the shapes have as many groups each: one pattern, whichever of them fits
-    shapes = [SLASHED, YEAR_FIRST, DAY_NAMED, MONTH_NAMED]
-    shape = F.lit(None).cast("int")
-    for i, pattern in reversed(list(enumerate(shapes))):
-        shape = F.when(text.rlike(pattern), i).otherwise(shape)
-    chosen = F.get(F.array(*map(F.lit, shapes)), shape)
-    parts = F.struct(shape.alias("shape"), *[F.call_function("regexp_extract", text, chosen, F.lit(g)).alias(f"p{g}") for g in range(1, 8)])
+    # a pattern for each shape, fixed, so that it is compiled once; a cell is taken apart by the first that fits
+    parts = F.lit(None).cast("array<string>")
+    for shape, pattern in reversed(list(enumerate((SLASHED, YEAR_FIRST, DAY_NAMED, MONTH_NAMED)))):
+        found = F.split(F.regexp_replace(text, pattern, f"{shape}|$1|$2|$3|$4|$5|$6|$7"), r"\|")
+        parts = F.when(text.rlike(pattern), found).otherwise(parts)
     return F.get(F.transform(F.array(parts), lambda p: together(text, p, dayfirst, source_format)), F.lit(0))
 
 
 def together(text: Column, p: Column, dayfirst: bool, source_format: str | None) -> Column:
-    a, b, d = (p[f"p{g}"].try_cast("int") for g in (1, 2, 3))
+    part = lambda i: F.get(p, F.lit(i))
+    shape, a, b, d = (part(i).try_cast("int") for i in range(4))
     by_day = F.when((a > 12) & (b <= 12), True).when((b > 12) & (a <= 12), False).otherwise(dayfirst)
-    short = F.when(F.length(p["p3"]) == 2, F.when(d >= PIVOT, d + 1900).otherwise(d + 2000)).otherwise(d)
-    year = F.when(p["shape"] == 1, a).otherwise(short)
-    month = F.when(p["shape"] == 0, F.when(by_day, b).otherwise(a)).when(p["shape"] == 1, b).when(p["shape"] == 2, month_number(p["p2"])).otherwise(month_number(p["p1"]))
-    day = F.when(p["shape"] == 0, F.when(by_day, a).otherwise(b)).when(p["shape"] == 1, d).when(p["shape"] == 2, a).otherwise(b)
-    hour = F.coalesce(p["p4"].try_cast("int"), F.lit(0))
-    half = F.lower(p["p7"])
+    short = F.when(F.length(part(3)) == 2, F.when(d >= PIVOT, d + 1900).otherwise(d + 2000)).otherwise(d)
+    year = F.when(shape == 1, a).otherwise(short)
+    month = F.when(shape == 0, F.when(by_day, b).otherwise(a)).when(shape == 1, b).when(shape == 2, month_number(part(2))).otherwise(month_number(part(1)))
+    day = F.when(shape == 0, F.when(by_day, a).otherwise(b)).when(shape == 1, d).when(shape == 2, a).otherwise(b)
+    hour = F.coalesce(part(4).try_cast("int"), F.lit(0))
+    half = F.lower(part(7))
     hour = F.when(half == "p", hour % 12 + 12).when(half == "a", hour % 12).otherwise(hour)
-    spelled = F.format_string("%04d-%02d-%02d %02d:%02d:%02d", year, month, day, hour, F.coalesce(p["p5"].try_cast("int"), F.lit(0)), F.coalesce(p["p6"].try_cast("int"), F.lit(0)))
-    found = F.when(text.rlike(ZONED), F.try_to_timestamp(text)).when(p["shape"].isNotNull() & month.isNotNull(), F.try_to_timestamp(spelled, F.lit("yyyy-MM-dd HH:mm:ss")))
-    return F.coalesce(F.try_to_timestamp(text, F.lit(java_format(source_format))), found) if source_format else found
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    clock = F.concat_ws(":", two(hour), two(F.coalesce(part(5).try_cast("int"), F.lit(0))), two(F.coalesce(part(6).try_cast("int"), F.lit(0))))
+    spelled = F.concat(F.lpad(year.cast("string"), 4, "0"), F.lit("-"), two(month), F.lit("-"), two(day), F.lit(" "), clock)
+    zoned = F.when(text.rlike(ZONED), in_utc(text))
+    found = F.coalesce(zoned, F.when((month > 0) & p.isNotNull(), spelled.try_cast("timestamp_ntz")))
+    return F.coalesce(F.try_to_timestamp(text, F.lit(java_format(source_format))).cast("timestamp_ntz"), found) if source_format else found
+
+
+def in_utc(text: Column) -> Column:
+    """A zoned time as UTC shows it, in whatever zone the session is: the offset is taken off by hand."""
+    local = F.regexp_replace(text, r" ?(?:Z|[+-]\d{2}:?\d{2})$", "").try_cast("timestamp_ntz")
+    sign = F.when(text.rlike(r"-\d{2}:?\d{2}$"), -1).otherwise(1)
+    number = lambda g: F.coalesce(F.regexp_extract(text, r"[+-](\d{2}):?(\d{2})$", g).try_cast("int"), F.lit(0))
+    return local - F.make_dt_interval(mins=F.when(text.endswith("Z"), 0).otherwise(sign * (number(1) * 60 + number(2))))
 
 
 def iso(c: Column, source_format: str | None = None, dayfirst: bool = False) -> Column:
-    return F.date_format(timestamp(c, source_format, dayfirst), ISO)
+    """The time as text in UTC: local times are taken as they stand, the session's zone has no say."""
+    return F.regexp_replace(F.substring(timestamp(c, source_format, dayfirst).cast("string"), 1, 19), "^(\\S+) (\\S+)$", "$1T$2Z")
 
 
 def looks_like_text(c: Column) -> Column:

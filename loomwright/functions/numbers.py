@@ -15,8 +15,8 @@ def blank_to_null(c: Column) -> Column:
 
 def cleaned(c: Column) -> Column:
     """Without thousands separators and one leading dollar sign; parentheses mean minus."""
-    x = F.regexp_replace(F.regexp_replace(blank_to_null(c), ",", ""), r"^\$", "")
-    return F.when(x.rlike(r"^\(.*\)$"), F.concat(F.lit("-"), F.regexp_extract(x, r"^\((.*)\)$", 1))).otherwise(x)
+    x = F.regexp_replace(F.replace(blank_to_null(c), F.lit(","), F.lit("")), r"^\$", "")
+    return F.when(x.startswith("(") & x.endswith(")"), F.concat(F.lit("-"), F.substring(x, F.lit(2), F.length(x) - 2))).otherwise(x)
 
 
 def to_decimal(c: Column) -> Column:
@@ -26,8 +26,8 @@ def to_decimal(c: Column) -> Column:
 
 def to_integer(c: Column) -> Column:
     """The whole number that a cell spells (12.0 is 12), or null."""
-    d = to_decimal(c)
-    return F.when(d == F.floor(d), d.try_cast("bigint"))
+    whole = lambda d: F.when(d == F.floor(d), d.try_cast("bigint"))
+    return F.get(F.transform(F.array(to_decimal(c)), whole), F.lit(0))  # parsed once
 
 
 def safe_numeric(c: Column, to: str = "decimal(18,2)") -> Column:
@@ -36,6 +36,11 @@ def safe_numeric(c: Column, to: str = "decimal(18,2)") -> Column:
     return F.when(x.rlike(r"^[+-]?[0-9]+(\.[0-9]+)?$"), x.try_cast(to))
 
 
+def shown(c: Column) -> Column:
+    """A number as text, without a fraction of zeros."""
+    return F.regexp_replace(c.cast("string"), r"\.0+$", "")
+
+
 def chart_number(c: Column) -> Column:
     return F.regexp_replace(c.cast("string"), "[,$%]", "").try_cast("double")
 

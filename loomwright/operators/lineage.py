@@ -54,13 +54,31 @@ class Store:
 
     def rewrite(self, table: str, import_id: str, rows: DataFrame) -> None:
         """Puts other rows in an import's place, by way of a new folder."""
-        target, draft = f"{self.at(table)}/_import_id={import_id}", f"{self.at(table)}/.draft-{uuid.uuid4().hex}"
-        rows.drop("_import_id").write.parquet(draft)
+        rows.drop("_import_id").write.parquet(draft := f"{self.at(table)}/.draft-{uuid.uuid4().hex}")
+        self.swap(draft, f"{self.at(table)}/_import_id={import_id}")
+
+    def swap(self, draft: str, target: str) -> None:
+        """A folder in the place of another: the old one is moved aside first and deleted last, so that a failure loses nothing."""
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(target)
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        fs.delete(path, True)
-        fs.rename(jvm.org.apache.hadoop.fs.Path(draft), path)
+        new, old, aside = (jvm.org.apache.hadoop.fs.Path(p) for p in (draft, target, f"{target.rsplit('/', 1)[0]}/.old-{uuid.uuid4().hex}"))
+        fs = old.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        had = fs.exists(old)
+        if had and not fs.rename(old, aside):
+            raise OSError(f"can't move {target} aside")
+        if not fs.rename(new, old):
+            if had:
+                fs.rename(aside, old)
+            raise OSError(f"can't put a new version of {target} in place")
+        if had:
+            fs.delete(aside, True)
+
+    def rewrite_log(self, name: str, rows: DataFrame) -> None:
+        rows.write.parquet(draft := f"{self.path}/.draft-{uuid.uuid4().hex}")
+        self.swap(draft, self.at(f"log_{name}"))
+
+    def delete(self, table: str) -> None:
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.at(table))
+        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
     def resolve_duplicate(self, table: str, row_id: int, action: str, record: Mapping | None = None) -> None:
         """merge writes the record's columns into the existing row, create_new adds the record, keep_existing does nothing."""

@@ -32,16 +32,48 @@ def hint(error: Exception) -> str | None:
     return next((h for k, h in HINTS.items() if kind.startswith(k)), None)
 
 
-def tables_of(spark: SparkSession, sql: str) -> list[str]:
-    """Tables that a query reads, by its parsed plan; names that WITH defines aren't tables."""
+# Functions that reach beyond the rows of tables.
+REACHING = {"reflect", "java_method", "try_reflect", "input_file_name", "input_file_block_start", "input_file_block_length", "read_files", "current_user", "session_user", "user", "secret", "try_secret"}
+
+
+def parsed(spark: SparkSession, sql: str):
     try:
-        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+        return spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     except Exception as e:
         raise Refused(f"the SQL can't be parsed: {str(e).splitlines()[0]}") from e
-    text = plan.toString()
-    own = {m.lower() for m in re.findall(r"CTE \[([^\]]*)\]", text) for m in re.split(r",\s*", m)}
-    names = re.findall(r"'?UnresolvedRelation \[([^\]]+)\]", text)
-    return [n.replace(", ", ".") for n in names if n.lower() not in own]
+
+
+def members(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def walk(node, known: frozenset, tables: list[str]) -> None:
+    """Adds the tables that a parsed plan reads; names that WITH defines hide tables only where they are in scope: a definition
+    sees those before it, not itself."""
+    kind = node.getClass().getSimpleName()
+    if kind == "UnresolvedRelation":
+        parts = members(node.multipartIdentifier())
+        if not (len(parts) == 1 and parts[0].lower() in known):
+            tables.append(".".join(parts))
+    if kind in ("UnresolvedTableValuedFunction", "UnresolvedTVFAliases"):
+        tables.append("(" + node.toString().splitlines()[0].strip() + ")")
+    if kind == "UnresolvedWith":
+        for pair in members(node.cteRelations()):
+            walk(pair._2(), known, tables)
+            known = known | {pair._1().lower()}
+        walk(node.child(), known, tables)
+        return
+    for child in members(node.children()):
+        walk(child, known, tables)
+    for inner in members(node.subqueries()):
+        walk(inner, known, tables)
+
+
+def tables_of(spark: SparkSession, sql: str) -> list[str]:
+    """Tables that a query reads, by its parsed plan."""
+    tables: list[str] = []
+    walk(parsed(spark, sql), frozenset(), tables)
+    return list(dict.fromkeys(tables))
 
 
 def check(spark: SparkSession, sql: str, strict: bool = True) -> str:
@@ -51,17 +83,61 @@ def check(spark: SparkSession, sql: str, strict: bool = True) -> str:
         raise Refused("only SELECT is allowed")
     if "--" in query or "/*" in query or "*/" in query:
         raise Refused("comments aren't allowed")
-    bare = query if strict else re.sub(r"'(?:[^']|'')*'", "''", query)
+    quoted = re.sub(r"'(?:[^']|'')*'", "''", query)
+    bare = query if strict else quoted
     if found := next((w for w in FORBIDDEN if re.search(rf"(?i)\b{w}\b", bare)), None):
         raise Refused(f"{found} isn't allowed")
-    if ";" in re.sub(r"'(?:[^']|'')*'", "''", query):
+    if ";" in quoted:
         raise Refused("one statement only")
+    if found := next((f for f in re.findall(r"([A-Za-z_][\w.]*)`?\s*\(", quoted) if f.split(".")[-1].lower() in REACHING), None):
+        raise Refused(f"the function {found} isn't allowed")
     for name in tables_of(spark, query):
-        if name.split(".")[-1].strip("`\"").lower() in RESERVED:
+        parts = [p.strip("`\"").lower() for p in name.split(".")]
+        if parts[-1] in RESERVED:
             raise Refused(f"table {name} is the system's own")
+        if not is_table(spark, name):
+            raise Refused(f"there is no table {name}" + hinted(spark, name))
     return query
 
 
+def is_table(spark: SparkSession, name: str) -> bool:
+    """Whether a name is a table or view of the catalog, and not a path or a function."""
+    if not re.fullmatch(r"\w+(\.\w+){0,2}", name):
+        return False
+    try:
+        return spark.catalog.tableExists(name)
+    except PySparkException:
+        return False
+
+
+def hinted(spark: SparkSession, name: str) -> str:
+    """Tables with names like a missing one."""
+    from difflib import get_close_matches
+
+    near = get_close_matches(name.lower(), [t.name for t in spark.catalog.listTables() if t.name.lower() not in RESERVED], n=3)
+    return f"; did you mean {', '.join(near)}?" if near else ""
+
+
+def text_with_number(spark: SparkSession, query: str, tables: list[str]) -> list[str]:
+    """Text columns that the query coalesces with a number."""
+    kinds = {c.lower(): t for name in tables for c, t in spark.table(name).dtypes}
+    found = re.findall(r"(?i)\bcoalesce\s*\(\s*(?:\w+\.)?[`\"]?(\w+)[`\"]?\s*,\s*-?\d+(?:\.\d+)?\s*\)", query)
+    return [c for c in dict.fromkeys(found) if kinds.get(c.lower()) == "string"]
+
+
+def some_cells(spark: SparkSession, tables: list[str]) -> Callable[[str], list[str]]:
+    """Three filled cells of a column, wherever it is text."""
+
+    def cells(column: str) -> list[str]:
+        for name in tables:
+            df = spark.table(name)
+            if dict(df.dtypes).get(column) == "string":
+                return [r[0] for r in df.where(f"`{column}` IS NOT NULL").select(f"`{column}`").limit(3).collect()]
+        return []
+
+    return cells
+
+
 def formatted_casts(spark: SparkSession, sql: str, samples: Callable[[str], list[str]]) -> list[str]:
     """Columns that the query casts to numbers although their cells hold marks like , $ ( %."""
     cast = re.findall(r"(?i)\bCAST\s*\(\s*[`\"]?(\w+)[`\"]?\s+AS\s+(?:INT|BIGINT|DECIMAL|NUMERIC|DOUBLE|FLOAT)", sql)
@@ -72,10 +148,17 @@ def formatted_casts(spark: SparkSession, sql: str, samples: Callable[[str], list
 def run(spark: SparkSession, sql: str, limit: int = AGENT_ROWS) -> DataFrame:
     """The guarded query's rows, at most ``limit``; errors of analysis come with a hint."""
     query = check(spark, sql)
+    tables = tables_of(spark, query)
+    if marked := formatted_casts(spark, query, some_cells(spark, tables)):
+        raise Refused(f"{', '.join(marked)} hold marks like , $ ( or %: strip them before the cast, or use try_cast")
+    if mixed := text_with_number(spark, query, tables):
+        raise Refused(f"{', '.join(mixed)} hold text: coalesce them with text, not with a number")
     try:
         return spark.sql(query).limit(limit)
     except (AnalysisException, ParseException) as e:
-        raise Refused(f"{str(e).splitlines()[0]}" + (f" {h}" if (h := hint(e)) else "")) from e
+        if re.search(r"(?is)SELECT\s+DISTINCT\b.*\bORDER\s+BY\b", query) and "UNRESOLVED_COLUMN" in (e.getCondition() or ""):
+            raise Refused("with DISTINCT, ORDER BY may use selected columns only") from e
+        raise Refused(" ".join(str(e).split("\n\n")[0].splitlines()) + (f" {h}" if (h := hint(e)) else "")) from e
 
 
 def answer(ask: Callable[[str, list[str]], str], spark: SparkSession, question: str, attempts: int = 3) -> tuple[str, DataFrame]:

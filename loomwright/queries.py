@@ -80,14 +80,29 @@ def join_left_counts(customer, orders):
     return customer.join(n, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n_orders"))
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)", "customer", "orders")
+def some_keys(orders: DataFrame) -> DataFrame:
+    """Keys of about half the customers, and nulls."""
+    return orders.where("o_custkey % 2 = 0 OR o_custkey % 7 = 0").select(F.when(F.col("o_orderkey") % 5 > 0, F.col("o_custkey")).alias("k"))
+
+
+KEYS_SQL = "SELECT CASE WHEN o_orderkey % 5 > 0 THEN o_custkey END AS k FROM orders WHERE o_custkey % 2 = 0 OR o_custkey % 7 = 0"
+
+
+def with_gaps(customer: DataFrame) -> DataFrame:
+    return customer.select("c_custkey", "c_name", F.when(F.col("c_custkey") % 11 > 0, F.col("c_custkey")).alias("k"))
+
+
+GAPS_SQL = "(SELECT c_custkey, c_name, CASE WHEN c_custkey % 11 > 0 THEN c_custkey END AS k FROM customer)"
+
+
+@query(f"SELECT c_custkey, c_name FROM {GAPS_SQL} WHERE k IN ({KEYS_SQL})", "customer", "orders")
 def semi_existing_keys(customer, orders):
-    return dedupe.against_existing(customer, orders.select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])[1].select("c_custkey", "c_name")
+    return dedupe.against_existing(with_gaps(customer), some_keys(orders), ["k"])[1].select("c_custkey", "c_name")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)", "customer", "orders")
+@query(f"SELECT c_custkey, c_name FROM {GAPS_SQL} c WHERE NOT EXISTS (SELECT 1 FROM ({KEYS_SQL}) o WHERE o.k = c.k)", "customer", "orders")
 def anti_new_rows(customer, orders):
-    return dedupe.against_existing(customer, orders.select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])[0].select("c_custkey", "c_name")
+    return dedupe.against_existing(with_gaps(customer), some_keys(orders), ["k"])[0].select("c_custkey", "c_name")
 
 
 @query("SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id, lower(trim(event_type)) ORDER BY event_id) AS n FROM events) WHERE n = 1", "events")
@@ -294,16 +309,16 @@ IMPORT = ImportSpec(
 def import_input(customer: DataFrame) -> DataFrame:
     k = F.col("c_custkey")
     mail = F.when(k % 7 == 0, F.lit("n/a")).otherwise(F.concat(F.lit("u"), F.floor(k / 2).cast("string"), F.lit("@example.org")))
-    balance = F.when(k % 11 == 0, F.lit("unknown")).otherwise(F.concat(F.lit("$"), F.format_number(F.col("c_acctbal").cast("decimal(18,2)"), 2)))
+    balance = F.when(k % 11 == 0, F.lit("unknown")).otherwise(F.concat(F.when(F.col("c_acctbal") < 0, "(").otherwise("$"), F.format_number(F.abs(F.col("c_acctbal")).cast("decimal(18,2)"), 2), F.when(F.col("c_acctbal") < 0, ")").otherwise("")))
     return customer.select(F.col("c_custkey").cast("string").alias("c_custkey"), "c_name", balance.alias("balance"), mail.alias("mail"), k.alias(rows.NUMBER))
 
 
 IMPORT_SQL = "SELECT *, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE 'u' || floor(c_custkey / 2)::BIGINT || '@example.org' END AS mail FROM customer"
 
 
-@query(f"SELECT c_custkey AS id, upper(c_name) AS name, CASE WHEN c_custkey % 11 = 0 OR c_acctbal < 0 THEN NULL ELSE c_acctbal::DECIMAL(18,2)::DOUBLE END AS balance, mail FROM ({IMPORT_SQL}) WHERE mail IS NOT NULL QUALIFY row_number() OVER (PARTITION BY mail ORDER BY c_custkey) = 1", "customer")
+@query(f"SELECT c_custkey AS id, upper(c_name) AS name, CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE c_acctbal::DECIMAL(18,2)::DOUBLE END AS balance, mail FROM ({IMPORT_SQL}) WHERE mail IS NOT NULL QUALIFY row_number() OVER (PARTITION BY mail ORDER BY c_custkey) = 1", "customer")
 def import_accepted(customer):
-    return compiled(import_input(customer), IMPORT).rows.select("id", "name", F.when(F.col("balance") >= 0, F.col("balance")).cast("double").alias("balance"), "mail")
+    return compiled(import_input(customer), IMPORT).rows.select("id", "name", F.col("balance").cast("double").alias("balance"), "mail")
 
 
 @query("SELECT c_custkey AS record_number, 'mail' AS column_name, 'email' AS error_type, 'n/a' AS value FROM customer WHERE c_custkey % 7 = 0", "customer")
@@ -313,7 +328,7 @@ def reject_rows(customer):
 
 @query("SELECT c_custkey AS record_number, 'type_mismatch' AS type, 'balance' AS column_name, 'unknown' AS value FROM customer WHERE c_custkey % 11 = 0 AND c_custkey % 7 <> 0", "customer")
 def mapping_errors(customer):
-    return compiled(import_input(customer), IMPORT).errors.where("value = 'unknown'").select("record_number", "type", F.col("column").alias("column_name"), "value")
+    return compiled(import_input(customer), IMPORT).errors.select("record_number", "type", F.col("column").alias("column_name"), "value")
 
 
 @query("SELECT doc_id, quality = 1 AS quality, toxic::INT AS toxic FROM labels", "labels")
@@ -389,16 +404,6 @@ def chart_summary(events):
     return charts.summary(events.select("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.concat(F.lit("$"), F.round("value", 2).cast("string")).alias("price")))
 
 
-@query("SELECT conv_id, count(*) AS turns, max(turn) AS last_turn FROM conversations GROUP BY conv_id ORDER BY turns DESC, conv_id LIMIT 20", "conversations")
-def conversation_pages(conversations):
-    return conversations.groupBy("conv_id").agg(F.count("*").alias("turns"), F.max("turn").alias("last_turn")).orderBy(F.desc("turns"), "conv_id").limit(20)
-
-
-@query("SELECT doc_id, count(*) AS errors FROM labels JOIN documents USING (doc_id) WHERE source ILIKE '%src1%' GROUP BY doc_id", "labels", "documents")
-def audit_with_history(labels, documents):
-    return labels.join(browse.selected(documents, [{"column": "source", "operator": "contains", "value": "src1"}]).select("doc_id"), "doc_id").groupBy("doc_id").agg(F.count("*").alias("errors"))
-
-
 @query("SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name ORDER BY n DESC, n_name LIMIT 2500", "customer", "nation")
 def guarded_sql(customer, nation):
     customer.createOrReplaceTempView("loomwright_customer")
