@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, multivalue, numbers
+from .scratch import kept
 
 PHONE = r"^\+?[\d\s\-\.\(\)]{7,20}$"
 SEPARATED_PHONE = r"^(\+\d[\d\s\-\.\(\)]{6,}|\(\d{3}\)\s*\d{3}[-\s]?\d{4}|\d{3}[-.]\d{3}[-.]\d{4})$"
@@ -113,11 +114,14 @@ def sampled(df: DataFrame, order: str) -> DataFrame:
 
 
 def dense_ids(df: DataFrame, order: str, out: str, start: int = 0) -> DataFrame:
-    """Adds gapless numbers in the order of a column. Rows are sorted by range; only the ranges' counts meet."""
+    """Adds gapless numbers in the order of a column. Rows are sorted by range; only the ranges' counts meet.
+
+    The ranges are written down: their bounds are sampled, so ranges that are made twice, once to be counted and once to be
+    numbered, differ, and numbers repeat."""
     from pyspark.sql import Window
 
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, order).sortWithinPartitions(order).withColumn("_id", F.monotonically_increasing_id())
+    ranged = kept(df.repartitionByRange(parts, order).sortWithinPartitions(order).withColumn("_id", F.monotonically_increasing_id()), "ranges")
     part = F.shiftright("_id", 33)
     counts = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -102,6 +102,14 @@ def test_inference(spark):
     assert [r["n"] for r in ids.orderBy("id").collect()] == list(range(5, 105))
 
 
+def test_dense_ids_of_many_rows(spark):
+    # far more rows than the sample that the bounds of ranges come from, and columns beside the order's
+    rows = spark.range(0, 60_000, 1, 24).select(F.xxhash64("id").alias("key"), F.concat(F.lit("row "), "id").alias("text"))
+    found = inference.dense_ids(rows, "key", "n").select("n", "key", "text").toPandas().sort_values("n")
+    assert found["n"].tolist() == list(range(60_000)) and found["key"].is_monotonic_increasing and found["text"].nunique() == 60_000
+    assert inference.dense_ids(rows.where("key is null"), "key", "n").count() == 0
+
+
 def test_schemas(spark):
     assert schemas.match_columns(["E-mail", "Surname", "Zip Code"], ["last_name", "email", "zip_cod"]) == {"E-mail": "email", "Surname": "last_name", "Zip Code": "zip_cod"}
     assert schemas.fingerprint(["b", "A"]) == schemas.fingerprint(["a", "B "])
