@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import dates, phones
-from .operators import aggregates, history, lineage, rows, semantics
-from .plans import context
+from .operators import aggregates, browse, history, keys, lineage, rows, semantics
+from .operators.scratch import place
+from .plans import context, guard
+from .sources import groups
 from .queries import query
 
 DAY = "DATE '2024-01-01' + (o_orderkey % 200)::INT"
@@ -157,3 +159,71 @@ def conditional_explode(events):
     t = {"type": "conditional_transform", "condition": {"columns": ["kind"], "include_regex": "^click$"}, "actions": [{"type": "explode_columns", "source_columns": ["a", "b"], "target_column": "kind"}]}
     return rows.reshape(df, [t]).rows.select("event_id", "kind", "user_id")
 
+
+
+KEYED = "CASE WHEN o_orderkey % 4 <> 0 THEN 'success' WHEN o_orderkey % 8 = 0 THEN 'in_progress' ELSE 'failed' END"
+
+
+@query(f"""WITH h AS (SELECT 't' || o_custkey % 40 AS table_name, {KEYED} AS status, DATE '2024-01-01' + (o_orderkey % 200)::INT AS began, o_orderkey::VARCHAR AS id, o_orderkey % 9 AS k, o_orderkey % 3 = 0 AS named FROM orders),
+r AS (SELECT *, row_number() OVER (PARTITION BY table_name ORDER BY began DESC, id DESC) AS nth FROM h WHERE status <> 'failed'),
+f AS (SELECT table_name, arg_min('c' || k, nth) AS column_name FROM r WHERE nth <= 5 AND named GROUP BY table_name)
+SELECT table_name, column_name, column_name <> 'c0' OR (SELECT count(*) FROM customer WHERE c_custkey % 2 = 3) > 0 AS used FROM f""", "orders", "customer")
+def keys_by_history(orders, customer):
+    """Keys that tables inherit from the last five imports, and whether the column is filled in the table or in the file."""
+    k = F.col("o_orderkey")
+    status = F.when(k % 4 != 0, "success").when(k % 8 == 0, "in_progress").otherwise("failed")
+    config = F.when(k % 3 == 0, F.concat(F.lit('{"duplicate_check":{"uniqueness_columns":["c'), (k % 9).cast("string"), F.lit('"]}}'))).otherwise('{"unique_columns":[]}')
+    told = keys.inherited(orders.select(F.concat(F.lit("t"), (F.col("o_custkey") % 40).cast("string")).alias("table_name"), status.alias("status"), F.date_add(F.lit("2024-01-01").cast("date"), (k % 200).cast("int")).alias("started_at"), k.cast("string").alias("import_id"), config.alias("mapping_config")))
+    wanted = told.select("table_name", F.explode(F.from_json("unique_columns", "array<string>")).alias("column"))
+    table = customer.select(F.when(F.col("c_custkey") % 2 == 3, "x").alias("c0"), F.lit(" ").alias("c3"), F.col("c_name").alias("c6"))
+    file = customer.select(F.lit("").alias("c0"), *[F.when(F.col("c_custkey") % 7 == i % 7, "x").alias(f"c{i}") for i in range(1, 9)])
+    counted = [keys.filled(x, [f"c{i}" for i in range(9)]) for x in (table, file)]
+    return keys.in_use(wanted, *counted).withColumnRenamed("column", "column_name")
+
+
+@query("""SELECT c_custkey, c_name, count(*) OVER () AS total_rows FROM customer WHERE c_mktsegment = 'BUILDING' AND c_name ILIKE '%1%' ORDER BY c_acctbal DESC NULLS FIRST, c_custkey LIMIT 25 OFFSET 5""", "customer")
+def browse_page_total(customer):
+    """A page and its total by one job: the total is observed while the page is found."""
+    page = browse.page_with_total(customer, [{"column": "c_mktsegment", "operator": "eq", "value": "BUILDING"}, {"column": "c_name", "operator": "contains", "value": "1"}], sort="c_acctbal", descending=True, limit=25, offset=5, tie="c_custkey")
+    return customer.sparkSession.createDataFrame(page.rows, customer.schema).select("c_custkey", "c_name", F.lit(page.total).cast("long").alias("total_rows"))
+
+
+@query("""SELECT count(*) AS input_rows, sum(n)::BIGINT AS output_rows, count(*) FILTER (n = 0) AS rows_without_output, round(sum(n) / count(*), 9) AS ratio, min(c_custkey) FILTER (n = 0) AS first_without
+  FROM (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 0 WHEN c_custkey % 4 = 1 THEN 1 ELSE 2 END AS n FROM customer)""", "customer")
+def expansion_figures(customer):
+    """What exploding and filtering made of the rows."""
+    k = F.col("c_custkey")
+    df = customer.select(k.alias("_source_record_number"), F.when(k % 4 > 0, F.concat_ws("; ", F.lit("a"), F.when(k % 4 > 1, "b"))).alias("tags"))
+    _, made = rows.reshaped_with_figures(df, [{"type": "explode_list_rows", "source_column": "tags", "target_column": "tag", "delimiter": ";"}])
+    figures = [(made.input_rows, made.output_rows, made.rows_without_output, round(made.ratio, 9), made.first_without[0])]
+    return customer.sparkSession.createDataFrame(figures, "input_rows long, output_rows long, rows_without_output long, ratio double, first_without long")
+
+
+@query("SELECT c_mktsegment, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer GROUP BY c_mktsegment ORDER BY c_mktsegment LIMIT 2500", "customer")
+def agent_rows_in_time(customer):
+    """A guarded query under the agent's limits of rows and seconds."""
+    customer.createOrReplaceTempView("loomwright_customer")
+    got = guard.fetch(customer.sparkSession, "SELECT c_mktsegment, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM loomwright_customer GROUP BY c_mktsegment ORDER BY c_mktsegment")
+    return customer.sparkSession.createDataFrame(got.rows, "c_mktsegment string, n long, balance double")
+
+
+@query("""SELECT 'c_acctbal,c_custkey,c_name,c_nationkey' AS columns, c_custkey % 5 AS file, count(*) AS n, sum(c_custkey)::BIGINT AS keys, round(sum(round(c_acctbal, 2)), 2) AS balance FROM customer GROUP BY c_custkey % 5
+  UNION ALL SELECT 's_acctbal,s_name,s_suppkey', s_suppkey % 5, count(*), sum(s_suppkey)::BIGINT, round(sum(round(s_acctbal, 2)), 2) FROM supplier GROUP BY s_suppkey % 5""", "customer", "supplier")
+def files_by_structure(customer, supplier):
+    """Ten files of two structures, some with their columns in another order: two tables, with types that hold all cells."""
+    spark = customer.sparkSession
+    written = []
+    for df, key, names in ((customer, "c_custkey", ["c_custkey", "c_name", "c_nationkey", "c_acctbal"]), (supplier, "s_suppkey", ["s_suppkey", "s_name", "s_acctbal"])):
+        for part in range(5):
+            order = names if part % 2 == 0 else names[::-1]
+            shown = [F.round(c, 2).cast("decimal(12,2)").alias(c) if c.endswith("acctbal") else F.col(c) for c in order]
+            df.where(F.col(key) % 5 == part).select(*shown).coalesce(1).write.option("header", True).csv(at := place(spark, f"part-{part}"))
+            written.append(at)
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(written).select(F.col("path").alias("file"))
+    out = None
+    for g in groups.grouped(spark, found):
+        key, balance = ("c_custkey", "c_acctbal") if "c_custkey" in g.types else ("s_suppkey", "s_acctbal")
+        one = g.rows.groupBy(F.regexp_extract(groups.FILE, r"part-(\d)-", 1).cast("long").alias("file")).agg(F.count("*").alias("n"), F.sum(F.col(key).cast("long")).alias("keys"), F.round(F.sum(F.col(balance).cast("double")), 2).alias("balance"))
+        one = one.select(F.lit(",".join(sorted(g.types))).alias("columns"), "file", "n", "keys", "balance")
+        out = one if out is None else out.unionByName(one)
+    return out

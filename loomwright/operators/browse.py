@@ -6,10 +6,11 @@ import csv
 import io
 import json
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Row
 from pyspark.sql import functions as F
 
 MOST_ROWS = 500
@@ -70,6 +71,31 @@ def page(df: DataFrame, filters=None, search: str | None = None, sort: str | Non
     return rows.offset(offset).limit(min(limit, MOST_ROWS)).select(*user_columns(df))
 
 
+@dataclass(frozen=True)
+class Page:
+    """Rows of a page, and how many rows there are on all pages."""
+
+    rows: list[Row]
+    total: int
+    columns: list[str]
+
+
+def page_with_total(df: DataFrame, filters=None, search: str | None = None, sort: str | None = None, descending: bool = False, limit: int = 100, offset: int = 0, import_id: str | None = None, tie: str | None = None) -> Page:
+    """A page and the number of rows that its filters let through, from one job: the scan that finds the page counts them.
+
+    Without a sort key rows stay in the order of the scan, which is written as an order, as a plain limit would end the scan early."""
+    if limit < 1 or offset < 0:
+        raise ValueError("a page begins at row 0 or later and has one row at least")
+    counted = Observation()
+    found = selected(df, filters, search, import_id)
+    keys = order(found, sort, descending, tie) or [F.monotonically_increasing_id()]
+    shown = found.observe(counted, F.count("*").alias("total")).orderBy(*keys).offset(offset).limit(min(limit, MOST_ROWS)).select(*user_columns(df))
+    rows = shown.collect()
+    # a plan that is known to be beyond the last row isn't run, and counts nothing
+    total = counted.get["total"] if rows else found.count() if offset else 0
+    return Page(rows, total, shown.columns)
+
+
 def csv_text(columns: Sequence[str], rows: Sequence[Sequence]) -> str:
     """Header and rows; a blank row if there are none; no newline at the end."""
     out = io.StringIO()

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import browse
+from .keys import Keys, configured
+from .keys import resolved as resolved_keys
 from .lineage import Store
 
 # States and resolutions.
@@ -104,8 +106,7 @@ def upserted(rows: DataFrame, new: DataFrame, key: str) -> DataFrame:
 def sticky_keys(history: DataFrame) -> DataFrame:
     """table_name and unique_columns (JSON) of each table's last successful import that had any: later imports keep them."""
     config = F.col("mapping_config")
-    paths = ["$.unique_columns", "$.duplicate_check.uniqueness_columns", "$.duplicate_check.unique_columns", "$.uniqueness_columns"]
-    keys = F.coalesce(*[F.nullif(F.get_json_object(config, p), F.lit("[]")) for p in paths])
+    keys = configured(config)
     named = history.where((F.col("status") == "success") & config.isNotNull()).select("table_name", "started_at", "import_id", keys.alias("unique_columns"))
     last = F.max_by("unique_columns", F.struct("started_at", "import_id"))
     return named.groupBy("table_name").agg(last.alias("unique_columns")).where("unique_columns IS NOT NULL")
@@ -185,6 +186,11 @@ class Imports:
         self.event(import_id, table_name=table_name, status="in_progress", started_at=started_at or datetime.now(), mapping_config=json.dumps(mapping_config) if mapping_config else None, metadata=json.dumps(metadata) if metadata else None, **facts)
         return import_id
 
+    def keys(self, table_name: str, incoming: DataFrame, given: Sequence[str] | None = None) -> Keys:
+        """The uniqueness columns of an import into a table, see ``keys.resolved``."""
+        existing = self.store.read(table_name) if self.store.exists(table_name) else None
+        return resolved_keys(incoming, existing, given, self.history(), table_name)
+
     def mapping(self, import_id: str, status: str, errors: int = 0) -> None:
         """pending, in_progress, then completed or failed."""
         now = self.get(import_id)["mapping_status"]

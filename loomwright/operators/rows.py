@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import multivalue, text
 from .columns import RULES as COLUMN_RULES
 from .columns import cell
+from .scratch import kept
 
 NUMBER = "_source_record_number"
 
@@ -170,3 +171,30 @@ def expansion(before: DataFrame, after: DataFrame) -> DataFrame:
     a, b = before.agg(F.count("*").alias("input_rows")), after.agg(F.count("*").alias("output_rows"), F.countDistinct(NUMBER).alias("with_output"))
     ratio = F.when(F.col("input_rows") > 0, F.col("output_rows") / F.col("input_rows")).otherwise(0.0)
     return a.join(F.broadcast(b)).select("input_rows", "output_rows", ratio.alias("ratio"), (F.col("input_rows") - F.col("with_output")).alias("rows_without_output"))
+
+
+@dataclass(frozen=True)
+class Expansion:
+    """What a reshaping made of its rows: first_without has the numbers of the first of those that gave none."""
+
+    input_rows: int
+    output_rows: int
+    ratio: float
+    rows_without_output: int
+    first_without: list[int]
+
+
+LISTED = 100
+
+
+def reshaped_with_figures(df: DataFrame, transforms: Sequence[Mapping]) -> tuple[Reshaped, Expansion]:
+    """As ``reshape``, its rows stored, and its figures from one job over the record numbers of both sides; which rows
+    gave none is asked for only if there are any."""
+    before = kept(df if NUMBER in df.columns else df.withColumn(NUMBER, F.monotonically_increasing_id() + 1), "numbered")
+    shaped = reshape(before, transforms)
+    out = kept(shaped.rows, "reshaped")
+    made = out.groupBy(F.col(NUMBER).alias("_made")).agg(F.count("*").alias("_n"))
+    both = before.select(NUMBER).join(made, F.col(NUMBER) == F.col("_made"), "left")
+    n = both.agg(F.count("*").alias("rows"), F.coalesce(F.sum("_n"), F.lit(0)).alias("out"), F.count_if(F.col("_n").isNull()).alias("without")).first()
+    first = [r[0] for r in both.where("_n IS NULL").select(NUMBER).orderBy(NUMBER).limit(LISTED).collect()] if n["without"] else []
+    return Reshaped(out, shaped.errors), Expansion(n["rows"], n["out"], n["out"] / n["rows"] if n["rows"] else 0.0, n["without"], first)

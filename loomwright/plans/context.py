@@ -6,12 +6,12 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import browse
 from ..operators.schemas import RESERVED
-from . import guard
+from . import guard, limits
 
 SAMPLES = 3
 
@@ -92,16 +92,27 @@ def json_records(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*[json_safe(F.col(f"`{c}`"), kinds[c]).alias(c) for c in df.columns])).alias("record"))
 
 
-def result_text(df: DataFrame, seconds: float, limit: int = guard.AGENT_ROWS) -> str:
+def result_text(df: DataFrame | guard.Fetched, seconds: float | None = None, limit: int = guard.AGENT_ROWS) -> str:
     """A result for a reader: how many rows and columns it has and how long it took, then the rows as CSV."""
-    rows = df.limit(limit).collect()
-    return f"{len(rows)} rows, {len(df.columns)} columns, {seconds:.2f} s\n" + browse.csv_text(df.columns, [list(r) for r in rows])
-
-
-def export(spark: SparkSession, sql: str, path: str, limit: int = guard.EXPORT_ROWS) -> int:
-    """Writes a guarded query's rows as CSV and says how many they are; an empty answer is an error."""
-    rows = guard.run(spark, sql, limit)
-    if rows.isEmpty():
+    if isinstance(df, guard.Fetched):
+        columns, rows, seconds = df.columns, df.rows[:limit], df.seconds if seconds is None else seconds
+    else:
+        columns, rows = df.columns, df.limit(limit).collect()
+    return f"{len(rows)} rows, {len(columns)} columns, {seconds or 0:.2f} s\n" + browse.csv_text(columns, [list(r) for r in rows])
+
+
+def export(spark: SparkSession, sql: str, path: str, limit: int = guard.EXPORT_ROWS, seconds: float = limits.EXPORT_SECONDS) -> int:
+    """Writes a guarded query's rows as CSV and says how many they are; an empty answer is an error, as is one that takes longer.
+    The query runs once: the write itself counts its rows. What fails leaves no files."""
+    counted = Observation()
+    rows = guard.run(spark, sql, limit).observe(counted, F.count("*").alias("n"))
+    try:
+        with limits.time_limit(spark, seconds, "the export"):
+            rows.write.option("header", True).csv(path)
+    except limits.TimedOut as e:
+        raise guard.Refused(str(e)) from e
+    if not (n := counted.get["n"]):
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
         raise LookupError("the query gives no rows")
-    rows.write.option("header", True).csv(path)
-    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).count()
+    return n

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, ParseException, PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 
 from ..operators.schemas import RESERVED
+from . import limits
 
 AGENT_ROWS, EXPORT_ROWS = 2_500, 100_000
 FORBIDDEN = ["INSERT", "UPDATE", "DELETE", "DROP", "CREATE", "ALTER", "TRUNCATE"]
@@ -32,8 +36,14 @@ def hint(error: Exception) -> str | None:
     return next((h for k, h in HINTS.items() if kind.startswith(k)), None)
 
 
-# Functions that reach beyond the rows of tables.
-REACHING = {"reflect", "java_method", "try_reflect", "input_file_name", "input_file_block_start", "input_file_block_length", "read_files", "current_user", "session_user", "user", "secret", "try_secret"}
+# What a query may be made of; everything else is refused. Functions are allowed by the group that Spark documents them in: those of
+# its group misc_funcs reach beyond the rows (files, users, Java classes), but for the ones named here.
+NODES = {
+    "Project", "Filter", "Aggregate", "Join", "AsOfJoin", "LateralJoin", "SubqueryAlias", "UnresolvedRelation", "UnresolvedSubqueryColumnAliases", "Distinct", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Union", "Except",
+    "Intersect", "UnresolvedWith", "UnresolvedHaving", "WithWindowDefinition", "Generate", "UnresolvedInlineTable", "LocalRelation", "OneRowRelation", "Pivot", "Unpivot", "UnresolvedHint", "UnresolvedOrdinal",
+}
+GROUPS = {f"{g}_funcs" for g in ("agg", "array", "bitwise", "collection", "conditional", "conversion", "csv", "datetime", "date", "generator", "hash", "json", "lambda", "map", "math", "predicate", "string", "struct", "url", "window", "xml", "variant", "st")}
+ALSO = {"typeof", "uuid", "monotonically_increasing_id"}
 
 
 def parsed(spark: SparkSession, sql: str):
@@ -47,33 +57,92 @@ def members(seq) -> list:
     return [seq.apply(i) for i in range(seq.size())]
 
 
-def walk(node, known: frozenset, tables: list[str]) -> None:
-    """Adds the tables that a parsed plan reads; names that WITH defines hide tables only where they are in scope: a definition
+def kind_of(node) -> str:
+    return node.getClass().getSimpleName().rstrip("$")
+
+
+def expressions(node) -> Iterator:
+    """The expressions of a plan's node, and what they are made of."""
+    left = members(node.expressions())
+    while left:
+        e = left.pop()
+        yield e
+        left += members(e.children())
+
+
+@dataclass
+class Asked:
+    """What a parsed query reads and calls, and the columns that it casts (name, type)."""
+
+    tables: list[str]
+    functions: list[str]
+    casts: list[tuple[str, str]]
+
+
+NUMERIC = ("int", "integer", "bigint", "smallint", "tinyint", "long", "decimal", "numeric", "dec", "double", "float", "real")
+
+
+def look(node, asked: Asked) -> None:
+    """Notes the functions and casts of a node's expressions; names that are made at run time are refused."""
+    for e in expressions(node):
+        kind = kind_of(e)
+        if "UnresolvedIdentifier" in kind:
+            raise Refused("IDENTIFIER isn't allowed")
+        if kind == "UnresolvedFunction":
+            name = ".".join(members(e.nameParts()))
+            asked.functions.append(name)
+            if name.lower() in NUMERIC and len(given := members(e.arguments())) == 1 and kind_of(given[0]) == "UnresolvedAttribute":
+                asked.casts.append((members(given[0].nameParts())[-1], name.lower()))
+        if kind == "UnresolvedGenerator":
+            asked.functions.append(e.name().funcName())
+        if kind == "Cast" and kind_of(e.child()) == "UnresolvedAttribute" and e.evalMode().toString() != "TRY":
+            asked.casts.append((members(e.child().nameParts())[-1], e.dataType().simpleString()))
+
+
+def walk(node, known: frozenset, asked: Asked) -> None:
+    """Notes what a parsed plan reads; names that WITH defines hide tables only where they are in scope: a definition
     sees those before it, not itself."""
-    kind = node.getClass().getSimpleName()
+    kind = kind_of(node)
     if kind == "UnresolvedRelation":
         parts = members(node.multipartIdentifier())
         if not (len(parts) == 1 and parts[0].lower() in known):
-            tables.append(".".join(parts))
-    if kind in ("UnresolvedTableValuedFunction", "UnresolvedTVFAliases"):
-        tables.append("(" + node.toString().splitlines()[0].strip() + ")")
+            asked.tables.append(".".join(parts))
+    elif kind in ("UnresolvedTableValuedFunction", "UnresolvedTVFAliases"):
+        asked.tables.append("(" + node.toString().splitlines()[0].strip() + ")")
+    elif "UnresolvedIdentifier" in kind:
+        raise Refused("IDENTIFIER isn't allowed")
+    elif kind not in NODES:
+        raise Refused(f"{kind} isn't allowed")
+    look(node, asked)
     if kind == "UnresolvedWith":
         for pair in members(node.cteRelations()):
-            walk(pair._2(), known, tables)
+            walk(pair._2(), known, asked)
             known = known | {pair._1().lower()}
-        walk(node.child(), known, tables)
+        walk(node.child(), known, asked)
         return
     for child in members(node.children()):
-        walk(child, known, tables)
+        walk(child, known, asked)
     for inner in members(node.subqueries()):
-        walk(inner, known, tables)
+        walk(inner, known, asked)
 
 
-def tables_of(spark: SparkSession, sql: str) -> list[str]:
-    """Tables that a query reads, by its parsed plan."""
-    tables: list[str] = []
-    walk(parsed(spark, sql), frozenset(), tables)
-    return list(dict.fromkeys(tables))
+def asked_by(spark: SparkSession, sql: str) -> Asked:
+    """What a query reads, calls and casts, by its parsed plan."""
+    asked = Asked([], [], [])
+    walk(parsed(spark, sql), frozenset(), asked)
+    return Asked(*(list(dict.fromkeys(x)) for x in (asked.tables, asked.functions, asked.casts)))
+
+
+def may_call(spark: SparkSession, name: str) -> bool:
+    """Whether a function is one of Spark's own that work on values alone, or a constructor of a type."""
+    if "." in name:
+        return False
+    catalog, jvm = spark._jsparkSession.sessionState().catalog(), spark.sparkContext._jvm
+    try:
+        info = catalog.lookupFunctionInfo(jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(name))
+    except Exception:  # no such function: the analysis says so
+        return name.lower() in NUMERIC
+    return (info.getSource() == "built-in" and info.getGroup() in GROUPS) or name.lower() in ALSO
 
 
 def check(spark: SparkSession, sql: str, strict: bool = True) -> str:
@@ -89,9 +158,10 @@ def check(spark: SparkSession, sql: str, strict: bool = True) -> str:
         raise Refused(f"{found} isn't allowed")
     if ";" in quoted:
         raise Refused("one statement only")
-    if found := next((f for f in re.findall(r"([A-Za-z_][\w.]*)`?\s*\(", quoted) if f.split(".")[-1].lower() in REACHING), None):
+    asked = asked_by(spark, query)
+    if found := next((f for f in asked.functions if not may_call(spark, f)), None):
         raise Refused(f"the function {found} isn't allowed")
-    for name in tables_of(spark, query):
+    for name in asked.tables:
         parts = [p.strip("`\"").lower() for p in name.split(".")]
         if parts[-1] in RESERVED:
             raise Refused(f"table {name} is the system's own")
@@ -139,16 +209,21 @@ def some_cells(spark: SparkSession, tables: list[str]) -> Callable[[str], list[s
 
 
 def formatted_casts(spark: SparkSession, sql: str, samples: Callable[[str], list[str]]) -> list[str]:
-    """Columns that the query casts to numbers although their cells hold marks like , $ ( %."""
-    cast = re.findall(r"(?i)\bCAST\s*\(\s*[`\"]?(\w+)[`\"]?\s+AS\s+(?:INT|BIGINT|DECIMAL|NUMERIC|DOUBLE|FLOAT)", sql)
-    cast += re.findall(r"(?i)[`\"]?(\w+)[`\"]?::(?:int|bigint|decimal|numeric|double|float)", sql)
+    """Columns that the query casts to numbers although their cells hold marks like , $ ( %; with try_cast they may."""
+    cast = [c for c, kind in asked_by(spark, sql).casts if kind.split("(")[0] in NUMERIC]
     return [c for c in dict.fromkeys(cast) if any(re.search(r"[,$(%]", str(v)) for v in samples(c) if v is not None)]
 
 
+def reason(e: Exception) -> str:
+    """An error's first paragraph, and what to try."""
+    cause = str(e.java_exception.getMessage()) if isinstance(e, Py4JJavaError) else str(e)
+    return " ".join(cause.split("\n\n")[0].splitlines()) + (f" {h}" if (h := hint(e)) else "")
+
+
 def run(spark: SparkSession, sql: str, limit: int = AGENT_ROWS) -> DataFrame:
     """The guarded query's rows, at most ``limit``; errors of analysis come with a hint."""
     query = check(spark, sql)
-    tables = tables_of(spark, query)
+    tables = asked_by(spark, query).tables
     if marked := formatted_casts(spark, query, some_cells(spark, tables)):
         raise Refused(f"{', '.join(marked)} hold marks like , $ ( or %: strip them before the cast, or use try_cast")
     if mixed := text_with_number(spark, query, tables):
@@ -158,16 +233,38 @@ def run(spark: SparkSession, sql: str, limit: int = AGENT_ROWS) -> DataFrame:
     except (AnalysisException, ParseException) as e:
         if re.search(r"(?is)SELECT\s+DISTINCT\b.*\bORDER\s+BY\b", query) and "UNRESOLVED_COLUMN" in (e.getCondition() or ""):
             raise Refused("with DISTINCT, ORDER BY may use selected columns only") from e
-        raise Refused(" ".join(str(e).split("\n\n")[0].splitlines()) + (f" {h}" if (h := hint(e)) else "")) from e
+        raise Refused(reason(e)) from e
+
+
+@dataclass(frozen=True)
+class Fetched:
+    """A query's rows, its columns, and how many seconds they took."""
+
+    columns: list[str]
+    rows: list[Row]
+    seconds: float
+
+
+def fetch(spark: SparkSession, sql: str, limit: int = AGENT_ROWS, seconds: float = limits.AGENT_SECONDS) -> Fetched:
+    """The guarded query's rows, at most ``limit`` of them within so many seconds; whatever fails at run time, the time limit among
+    it, is a refusal with its reason and a hint."""
+    began, df = time.time(), run(spark, sql, limit)
+    try:
+        with limits.time_limit(spark, seconds):
+            return Fetched(df.columns, df.collect(), time.time() - began)
+    except limits.TimedOut as e:
+        raise Refused(f"{e}: filter or aggregate first") from e
+    except (PySparkException, Py4JJavaError) as e:
+        raise Refused(reason(e)) from e
 
 
-def answer(ask: Callable[[str, list[str]], str], spark: SparkSession, question: str, attempts: int = 3) -> tuple[str, DataFrame]:
-    """SQL from ``ask`` (question and what went wrong so far) until one passes the guard, and its rows."""
+def answer(ask: Callable[[str, list[str]], str], spark: SparkSession, question: str, attempts: int = 3, seconds: float = limits.AGENT_SECONDS) -> tuple[str, Fetched]:
+    """SQL from ``ask`` (question and what went wrong so far) until one passes the guard and runs, and its rows."""
     wrong: list[str] = []
     for _ in range(attempts):
         sql = ask(question, wrong)
         try:
-            return sql, run(spark, sql)
+            return sql, fetch(spark, sql, seconds=seconds)
         except Refused as e:
             wrong.append(str(e))
     raise Refused("; ".join(wrong))

@@ -14,7 +14,7 @@ from ..operators import browse
 from ..operators.schemas import safe_identifier
 from ..plans import decisions
 from . import workbooks
-from .files import NUMBER, file_hashes, has_header, kind_of, numbered, read, read_csv
+from .files import NUMBER, file_hashes, has_header, kind_of, read, read_csv
 
 SAMPLE_ROWS, PREVIEW_ROWS = 1000, 20
 
@@ -118,16 +118,3 @@ class Readings:
         if key not in self.kept:
             self.kept[key] = (self.now() + self.seconds, make(read(self.spark, path, **options)).persist())
         return self.kept[key][1]
-
-
-def xml_rows(spark: SparkSession, path: str) -> DataFrame:
-    """The children of an XML file's root as records, whatever their tag is: the root's first child names it."""
-    from .files import read_xml
-
-    head = "".join(r["value"] + "\n" for r in spark.read.text(path).limit(50).collect())
-    import re
-
-    tags = re.findall(r"<([A-Za-z_][\w.\-]*)", re.sub(r"<!--.*?-->", "", head, flags=re.S))
-    if len(tags) < 2:
-        return numbered(spark.createDataFrame([], "value string")).drop("value")
-    return read_xml(spark, path, tags[1])

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import csv
 import io
+from collections.abc import Sequence
 from pathlib import PurePath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import na_to_null
 from ..operators.inference import looks_like_header
@@ -42,14 +44,56 @@ def has_header(spark: SparkSession, path: str) -> bool:
     return bool(rows) and looks_like_header(rows[0], rows[1] if len(rows) > 1 else None)
 
 
-def read_csv(spark: SparkSession, path: str, header: bool | None = None, number: bool = True) -> DataFrame:
-    """All cells as text, missing ones null; headerless columns are col_0, col_1, ..."""
-    header = has_header(spark, path) if header is None else header
-    df = spark.read.csv(path, header=header, multiLine=True, escape='"', mode="PERMISSIVE")
-    names = [c.lstrip("﻿").strip() for c in df.columns] if header else [f"col_{i}" for i in range(len(df.columns))]
-    df = df.toDF(*names)
-    df = df.select(*[na_to_null(F.col(f"`{c}`")).alias(c) for c in names])
-    return numbered(df) if number else df
+RECORD = "_record"
+
+
+def cells_of_record(record: Column) -> Column:
+    """The number of cells of a CSV record; commas and line ends between quotes are no separators."""
+    return F.regexp_count(F.regexp_replace(record, '"(?:[^"]|"")*"', ""), F.lit(",")) + 1
+
+
+def parsed_csv(spark: SparkSession, path: str | Sequence[str], header: bool, multi_line: bool, names: Sequence[str] | None) -> tuple[DataFrame, list[str]]:
+    """All cells as text, RECORD (the whole record where its width is another than the first one's) and the columns' names."""
+    reader = spark.read.option("header", header).option("multiLine", multi_line).option("escape", '"').option("mode", "PERMISSIVE")
+    if names is None:
+        first = reader.csv(path).columns
+        names = [c.lstrip("\ufeff").strip() for c in first] if header else [f"col_{i}" for i in range(len(first))]
+    schema = StructType([StructField(c, StringType()) for c in [*names, RECORD]])
+    # without pruning the parser sees all cells, whatever columns are asked for
+    return reader.option("columnNameOfCorruptRecord", RECORD).option("columnPruning", False).schema(schema).csv(path), list(names)
+
+
+def too_wide(names: Sequence[str]) -> Column:
+    """Whether a row has more cells than there are columns. (A cell is looked at too: Spark refuses to read RECORD alone.)"""
+    some = F.length(F.coalesce(F.col(f"`{names[0]}`"), F.lit(""))) >= 0
+    return F.coalesce(cells_of_record(F.col(RECORD)) > len(names), F.lit(False)) & some
+
+
+def read_csv(spark: SparkSession, path: str | Sequence[str], header: bool | None = None, number: bool = True, names: Sequence[str] | None = None, wide: str = "error", multi_line: bool = True, origin: str | None = None) -> DataFrame:
+    """All cells as text, missing ones null; headerless columns are col_0, col_1, ... Several files must have the same columns;
+    ``origin`` names a column for the file of a row.
+
+    A row with more cells than the header (or the first row) is an error when it is read; with ``wide="reject"`` it is left out here
+    and among ``csv_rejects``. Shorter rows are filled up with nulls. Without ``multi_line`` cells can't hold line ends, and
+    large files are split among tasks."""
+    if wide not in ("error", "reject"):
+        raise ValueError(f"no such way with wide rows: {wide}")
+    header = has_header(spark, path if isinstance(path, str) else path[0]) if header is None else header
+    df, names = parsed_csv(spark, path, header, multi_line, names)
+    df = numbered(df) if number else df
+    also = [F.col("_metadata.file_path").alias(origin)] if origin else []
+    message = F.concat(F.lit(f"a row has more than {len(names)} cells: "), F.substring(RECORD, 1, 200))
+    fits = F.when(~too_wide(names), F.lit(True))
+    df = df.where(fits.otherwise(F.raise_error(message).cast("boolean") if wide == "error" else F.lit(False)))
+    return df.select(*[na_to_null(F.col(f"`{c}`")).alias(c) for c in names], *([NUMBER] if number else []), *also)
+
+
+def csv_rejects(spark: SparkSession, path: str | Sequence[str], header: bool | None = None, multi_line: bool = True) -> DataFrame:
+    """record_number, record and message of the rows that have more cells than there are columns."""
+    header = has_header(spark, path if isinstance(path, str) else path[0]) if header is None else header
+    df, names = parsed_csv(spark, path, header, multi_line, None)
+    message = F.concat(cells_of_record(F.col(RECORD)).cast("string"), F.lit(f" cells in {len(names)} columns"))
+    return numbered(df).where(too_wide(names)).select(F.col(NUMBER).alias("record_number"), F.col(RECORD).alias("record"), message.alias("message"))
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
@@ -60,8 +104,13 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     return numbered(df)
 
 
-def read_xml(spark: SparkSession, path: str, row_tag: str) -> DataFrame:
-    """Children of the root as records; attributes are dropped, the last of repeated tags wins."""
+def read_xml(spark: SparkSession, path: str, row_tag: str | None = None) -> DataFrame:
+    """Children of the root as records; attributes are dropped, the last of repeated tags wins. With a row tag only children of
+    that name, and large files are split among tasks; without one all children, see ``xml_records``."""
+    if row_tag is None:
+        from .xml_records import xml_records
+
+        return xml_records(spark, path)
     df = spark.read.format("xml").option("rowTag", row_tag).option("inferSchema", False).load(path)
     columns = [F.element_at(f"`{f.name}`", -1).alias(f.name) if f.dataType.typeName() == "array" else F.col(f"`{f.name}`").alias(f.name) for f in df.schema if not f.name.startswith("_")]
     return numbered(df.select(*columns))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from loomwright.operators import history, semantics
 from loomwright.operators.lineage import Store
 from loomwright.plans import context, decisions, guard
-from loomwright.sources import counting
+from loomwright.sources import counting, files
 
 
 @pytest.fixture
@@ -242,7 +242,7 @@ def test_counts_and_headers(spark, tmp_path):
     got = counting.suggested_mapping(spark.createDataFrame([("a", "1")], ["Full Name", "full-name"]), "My File.csv", lambda: 7.9)
     assert got["table_name"] == "my_file_7" and got["mappings"] == {"full_name": "Full Name", "full_name_2": "full-name"} and got["db_schema"]["full_name_2"] == "INTEGER"
     (tmp_path / "c.xml").write_text("<?xml version='1.0'?><!-- <no> --><rows><r><a>1</a></r><r><a>2</a><b>x</b></r></rows>")
-    assert sorted(r["a"] for r in counting.xml_rows(spark, f"file://{tmp_path}/c.xml").collect()) == ["1", "2"]
+    assert sorted(r["a"] for r in files.read_xml(spark, f"file://{tmp_path}/c.xml").collect()) == ["1", "2"]
 
 
 def test_readings_are_kept_for_a_time(spark, tmp_path):

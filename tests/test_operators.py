@@ -147,7 +147,7 @@ def test_guard(spark):
         with pytest.raises(guard.Refused):
             guard.run(spark, bad)
     tries = iter(["SELECT nope FROM numbers", "SELECT count(*) AS n FROM numbers"])
-    assert guard.answer(lambda q, wrong: next(tries), spark, "how many?")[1].first()[0] == 5
+    assert guard.answer(lambda q, wrong: next(tries), spark, "how many?")[1].rows[0][0] == 5
     assert guard.formatted_casts(spark, "SELECT CAST(price AS INT), CAST(n AS INT) FROM t", lambda c: ["$1"] if c == "price" else ["1"]) == ["price"]
 
 
@@ -189,9 +189,9 @@ def test_sources(spark, tmp_path):
     assert cells(files.read(spark, f"{at}/a.xml", row_tag="p"), "n", "t") == [("Ann", "b"), ("Bob", None)]
     assert cells(files.read(spark, f"{at}/a.xlsx"), "name", "age") == [("Ann", "7")]
     assert workbooks.list_sheets(spark, f"{at}/a.xlsx") == ["One"]
-    assert archives.members((tmp_path / "z.zip").read_bytes(), ["d/a.csv", "no.csv"]) == {"d/a.csv": "ready", "no.csv": "failed"}
-    out = archives.unpack(spark, f"{at}/z.zip", f"{at}/out")
-    assert cells(files.read_csv(spark, out["d/a.csv"], header=True), "name") == [("Ann",)]
+    out = {r["member"]: r for r in archives.unpack(spark, f"{at}/z.zip", f"{at}/out", ["d/a.csv", "no.csv"]).collect()}
+    assert {m: r["status"] for m, r in out.items()} == {"d/a.csv": "ready", "no.csv": "failed"}
+    assert cells(files.read_csv(spark, out["d/a.csv"]["target"], header=True), "name") == [("Ann",)]
     with pytest.raises(ValueError):
         files.kind_of("a.CSV")
     assert files.file_hashes(spark, f"{at}/a.csv").count() == 1
