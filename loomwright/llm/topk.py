@@ -19,6 +19,8 @@ from .common import stored, table
 
 K, SCALE = 5, 256
 BLOCK, QUERY_BLOCK = 2048, 1024
+#: Blocks of candidates that meet a block of queries under one key.
+GROUP = 32
 BINS = 1024
 PACKED = "block long, ids binary, dim int, vectors binary"
 
@@ -36,11 +38,13 @@ def packed(rows: DataFrame, size: int) -> tuple[DataFrame, int]:
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         dim = max((len(v) for v in rows["embedding"]), default=0)
-        out = np.zeros((len(rows), dim), dtype=np.int64)
+        made = np.zeros((len(rows), dim))
         for i, v in enumerate(rows["embedding"]):
-            out[i, : len(v)] = np.floor(SCALE * np.asarray(v, dtype=np.float64))
-        if np.abs(out).max(initial=0) < 2**31:
-            out = out.astype(np.int32)
+            made[i, : len(v)] = np.floor(SCALE * np.asarray(v, dtype=np.float64))
+        most = np.abs(made).max(initial=0)
+        if most >= 2**62:
+            raise OverflowError("a component doesn't fit a 64-bit integer")
+        out = made.astype(np.int64 if most >= 2**31 else np.int32)
         return pd.DataFrame({"block": [int(rows["block"].iloc[0])], "ids": [rows["vec_id"].to_numpy(np.int64).tobytes()], "dim": [dim], "vectors": [out.tobytes()]})
 
     # by a hash of the row's number: even, however short the partitions are and however often a vec_id is there
@@ -73,13 +77,16 @@ def search(candidates: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the k highest integer inner products of each query (fewer, if there are
     fewer candidates); ties go to the smaller vec_id. Both tables have vec_id and embedding; rows whose vec_id is the query's are its own.
 
-    Null vectors and vectors with nulls or non-finite components take no part; empty tables give no rows; a row that is
+    A component of 2**62 / 256 or more raises OverflowError, as does a score that 62 bits can't hold. Null vectors and vectors with nulls or non-finite components take no part; empty tables give no rows; a row that is
     repeated is a candidate (or query) each time; other columns are not read."""
     rows = [x.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))) for x in (queries, candidates)]
-    (asked, n_asked), (held, _) = packed(rows[0], QUERY_BLOCK), packed(rows[1], BLOCK)
+    (asked, n_asked), (held, n_held) = packed(rows[0], QUERY_BLOCK), packed(rows[1], BLOCK)
     bound = limit(asked, held)
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_asked - 1).cast("long")))
-    others = held.select(every.alias("block"), F.col("ids").alias("other_ids"), F.col("dim").alias("other_dim"), F.col("vectors").alias("other_vectors"))
+    # a block of queries meets the candidates in groups of so many blocks: no key of the join holds what grows
+    groups = -(-n_held // GROUP)
+    parts = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    others = held.select(every.alias("block"), F.pmod("block", F.lit(groups)).cast("int").alias("part"), F.col("ids").alias("other_ids"), F.col("dim").alias("other_dim"), F.col("vectors").alias("other_vectors"))
 
     width = 1
     while width * BINS < 2 * bound + 1:
@@ -87,11 +94,11 @@ def search(candidates: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     # the range of a query's k-th score: from lo, BINS bins of the width; above: scores higher than the range
     state = asked.select("block", F.posexplode(F.expr(f"array_repeat(struct(bigint({-bound}) as lo, bigint(0) as above), int(octet_length(ids) / 8))")).alias("pos", "s")).select("block", "pos", "s.*")
     while True:
-        state = stored(narrowed(asked, others, state, width, k), "ranges")
+        state = stored(narrowed(asked, others, parts, state, width, k), "ranges")
         if width == 1:
             break
         width //= BINS
-    last = asked.join(in_blocks(state), "block").join(others, "block").mapInPandas(lambda batches: chosen(batches, k), "query_block long, pos int, query_id long, vec_id long, score long")
+    last = asked.join(in_blocks(state), "block").withColumn("part", parts).join(others, ["block", "part"]).mapInPandas(lambda batches: chosen(batches, k), "query_block long, pos int, query_id long, vec_id long, score long")
     order = Window.partitionBy("query_block", "pos").orderBy(F.col("score").desc(), "vec_id")
     return last.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -115,7 +122,7 @@ def in_blocks(state: DataFrame) -> DataFrame:
     return state.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("pos", "lo", "above"))).alias("s")).select("block", F.col("s.lo").alias("lo"), F.col("s.above").alias("above"), F.col("s.pos").alias("pos"))
 
 
-def narrowed(asked: DataFrame, others: DataFrame, state: DataFrame, width: int, k: int) -> DataFrame:
+def narrowed(asked: DataFrame, others: DataFrame, parts: Column, state: DataFrame, width: int, k: int) -> DataFrame:
     """The bin of each query's range that holds its k-th score, and the scores above it."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -133,7 +140,7 @@ def narrowed(asked: DataFrame, others: DataFrame, state: DataFrame, width: int,
                 if at:
                     yield pd.DataFrame({"block": r.block, "pos": at, "bin": np.concatenate(bins), "n": np.concatenate(n)})
 
-    told = asked.join(in_blocks(state), "block").join(others, "block").mapInPandas(count, "block long, pos int, bin long, n long")
+    told = asked.join(in_blocks(state), "block").withColumn("part", parts).join(others, ["block", "part"]).mapInPandas(count, "block long, pos int, bin long, n long")
     bins = told.groupBy("block", "pos", "bin").agg(F.sum("n").alias("n"))
     down = Window.partitionBy("block", "pos").orderBy(F.col("bin").desc())
     seen = F.coalesce(F.sum("n").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
