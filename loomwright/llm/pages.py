@@ -58,6 +58,10 @@ NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
 
 
+#: Elements that a page's head may hold; the first other one ends it, as does text.
+IN_HEAD = {"base", "basefont", "bgsound", "head", "html", "link", "meta", "noframes", "noscript", "script", "style", "template", "title"}
+
+
 class Tree:
     """Elements in page order (parents first) and the blocks of text that stand in them.
 
@@ -73,7 +77,9 @@ class Tree:
         self.stack: list[tuple[str, int]] = [("#root", 0)]  # open elements and the node they are in
         self.places: dict[str, list[int]] = {}  # where in the stack elements of a tag are
         self.walls = [0]  # where in the stack elements are that aren't inline
+        self.links: list[int] = []  # where in the stack anchors with a target are
         self.fresh = True
+        self.in_head = self.had_head = False
         self.build(page)
 
     def build(self, page: str) -> None:
@@ -105,6 +111,8 @@ class Tree:
                 break  # a tag that the page ends in
             at, tag = m.end(), m[2].lower()
             foreign = self.stack[self.walls[-1]][0] in FOREIGN and tag not in LEAVES_FOREIGN and tag not in ("script", "style")
+            if self.in_head and (tag == "head" if m[1] else tag not in IN_HEAD):
+                self.in_head = False
             if m[1]:
                 self.close(tag)
             elif foreign:
@@ -113,13 +121,16 @@ class Tree:
             elif tag in RAW:
                 at = ends.after(tag, at)
             elif tag == "head":
-                close = re.compile(r"</head\s*>|<body[\s>]", re.I).search(page, at)
-                at = (close.end() if close[0].startswith("</") else close.start()) if close else at
+                self.in_head, self.had_head = not self.had_head, True
             elif tag in INLINE or tag in VOID:
                 if tag == "br" and self.runs and not self.fresh:
                     self.runs[-1].append((-1, " "))
                 self.fresh |= tag == "hr"
                 if tag not in VOID and not m[3].endswith("/"):
+                    if tag == "a":
+                        self.close(tag)  # an anchor ends at the next one
+                        if any(x[1].lower() == "href" for x in NAMED.finditer(m[3])):
+                            self.links.append(len(self.stack))
                     self.push(tag, self.stack[-1][1])
             elif tag in EMBEDDED:
                 if not m[3].endswith("/") and (tag in FOREIGN or ends.later(tag, at)):
@@ -131,12 +142,16 @@ class Tree:
 
     def write(self, piece: str) -> None:
         node, n = self.stack[-1][1], len(piece.strip())
+        if self.in_head:
+            if not n:
+                return
+            self.in_head = False  # text can't be in the head
         if self.fresh:
             self.runs.append([])
             self.fresh = False
         self.runs[-1].append((node, piece))
         self.text[node] += n
-        if self.places.get("a"):
+        if self.links and self.links[-1] > self.walls[-1]:
             self.linked[node] += n
 
     def node(self, tag: str, attributes: str) -> int:
@@ -165,6 +180,8 @@ class Tree:
         while len(self.stack) > k:
             tag, _ = self.stack.pop()
             self.places[tag].pop()
+            if self.links and self.links[-1] == len(self.stack):
+                self.links.pop()
             if self.walls[-1] == len(self.stack):
                 self.walls.pop()
                 self.fresh |= tag not in EMBEDDED
