@@ -96,10 +96,16 @@ def train(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The labelled rows to learn from: crc32 of doc_id as text is not divisible by 5, a label is there, smallest hashes first."""
-    ids = labels.where((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0) & F.col("toxic").isNotNull())
-    ids = ids.select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(TRAIN_ROWS)
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # TRAIN_ROWS rows
+    """The labelled rows to learn from: crc32 of doc_id as text is not divisible by 5, a label is there and the document is. Of
+    these rows (one for each label of a document, and for each time that it is there) the TRAIN_ROWS with the smallest hashes of doc_id, text and label."""
+    ids = labels.where((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0) & F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("_text"))
+    # rows are chosen by their hashes; texts are looked up for those that were chosen (TRAIN_ROWS at most)
+    order = [F.xxhash64("doc_id", "_text", "toxic"), F.col("doc_id"), F.col("_text"), F.col("toxic")]
+    some = texts.select("doc_id", "_text").join(ids, "doc_id").orderBy(*order).limit(TRAIN_ROWS)
+    chosen = stored(some.groupBy("doc_id", "_text", "toxic").agg(F.count("*").cast("int").alias("_times")), "training-rows")
+    found = texts.join(F.broadcast(chosen), ["doc_id", "_text"]).groupBy("doc_id", "_text", "toxic", "_times").agg(F.min("text").alias("text"))
+    return found.select("doc_id", "text", "toxic", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_time")).drop("_time")
 
 
 def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], carry: Sequence[str] = ("doc_id",)) -> DataFrame:
