@@ -101,14 +101,15 @@ def mix(docs: DataFrame, carry: bool = False) -> DataFrame:
 
     Null texts have size 0 and take nothing; rows without a source are a source of their own, last in order; rows that repeat
     are documents of their own; an empty table gives no rows. The histogram of a source (a row for each size that it has)
-    is what one task sees; no document is. Which documents of a size are taken is by a seeded hash of doc_id."""
-    sized = docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"), *([F.struct(*docs.columns).alias("doc")] if carry else []))
+    is what one task sees; no document is. Which documents of a size are taken is by a seeded hash of doc_id and text."""
+    sized = docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"), F.xxhash64(F.col("text").cast("string")).alias("_text"), *([F.struct(*docs.columns).alias("doc")] if carry else []))
     ids = sized if carry else stored(sized, "sizes")
     counts = stored(ids.groupBy("source", "size").agg(F.count("*").alias("n")), "size-counts")
     aims = targets(counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))).withColumnRenamed("source", "_source")
     fitted = counts.join(aims, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").groupBy("source").applyInPandas(fit_source, "source string, size long, source_size long, target double, passes int, extra long")
-    hashed = F.xxhash64(F.lit(SEED), "doc_id")
-    ranked = salted_rank(ids, ["source", "size"], [hashed, F.col("doc_id")], F.xxhash64(F.lit(SEED + 1), "doc_id"), RANK_SALTS, "_rank", beside=stored(fitted, "size-choices"))
+    # the text is in both hashes: rows of one doc_id, or without any, are many keys, and which are taken doesn't depend on a tie
+    hashed = F.xxhash64(F.lit(SEED), "doc_id", "_text")
+    ranked = salted_rank(ids, ["source", "size"], [hashed, F.col("doc_id"), F.col("_text")], F.xxhash64(F.lit(SEED + 1), "doc_id", "_text"), RANK_SALTS, "_rank", beside=stored(fitted, "size-choices"))
     times = F.col("passes") + (F.col("_rank") < F.col("extra")).cast("int")
     return ranked.select("doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"), *(["doc"] if carry else []))
 

@@ -17,12 +17,21 @@ from .repeats import without_repeats
 from .toxicity import THRESHOLD, score, train, training_rows
 
 
+def is_parquet(docs: DataFrame) -> bool:
+    """Whether docs is what a Parquet table holds, as it is."""
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() != "LogicalRelation" or plan.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return False
+    return plan.relation().fileFormat().getClass().getSimpleName() == "ParquetFileFormat"
+
+
 def with_rows(docs: DataFrame) -> DataFrame:
     """row (an id that stays: file and place in it) and doc, a struct of all columns. What isn't read from Parquet as it is gets
     written down first."""
-    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+    if not is_parquet(docs):
         docs = stored(docs, "rows")
-    place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+    of = docs.metadataColumn("_metadata")  # the file's, even if a column is called so
+    place = F.struct(F.xxhash64(of["file_path"]).alias("file"), of["row_index"].alias("place"))
     return docs.select(place.alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
 
 

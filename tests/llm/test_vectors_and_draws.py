@@ -271,3 +271,94 @@ def test_one_fingerprint_may_hold_a_third_of_all_rows(spark):
     got = simhash.simhash_duplicates(docs)
     assert got.count() == 30_000
     assert got.where("doc_id % 3 = 0").select("component_id").distinct().count() == 1
+
+
+# Repairs of earlier operators
+
+
+def test_search_of_large_components(spark):
+    """Floats of any finite size: exact, or an error, never a wrong number."""
+    from loomwright.llm import topk
+
+    schema = "vec_id long, embedding array<double>"
+    with pytest.raises(Exception, match="doesn't fit"):
+        topk.search(*[spark.createDataFrame([(1, [1e30]), (2, [1.0])], schema)] * 2).collect()
+    big = spark.createDataFrame([(1, [2.0**20, 1.0]), (2, [3.0, -(2.0**18)]), (3, [1.0, 2.0])], schema)
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in topk.search(big, big).collect()}
+    e = {1: (2**28, 256), 2: (768, -(2**26)), 3: (256, 512)}
+    assert got == {(a, b): sum(x * y for x, y in zip(e[a], e[b], strict=True)) for a in e for b in e if a != b}
+
+
+def test_search_by_groups_of_blocks(spark, monkeypatch):
+    from loomwright.llm import topk
+
+    for name, n in (("BLOCK", 8), ("QUERY_BLOCK", 16), ("GROUP", 2)):
+        monkeypatch.setattr(topk, name, n)
+    rng = np.random.default_rng(2)
+    v = {i: [float(x) for x in rng.normal(size=5)] for i in range(120)}
+    df = spark.createDataFrame(list(v.items()), "vec_id long, embedding array<double>")
+    got = {}
+    for r in topk.search(df, df.where("vec_id % 4 = 0")).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    e = {i: [math.floor(256 * c) for c in x] for i, x in v.items()}
+    for q in range(0, 120, 4):
+        want = sorted(((-sum(a * b for a, b in zip(e[q], e[i], strict=True)), i) for i in e if i != q))[:5]
+        assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
+
+
+def test_training_rows_are_bounded_and_of_the_table(spark, monkeypatch):
+    from loomwright.llm import toxicity
+
+    monkeypatch.setattr(toxicity, "TRAIN_ROWS", 100)
+    ids = [i for i in range(1, 2000) if zlib.crc32(str(i).encode()) % 5]
+    labels = spark.createDataFrame([(i, i % 2) for i in ids] + [(ids[0], 0), (ids[0], 1)], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(ids[0], "the same text")] * 500 + [(i, f"text {i}") for i in ids[1:40]], "doc_id long, text string")
+    found = toxicity.training_rows(docs, labels)
+    assert found.count() == 100 and sorted(found.collect()) == sorted(toxicity.training_rows(docs.repartition(7), labels).collect())
+    few = toxicity.training_rows(docs.where(F.col("doc_id") != ids[0]), labels)
+    assert few.count() == 39  # labels of documents that aren't there crowd out nothing
+    assert toxicity.training_rows(docs.limit(0), labels).count() == 0
+
+
+def test_pages_with_open_anchors_and_heads():
+    import time
+
+    from loomwright.llm import pages
+
+    body = "<p>" + "A sentence of the article, long enough to be one. " * 8 + "</p>"
+    tree = pages.Tree(f"<body><a name=top><article>{body}{body}</article>")
+    assert sum(tree.linked) == 0 and sum(tree.text) > 700
+    tree = pages.Tree("<p><a href=x>one<a href=y>two</a> three</p><p>four</p>")
+    assert sum(tree.linked) == 6 and sum(tree.text) == 15
+    tree = pages.Tree(f"<div><a href=x>open<p>{body}")
+    assert sum(tree.linked) == 4
+    page = "<html><head><title>t</title><script>var a = '</head>'; leak()</script><meta x></head><body><p>shown</p></body></html>"
+    for page, text in ((page, "shown"), ("<head><title>t</title><p>no end of head</p>", "no end of head"), ("<head> text <link></head><p>more</p>", "text\n\nmore")):
+        tree = pages.Tree(page)
+        assert tree.blocks([True] * len(tree.tag)) == text
+    began = time.time()
+    pages.Tree("<head>" * 17_000)
+    pages.Tree("<a href=x>" * 20_000)
+    assert time.time() - began < 1
+
+
+def test_rows_of_any_format_and_column(spark, tmp_path):
+    from loomwright.llm import stages
+
+    rows = [(1, "one", "m", "r"), (2, "two", None, "r"), (None, "two", "m", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _metadata string, row_index string")
+    df.write.parquet(f"{tmp_path}/p")
+    df.write.orc(f"{tmp_path}/o")
+    df.write.option("header", True).csv(f"{tmp_path}/c")
+    for docs in (df, spark.read.parquet(f"{tmp_path}/p"), spark.read.orc(f"{tmp_path}/o"), spark.read.option("header", True).csv(f"{tmp_path}/c"), spark.read.parquet(f"{tmp_path}/p").drop("_metadata")):
+        got = stages.with_rows(docs)
+        assert got.select("row").distinct().count() == 3 and got.select("doc.*").columns == docs.columns
+
+
+def test_rows_without_id_have_many_salts(spark):
+    from loomwright.llm import mixing
+
+    docs = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"), F.lit("a").alias("source"))
+    once = mixing.mix(docs, carry=True).select("doc.text", "taken").collect()
+    again = mixing.mix(docs.repartition(13), carry=True).select("doc.text", "taken").collect()
+    assert sorted(once) == sorted(again) and {r["taken"] for r in once} == {2, 4}
