@@ -1,6 +1,7 @@
 """Dates in many spellings, to ISO text in UTC with whole seconds.
 
-A cell is taken apart by one pattern, put together as year-month-day hour:minute:second, and cast once."""
+Each shape has a pattern that writes a cell as #year-month-day hour:minute:second; what isn't of that shape goes through it as it
+is. So a cell passes a chain of replacements, each of which reads the one before it once, and is cast once."""
 
 from __future__ import annotations
 
@@ -31,34 +32,51 @@ def month_number(name: Column) -> Column:
     return F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(name, 1, 3)))
 
 
+#: Numbers of slashed dates that only a day can be, and that a month can be.
+DAY, MONTH = r"(1[3-9]|[2-9]\d)", r"(0?\d|1[0-2])"
+YEAR = r"[/-](\d{4}|\d{2})"
+CLOCK = " $4:$5:$6"
+
+
+def spelled(x: Column) -> Column:
+    """The time that #year-month-day hour:minute:second says: without a clock, without seconds or minutes, or with a short year too."""
+    x = F.regexp_replace(x, " ::$", "")
+    x = F.regexp_replace(x, ":(?=:|$)", ":00")
+    late = rf"{PIVOT}|[{PIVOT // 10 + 1}-9]\d"
+    x = F.regexp_replace(x, f"^#({late})-", "#19$1-")
+    x = F.regexp_replace(x, r"^#(\d\d)-", "#20$1-")
+    return F.regexp_extract(x, r"^#(\d{4}-\d.*)$", 1).try_cast("timestamp_ntz")
+
+
+def numeric(text: Column, dayfirst: bool) -> Column:
+    certain = [(f"^{MONTH}[/-]{DAY}{YEAR}{TIME}", f"#$3-$1-$2{CLOCK}"), (SLASHED, f"#$3-$2-$1{CLOCK}")] if dayfirst else [(f"^{DAY}[/-]{MONTH}{YEAR}{TIME}", f"#$3-$2-$1{CLOCK}"), (SLASHED, f"#$3-$1-$2{CLOCK}")]
+    for pattern, form in [*certain, (YEAR_FIRST, f"#$1-$2-$3{CLOCK}")]:
+        text = F.regexp_replace(text, pattern, form)
+    return spelled(text)
+
+
+def named(text: Column) -> Column:
+    """Dates whose month is a word."""
+    for pattern, form in ((DAY_NAMED, f"#$3-<$2>-$1{CLOCK}"), (MONTH_NAMED, f"#$3-<$1>-$2{CLOCK}")):
+        text = F.regexp_replace(text, pattern, form)
+    month = month_number(F.regexp_extract(text, "<([A-Za-z]{3})", 1))
+    return spelled(F.regexp_replace(text, F.lit("<[A-Za-z]+>"), month.cast("string")))
+
+
+def by_half_days(at: Column, text: Column) -> Column:
+    """A time whose text ends in am or pm, of hours from 0 to 12 (or more)."""
+    later, hour = text.rlike(r"[Pp]\.?[Mm]\.?$"), F.hour(at)
+    return at + F.make_dt_interval(hours=F.when(later & (hour < 12), 12).when(~later & (hour >= 12), -12).otherwise(0))
+
+
 def timestamp(c: Column, source_format: str | None = None, dayfirst: bool = False) -> Column:
     """The time that a cell spells, or null, without a zone (what names a zone is taken to UTC). Dates with slashes or dashes are
     read day first if the first number is above 12, month first if the second is, else by ``dayfirst``."""
     text = F.trim(c.cast("string"))
-    # a pattern for each shape, fixed, so that it is compiled once; a cell is taken apart by the first that fits
-    parts = F.lit(None).cast("array<string>")
-    for shape, pattern in reversed(list(enumerate((SLASHED, YEAR_FIRST, DAY_NAMED, MONTH_NAMED)))):
-        found = F.split(F.regexp_replace(text, pattern, f"{shape}|$1|$2|$3|$4|$5|$6|$7"), r"\|")
-        parts = F.when(text.rlike(pattern), found).otherwise(parts)
-    return F.get(F.transform(F.array(parts), lambda p: together(text, p, dayfirst, source_format)), F.lit(0))
-
-
-def together(text: Column, p: Column, dayfirst: bool, source_format: str | None) -> Column:
-    part = lambda i: F.get(p, F.lit(i))
-    shape, a, b, d = (part(i).try_cast("int") for i in range(4))
-    by_day = F.when((a > 12) & (b <= 12), True).when((b > 12) & (a <= 12), False).otherwise(dayfirst)
-    short = F.when(F.length(part(3)) == 2, F.when(d >= PIVOT, d + 1900).otherwise(d + 2000)).otherwise(d)
-    year = F.when(shape == 1, a).otherwise(short)
-    month = F.when(shape == 0, F.when(by_day, b).otherwise(a)).when(shape == 1, b).when(shape == 2, month_number(part(2))).otherwise(month_number(part(1)))
-    day = F.when(shape == 0, F.when(by_day, a).otherwise(b)).when(shape == 1, d).when(shape == 2, a).otherwise(b)
-    hour = F.coalesce(part(4).try_cast("int"), F.lit(0))
-    half = F.lower(part(7))
-    hour = F.when(half == "p", hour % 12 + 12).when(half == "a", hour % 12).otherwise(hour)
-    two = lambda x: F.lpad(x.cast("string"), 2, "0")
-    clock = F.concat_ws(":", two(hour), two(F.coalesce(part(5).try_cast("int"), F.lit(0))), two(F.coalesce(part(6).try_cast("int"), F.lit(0))))
-    spelled = F.concat(F.lpad(year.cast("string"), 4, "0"), F.lit("-"), two(month), F.lit("-"), two(day), F.lit(" "), clock)
-    zoned = F.when(text.rlike(ZONED), in_utc(text))
-    found = F.coalesce(zoned, F.when((month > 0) & p.isNotNull(), spelled.try_cast("timestamp_ntz")))
+    halves = text.rlike(r"\d ?[AaPp]\.?[Mm]\.?$")
+    words = text.rlike("[A-Za-z]{3}")
+    found = F.when(text.rlike(ZONED), in_utc(text)).when(words & halves, by_half_days(named(text), text)).when(words, named(text))
+    found = found.when(halves, by_half_days(numeric(text, dayfirst), text)).otherwise(numeric(text, dayfirst))
     return F.coalesce(F.try_to_timestamp(text, F.lit(java_format(source_format))).cast("timestamp_ntz"), found) if source_format else found
 
 

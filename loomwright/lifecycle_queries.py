@@ -126,11 +126,13 @@ def list_tables_counts(customer, nation):
     return context.table_counts({"customer": customer, "nation": nation, "import_history": nation, "test_x": customer, "pg_y": customer})
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_size::VARCHAR ELSE p_size || '.5' END AS shown FROM part", "part")
+@query("""SELECT '{"p_partkey":' || p_partkey || ',"shown":' || CASE WHEN p_partkey % 3 = 0 THEN 'null' WHEN p_partkey % 2 = 0 THEN p_size::VARCHAR ELSE '"' || p_size || '.5"' END || ',"cells":{"list":["' || p_brand || '",null],"day":"2024-01-02T03:04:05"}}' AS record FROM part""", "part")
 def json_serialised(part):
-    amount = F.when(F.col("p_partkey") % 2 == 0, F.col("p_size")).otherwise(F.col("p_size") + 0.5).cast("decimal(12,2)")
-    record = context.json_records(part.select("p_partkey", amount.alias("shown")))
-    return record.select(F.get_json_object("record", "$.p_partkey").cast(part.schema["p_partkey"].dataType).alias("p_partkey"), F.get_json_object("record", "$.shown").alias("shown"))
+    """The text of records: whole decimals are integers, others are text, in nested cells too."""
+    k = F.col("p_partkey")
+    amount = F.when(k % 3 != 0, F.when(k % 2 == 0, F.col("p_size")).otherwise(F.col("p_size") + 0.5).cast("decimal(12,2)"))
+    cells = F.struct(F.array(F.col("p_brand"), F.lit(None)).alias("list"), F.lit("2024-01-02 03:04:05").cast("timestamp_ntz").alias("day"))
+    return context.json_records(part.select("p_partkey", amount.alias("shown"), cells.alias("cells")))
 
 
 @query("""SELECT c_custkey, strftime(TIMESTAMP '2024-03-01 12:00:00' + to_hours((c_custkey % 24)::INT) - to_minutes(((c_custkey % 5) * 60 + 30)::INT), '%Y-%m-%dT%H:%M:%SZ') AS at FROM customer""", "customer")

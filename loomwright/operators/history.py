@@ -15,6 +15,7 @@ from . import browse
 from .keys import Keys, configured
 from .keys import resolved as resolved_keys
 from .lineage import Store
+from .scratch import kept
 
 # States and resolutions.
 STATUS = ["in_progress", "success", "failed", "partial"]
@@ -26,6 +27,7 @@ HISTORY = (
     "metadata string, status string, mapping_status string, error_message string, rows_in_file long, rows_inserted long, duplicates_found long, rejects_found long, errors_found long, started_at timestamp, duration_seconds double"
 )
 FILTERS = ["import_id", "table_name", "user_id", "status", "file_name", "file_hash", "source_path", "file_size_bytes"]
+AUDITS = ["import_duplicates", "import_validation_failures", "mapping_errors"]
 RESOLUTION = "log string, id string, import_id string, resolved_at timestamp, resolved_by string, action string, details string"
 
 
@@ -215,16 +217,21 @@ class Imports:
             return rows.withColumns({"resolved_at": F.lit(None).cast("timestamp"), "resolved_by": F.lit(None).cast("string"), "action": F.lit(None).cast("string")})
         return with_resolutions(rows, self.store.logged("resolutions"), log)
 
-    def mark(self, log: str, id: str, action: str, by: str | None = None, details: Mapping | None = None) -> Mapping:
+    def open(self, log: str, id: str) -> Mapping:
+        """A row of an audit log that isn't resolved yet."""
         found = self.audit(log).where(F.col("id") == id).first()
         if found is None:
             raise ValueError(f"no row {id} in {log}")
         if found["resolved_at"] is not None:
             raise ValueError(f"row {id} is resolved already")
+        return found.asDict()
+
+    def mark(self, log: str, id: str, action: str, by: str | None = None, details: Mapping | None = None) -> Mapping:
         from datetime import datetime
 
+        found = self.open(log, id)
         self.store.log("resolutions", self.spark.createDataFrame([(log, id, found["import_id"], datetime.now(), by, action, json.dumps(details) if details else None)], RESOLUTION))
-        return found.asDict()
+        return found
 
     def resolve_reject(self, id: str, action: str, by: str | None = None, note: str | None = None) -> None:
         """Marks a rejected row; nothing is inserted by it."""
@@ -237,18 +244,24 @@ class Imports:
         returns how many duplicates of the import are left, which its history says too."""
         if action not in DUPLICATE_ACTIONS:
             raise ValueError(f"no such resolution: {action}")
-        found = self.mark("import_duplicates", id, action, by)
+        found = self.open("import_duplicates", id)
+        if action == "merge" and row_id is None:
+            raise ValueError("a merge needs the row that it goes into")
         record = json.loads(found["record"])
         record = {k: v for k, v in record.items() if columns is None or k in columns}
         table = self.get(found["import_id"])["table_name"]
         self.store.resolve_duplicate(table, row_id if row_id is not None else -1, action, record)
+        self.mark("import_duplicates", id, action, by)  # only what was done is resolved
         left = self.audit("import_duplicates").where((F.col("import_id") == found["import_id"]) & F.col("resolved_at").isNull()).count()
         self.event(found["import_id"], duplicates_found=left)
         return left
 
     def drop_table(self, table_name: str) -> None:
-        """The table goes, and the history of its imports."""
+        """The table goes, the history of its imports, and what the audit logs and their resolutions have of them."""
         self.store.delete(table_name)
-        if self.store.exists("log_import_history"):
-            gone = self.history().where(F.col("table_name") == table_name).select("import_id")
-            self.store.rewrite_log("import_history", self.store.logged("import_history").join(gone, "import_id", "left_anti"))
+        if not self.store.exists("log_import_history"):
+            return
+        gone = kept(self.history().where(F.col("table_name") == table_name).select("import_id"), "dropped")
+        for log in (*AUDITS, "resolutions", "import_history"):
+            if self.store.exists(f"log_{log}"):
+                self.store.rewrite_log(log, self.store.logged(log).join(gone, "import_id", "left_anti"))

@@ -12,6 +12,8 @@ from .scratch import kept
 
 PHONE = r"^\+?[\d\s\-\.\(\)]{7,20}$"
 SEPARATED_PHONE = r"^(\+\d[\d\s\-\.\(\)]{6,}|\(\d{3}\)\s*\d{3}[-\s]?\d{4}|\d{3}[-.]\d{3}[-.]\d{4})$"
+#: What a number and a date begin with and are made of, at least; only such cells are parsed.
+NUMBERLIKE, DATELIKE = r"^[\s$(+\-]*[\d.,][\d,.\seE+\-]*\)?\s*$", r"^(?:\d|[A-Za-z]{3}).*\d"
 DATE_SHARE, HALF, MULTI = 0.5, 0.5, 0.6
 
 
@@ -20,14 +22,27 @@ def share(test: Column) -> Column:
     return F.coalesce(F.avg(test.cast("int")), F.lit(0.0))
 
 
-def signals(column: str) -> dict[str, Column]:
-    c = F.nullif(F.trim(F.col(f"`{column}`").cast("string")), F.lit(""))
-    n = numbers.to_decimal(c)
+def looked_at(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Of each cell its text, the number it is, whether it is a date and whether it is a list (null: not filled), each worked out
+    once; what costs most is asked of those only that may be so."""
+    text = rows.select(*[F.nullif(F.trim(F.col(f"`{c}`").cast("string")), F.lit("")).alias(f"c{i}") for i, c in enumerate(columns)])
+    number = text.select("*", *[F.when(F.col(f"c{i}").rlike(NUMBERLIKE), numbers.to_decimal(F.col(f"c{i}"))).alias(f"n{i}") for i in range(len(columns))])
+    out = []
+    for i in range(len(columns)):
+        c = F.col(f"c{i}")
+        date = F.when(F.col(f"n{i}").isNull() & c.rlike(DATELIKE), dates.timestamp(c).isNotNull())
+        out += [F.coalesce(date, F.lit(False)).alias(f"d{i}"), F.coalesce(F.when(c.startswith("["), F.from_json(c, "array<string>").isNotNull()), F.lit(False)).alias(f"l{i}")]
+    return number.select("*", *out)
+
+
+def signals(i: int) -> dict[str, Column]:
+    """What the cells of column i are, by the columns of ``looked_at``."""
+    c, n = F.col(f"c{i}"), F.col(f"n{i}")
     mean = lambda test: share(F.when(c.isNotNull(), F.coalesce(test, F.lit(False))))
     return {
-        "filled": F.count(c), "phone": mean(c.rlike(PHONE)), "separated_phone": mean(c.rlike(SEPARATED_PHONE)), "marked": mean(c.rlike("[%@]")), "email": mean(c.rlike(r"^[^@\s]+@[^@\s]+\.[A-Za-z]{2,}$")),
-        "numeric": mean(n.isNotNull()), "fraction": mean(n != F.floor(n)), "largest": F.coalesce(F.max(F.abs(n)), F.lit(0)).cast("double"), "date": mean(dates.timestamp(c).isNotNull() & n.isNull()),
-        "listed": mean(c.rlike(r"^\s*\[") & F.from_json(c, "array<string>").isNotNull()), "longest": F.coalesce(F.max(F.length(c)), F.lit(0)),
+        "filled": F.count(c), "phone": mean(c.rlike(PHONE)), "separated_phone": mean(c.rlike(SEPARATED_PHONE)), "marked": mean(c.rlike("[%@]")), "email": mean(c.contains("@") & c.rlike(r"^[^@\s]+@[^@\s]+\.[A-Za-z]{2,}$")),
+        "numeric": mean(n.isNotNull()), "fraction": mean(n != F.floor(n)), "largest": F.coalesce(F.max(F.abs(n)), F.lit(0)).cast("double"), "date": mean(F.col(f"d{i}")),
+        "listed": mean(F.col(f"l{i}")), "longest": F.coalesce(F.max(F.length(c)), F.lit(0)),
     }
 
 
@@ -38,8 +53,8 @@ def some(df: DataFrame, sample: int | None) -> DataFrame:
 def profile(df: DataFrame, columns: Sequence[str] | None = None, sample: int | None = None) -> DataFrame:
     """A row for each column: its signals over all rows (or any ``sample`` of them), its share of nulls and its type."""
     columns = list(columns or df.columns)
-    rows = some(df.select(*columns), sample)
-    found = {c: signals(c) for c in columns}
+    rows = looked_at(some(df.select(*[F.col(f"`{c}`") for c in columns]), sample), columns)
+    found = {c: signals(i) for i, c in enumerate(columns)}
     wide = rows.agg(F.count("*").alias("rows"), *[F.struct(*[v.alias(k) for k, v in s.items()]).alias(f"s{i}") for i, s in enumerate(found.values())])
     cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col("rows"), F.col(f"s{i}")["filled"].alias("filled"), *[F.col(f"s{i}")[k].alias(k) for k in found[c] if k != "filled"]) for i, c in enumerate(columns)])
     return wide.select(F.inline(cells)).withColumn("type", detected()).withColumn("null_share", F.when(F.col("rows") > 0, 1 - F.col("filled") / F.col("rows")).otherwise(0.0))

@@ -8,10 +8,17 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import numbers
 from .inference import dense_ids
 from .schemas import user_column
 
 
+#: Where a table's columns are kept while it has no rows.
+SHAPE = "_shape"
+# The largest whole numbers of types.
+LARGEST = {"SMALLINT": 2**15 - 1, "INTEGER": 2**31 - 1, "INT": 2**31 - 1, "BIGINT": 2**63 - 1}
+
+
 class Store:
     """Tables and logs below a path that the cluster shares."""
 
@@ -26,7 +33,15 @@ class Store:
         return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.option("mergeSchema", True).parquet(self.at(name))
+        """The table's rows; of a table whose imports were all undone none, in the columns that it had."""
+        if not self.empty(name):
+            return self.spark.read.option("mergeSchema", True).parquet(self.at(name))
+        return self.spark.read.parquet(self.at(f"{name}/{SHAPE}"))
+
+    def empty(self, name: str) -> bool:
+        """Whether a table has no import's folder."""
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.at(name)}/_import_id=*")
+        return not where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
 
     def log(self, name: str, rows: DataFrame) -> None:
         rows.write.mode("append").parquet(self.at(f"log_{name}"))
@@ -34,10 +49,15 @@ class Store:
     def logged(self, name: str) -> DataFrame:
         return self.spark.read.option("mergeSchema", True).parquet(self.at(f"log_{name}"))
 
-    def append(self, table: str, rows: DataFrame, order: str | None = None, import_id: str | None = None) -> str:
-        """Adds rows as one import, with the system's columns; row ids go on from the table's largest."""
+    def append(self, table: str, rows: DataFrame, order: str | None = None, import_id: str | None = None, types: Mapping[str, str] | None = None) -> str:
+        """Adds rows as one import, with the system's columns; row ids go on from the table's largest.
+
+        With ``types`` (declared types of columns whose cells are text) cells are coerced, and ``_corrections`` says which were changed by it. A whole
+        number that its column can't hold is an error that says which type can."""
         import_id = import_id or uuid.uuid4().hex
-        rows = rows.select(*[F.col(f"`{c}`").alias(user_column(c)) if not c.startswith("_source") else F.col(c) for c in rows.columns])
+        if types:
+            rows = self.coerced(rows, {c: t for c, t in types.items() if c in rows.columns})
+        rows = rows.select(*[F.col(f"`{c}`").alias(user_column(c)) if not c.startswith("_source") and c != "_corrections" else F.col(c) for c in rows.columns])
         number = next((c for c in rows.columns if c == "_source_record_number"), None)
         last = (self.read(table).agg(F.max("_row_id")).first()[0] or 0) if self.exists(table) else 0
         keyed = dense_ids(rows, order or number or rows.columns[0], "_row_id", last + 1)
@@ -46,8 +66,20 @@ class Store:
         keyed.write.mode("append").partitionBy("_import_id").parquet(self.at(table))
         return import_id
 
+    def coerced(self, rows: DataFrame, types: Mapping[str, str]) -> DataFrame:
+        whole = [c for c, t in types.items() if t.upper() in LARGEST]
+        if whole:
+            told = rows.agg(*[F.max(F.abs(numbers.to_decimal(F.col(f"`{c}`")))).alias(c) for c in whole]).first()
+            if over := [c for c in whole if told[c] is not None and told[c] > LARGEST[types[c].upper()]]:
+                raise OverflowError("; ".join(f"{c} holds {told[c].to_integral_value()}, more than {types[c]} can: use {'BIGINT' if told[c] < 2**63 else 'DECIMAL'}" for c in over))
+        made = lambda c: numbers.coerce(F.col(f"`{c}`"), types[c])
+        found = corrections(rows, types, made)
+        return rows.withColumns({"_corrections": F.nullif(found, F.lit("{}"))} | {c: made(c) for c in types})
+
     def undo(self, table: str, import_id: str) -> DataFrame:
-        """Deletes an import's rows: its partition goes."""
+        """Deletes an import's rows: its partition goes. The table's columns are kept, so that it can be read and appended to even
+        after its only import is undone."""
+        self.read(table).limit(0).write.mode("overwrite").parquet(self.at(f"{table}/{SHAPE}"))
         where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.at(table)}/_import_id={import_id}")
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
         return self.read(table)

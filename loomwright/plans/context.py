@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DataType, DecimalType, DoubleType, FloatType, IntegralType, MapType, StructType, TimestampNTZType, TimestampType
 
 from ..operators import browse
 from ..operators.schemas import RESERVED
@@ -74,22 +75,40 @@ def related_tables(prompt: str, tables: Mapping[str, Sequence[str]]) -> list[str
     return [t for t, columns in tables.items() if t.lower() in text or any(c.lower() in text for c in columns)]
 
 
-def json_safe(c: Column, kind: str) -> Column:
-    """A cell as JSON can hold it: whole decimals as integers, others as text; times in ISO form; bytes as text."""
-    if kind.startswith("decimal"):
-        plain = F.regexp_replace(c.cast("string"), r"\.?0+$", "") if not kind.endswith(",0)") else c.cast("string")
-        return F.when(c == F.floor(c), c.cast("decimal(38,0)").cast("string")).otherwise(plain)
-    if kind == "timestamp":
-        return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
-    if kind == "date":
-        return c.cast("string")
-    return F.decode(c, "utf-8") if kind == "binary" else c
+def json_text(c: Column, kind: DataType) -> Column:
+    """A cell's JSON: whole decimals are integers, other decimals are text; times have ISO form, bytes are text, what isn't a finite
+    number is null; so are the cells of arrays, maps and structs."""
+    if isinstance(kind, DecimalType):
+        plain = F.concat(F.lit('"'), F.regexp_replace(c.cast("string"), r"(\.\d*?)0+$", "$1"), F.lit('"'))
+        out = F.when(c == F.floor(c), F.regexp_replace(c.cast("string"), r"\..*$", "")).otherwise(plain) if kind.scale else c.cast("string")
+    elif isinstance(kind, ArrayType):
+        out = F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: json_text(x, kind.elementType)), ","), F.lit("]"))
+    elif isinstance(kind, StructType):
+        cells = [F.concat(quoted(F.lit(f.name)), F.lit(":"), json_text(c[f.name], f.dataType)) for f in kind.fields]
+        out = F.concat(F.lit("{"), F.concat_ws(",", *cells), F.lit("}"))
+    elif isinstance(kind, MapType):
+        pairs = F.transform(F.map_entries(c), lambda e: F.concat(quoted(e["key"].cast("string")), F.lit(":"), json_text(e["value"], kind.valueType)))
+        out = F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
+    elif isinstance(kind, (FloatType, DoubleType)):
+        out = F.when(F.isnan(c) | (F.abs(c) == float("inf")), F.lit("null")).otherwise(c.cast("string"))
+    elif isinstance(kind, (IntegralType, BooleanType)):
+        out = c.cast("string")
+    elif isinstance(kind, (TimestampType, TimestampNTZType)):
+        out = quoted(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"))
+    else:
+        out = quoted(F.decode(c, "utf-8") if isinstance(kind, BinaryType) else c.cast("string"))
+    return F.coalesce(out, F.lit("null"))
+
+
+def quoted(c: Column) -> Column:
+    """A text as JSON has it."""
+    return F.regexp_extract(F.to_json(F.array(c.cast("string"))), r"(?s)^\[(.*)\]$", 1)
 
 
 def json_records(df: DataFrame) -> DataFrame:
-    """record: each row as a JSON object of JSON-safe cells; nulls are left out."""
-    kinds = dict(df.dtypes)
-    return df.select(F.to_json(F.struct(*[json_safe(F.col(f"`{c}`"), kinds[c]).alias(c) for c in df.columns])).alias("record"))
+    """record: each row as a JSON object of JSON-safe cells, nulls among them."""
+    cells = [F.concat(quoted(F.lit(f.name)), F.lit(":"), json_text(F.col(f"`{f.name}`"), f.dataType)) for f in df.schema.fields]
+    return df.select(F.concat(F.lit("{"), F.concat_ws(",", *cells), F.lit("}")).alias("record"))
 
 
 def result_text(df: DataFrame | guard.Fetched, seconds: float | None = None, limit: int = guard.AGENT_ROWS) -> str:

@@ -136,24 +136,26 @@ def with_directives(directives: Sequence | None, columns: Sequence[str], mapping
     return mapping, split, explode
 
 
-# Words of an instruction to keep the first of several columns only, and of columns that aren't the first.
-PRIMARY_ONLY = [r"\b(?:only|just)\b.{0,40}\bprimary\b", r"\bprimary\b.{0,40}\bonly\b", r"\bkeep\b.{0,40}\bprimary\b", r"\b(?:ignore|drop|skip|discard)\b.{0,40}\b(?:secondary|additional|other|alternate)\b"]
+# Phrases that ask for the first of several columns only, the words for each kind of contact, and words of columns that
+# aren't the first.
+KEEP_ONE = ["keep only", "only keep", "primary only", "single", "one per", "first only"]
+KINDS_OF_CONTACT = {"email": ["email", "e-mail", "mail"], "phone": ["phone", "telephone", "tel", "mobile", "contact number"]}
+IN_NAMES = {"email": ["email", "mail"], "phone": ["phone", "mobile", "tel", "cell"]}
 LATER = ["secondary", "alternate", "alternative", "additional", "other", "backup", "alt"]
-KINDS_OF_CONTACT = {"email": ["email", "mail"], "phone": ["phone", "mobile", "tel", "cell"]}
 
 
 def primary_only(instruction: str, mapping: Mapping[str, str], row_rules_: Sequence[Mapping]) -> tuple[dict, list]:
     """If an instruction asks for primary addresses or numbers only: mapping and rules without the columns of others.
 
-    Of the columns of a kind that the instruction names (both, if none), the one called primary stays, else the first that isn't
+    Of the columns of a kind that the instruction names (none, if it names none), the one called primary stays, else the first that isn't
     called secondary or numbered from 2 on; explodes lose the columns that went, and go with the last of them."""
     text = (instruction or "").lower()
-    if not any(re.search(p, text, re.S) for p in PRIMARY_ONLY):
+    named = [k for k, words in KINDS_OF_CONTACT.items() if any(w in text for w in words)]
+    if not named or not any(p in text for p in KEEP_ONE):
         return dict(mapping), list(row_rules_)
-    named = [k for k, words in KINDS_OF_CONTACT.items() if any(w in text for w in words)] or list(KINDS_OF_CONTACT)
     gone: set[str] = set()
     for kind in named:
-        of_kind = [s for s in mapping if any(w in plain_name(s) for w in KINDS_OF_CONTACT[kind])]
+        of_kind = [s for s in mapping if any(w in plain_name(s) for w in IN_NAMES[kind])]
         later = [s for s in of_kind if any(w in plain_name(s) for w in LATER) or re.search(r"[2-9]$", plain_name(s))]
         first = [s for s in of_kind if "primary" in plain_name(s)] or [s for s in of_kind if s not in later] or of_kind
         gone |= set(of_kind) - set(first[:1])
@@ -215,15 +217,18 @@ def reconciled_rows(parsed: int, scanned: int, mapping: Mapping[str, str], other
     return False, f"{parsed} rows were parsed, {scanned} were counted in the file"
 
 
-# Words that ask for data, and words that ask for advice instead.
-ASKS = ["show", "list", "count", "how many", "total", "sum", "average", "top", "find", "which", "who", "what", "select", "query", "compare", "group", "latest", "highest", "lowest", "between", "per"]
-ADVICE = ["idea", "ideas", "strategy", "strategies", "suggest", "suggestion", "suggestions", "recommend", "advice", "brainstorm"]
+# Words that ask for data (anywhere in a question), and words that ask for advice instead.
+ASKS = [
+    "top", "best", "worst", "total", "sum", "average", "avg", "count", "revenue", "spend", "list", "show", "highest", "lowest", "report", "breakdown", "rank", "ranking", "per", "by ", " vs ", "compare", "distribution", "growth", "trend",
+    "increase", "decrease", "customers", "advertisers", "campaign", "merge", "combine", "union", "records from", "rows from",
+]
+ADVICE = ["idea", "strategy", "suggest"]
 
 
 def wants_sql(prompt: str) -> bool:
     """Whether a question is one about data."""
-    words = " " + re.sub(r"[^a-z0-9]+", " ", prompt.lower()) + " "
-    return not any(f" {w} " in words for w in ADVICE) and any(f" {w} " in words for w in ASKS)
+    text = prompt.lower()
+    return any(w in text for w in ASKS) and not any(w in text for w in ADVICE)
 
 
 def reply_parts(reply: str) -> dict:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import csv
 import io
+import itertools
+import re
 from collections.abc import Sequence
 from pathlib import PurePath
 
@@ -11,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..functions.text import na_to_null
+from ..functions.text import NA_TOKENS, na_to_null
 from ..operators.inference import looks_like_header
 
 KINDS = {".csv": "csv", ".xlsx": "excel", ".json": "json", ".xml": "xml"}
@@ -30,17 +32,40 @@ def numbered(df: DataFrame) -> DataFrame:
     return df.withColumn(NUMBER, F.monotonically_increasing_id() + 1)
 
 
-def first_rows(spark: SparkSession, path: str, n: int = 3) -> list[list[str]]:
-    """The first records as lists of text; a bad file has none."""
-    lines = [r["value"] for r in spark.read.text(path).limit(n).collect()]
+#: Lines of a file in which its first records are looked for, and records that are looked at.
+LINES, RECORDS = 200, 3
+# Cells that are numbers and truth values where headers are told from data.
+NUMBER_CELL = re.compile(r"\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*|[+-]?inf(inity)?", re.I)
+TRUTH_CELL = re.compile(r"(?i:true|false)")
+
+
+def first_rows(spark: SparkSession, path: str, n: int = RECORDS) -> list[list[str]]:
+    """The first records as lists of text; line ends between quotes end no record. A bad file has none."""
+    lines = [r["value"] for r in spark.read.text(path).limit(LINES).collect()]
     try:
-        return list(csv.reader(io.StringIO("\n".join(lines).lstrip("﻿"))))
+        return list(itertools.islice((r for r in csv.reader(io.StringIO("\n".join(lines).lstrip("\ufeff"))) if r), n))
     except csv.Error:
         return []
 
 
-def has_header(spark: SparkSession, path: str) -> bool:
+def header_by_types(rows: Sequence[Sequence[str]]) -> bool:
+    """Whether the first of a file's first three records is a header, by the types of columns over them: it is if each of its cells is text,
+    that is filled and in a column that isn't all numbers or all truth values. Nothing to read, or a record that is wider than the
+    first, leave it at a header."""
+    if not rows or any(len(r) > len(rows[0]) for r in rows):
+        return True
+    for i, cell in enumerate(rows[0]):
+        column = [r[i] for r in rows[:RECORDS] if i < len(r) and r[i].strip() not in NA_TOKENS]
+        if cell.strip() in NA_TOKENS or all(map(NUMBER_CELL.fullmatch, column)) or len(column) == len(rows[:RECORDS]) and all(map(TRUTH_CELL.fullmatch, column)):
+            return False
+    return True
+
+
+def has_header(spark: SparkSession, path: str, by: str = "names") -> bool:
+    """By what its first row and the next are called and hold, or (``by="types"``) by the types of its first three records alone."""
     rows = first_rows(spark, path)
+    if by == "types":
+        return header_by_types(rows)
     return bool(rows) and looks_like_header(rows[0], rows[1] if len(rows) > 1 else None)
 
 

@@ -134,7 +134,11 @@ def test_primary_only():
     rules = [{"type": "explode_columns", "source_columns": ["Primary Email", "Email 2"], "target_column": "email"}, {"type": "filter_rows"}]
     kept, left = decisions.primary_only("Keep only the primary email", mapping, rules)
     assert set(kept) == {"id", "Primary Email", "phone", "phone_secondary"} and left == [{"type": "filter_rows"}]
-    assert set(decisions.primary_only("only primary contacts, please", mapping, [])[0]) == {"id", "Primary Email", "phone"}
+    assert set(decisions.primary_only("One per contact: email and phone", mapping, [])[0]) == {"id", "Primary Email", "phone"}
+    for text in ("keep only one email per contact", "only keep the first email", "a single e-mail"):
+        assert "Email 2" not in decisions.primary_only(text, mapping, [])[0]
+    for text in ("drop other columns", "keep only contacts", "only primary contacts, please", ""):
+        assert decisions.primary_only(text, mapping, rules) == (mapping, rules)
     assert decisions.primary_only("all emails", mapping, rules) == (mapping, rules)
 
 
@@ -152,6 +156,7 @@ def test_replies_and_questions():
     assert got == {"sql": "SELECT a FROM t JOIN u ON 1 = 1", "explanation": "joins both.", "tables": ["t", "u"]}
     assert decisions.reply_parts("Here: SELECT x FROM s\n\nthat is it") == {"sql": "SELECT x FROM s", "explanation": "", "tables": ["s"]}
     assert decisions.wants_sql("How many customers are there?") and not decisions.wants_sql("Suggest a strategy to find customers") and not decisions.wants_sql("hello")
+    assert all(map(decisions.wants_sql, ("revenue breakdown by customer", "best customers", "trend of spend", "a vs b")))
 
 
 # What columns mean
@@ -200,7 +205,7 @@ def test_context_and_export(spark, tmp_path):
     finally:
         spark.catalog.dropTempView("lw_things")
     typed = spark.sql("SELECT CAST(2.00 AS DECIMAL(10,2)) AS a, CAST(2.50 AS DECIMAL(10,2)) AS b, TIMESTAMP'2024-01-02 03:04:05' AS c, CAST('hi' AS BINARY) AS d, CAST(NULL AS INT) AS e")
-    assert json.loads(context.json_records(typed).first()["record"]) == {"a": "2", "b": "2.5", "c": "2024-01-02T03:04:05", "d": "hi"}
+    assert json.loads(context.json_records(typed).first()["record"]) == {"a": 2, "b": "2.5", "c": "2024-01-02T03:04:05", "d": "hi", "e": None}
 
 
 @pytest.mark.parametrize(
