@@ -150,9 +150,10 @@ def validate_phone(customer):
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN {'before': '$5', 'after': '5', 'correction_type': 'type_coercion', 'target_type': 'INTEGER'}::JSON::VARCHAR END AS balance FROM customer""", "customer")
 def corrections_tracked(customer):
-    df = customer.select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, "$5").otherwise("5").alias("balance"))
-    found = lineage.corrections(df, {"balance": "INTEGER"}, lambda c: semantics.numbers.to_integer(F.col(c)))
-    return df.select("c_custkey", F.get_json_object(found, "$.balance").alias("balance"))
+    """What an append with declared types records of the cells that it changes."""
+    store = lineage.Store(customer.sparkSession, place(customer.sparkSession, "corrections"))
+    store.append("balances", customer.select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, "$5").otherwise("5").alias("balance")), types={"balance": "INTEGER"})
+    return store.read("balances").select("c_custkey", F.get_json_object("_corrections", "$.balance").alias("balance"))
 
 
 @query("SELECT event_id, event_type AS kind, user_id FROM events WHERE event_type <> 'click' UNION ALL SELECT event_id, unnest(['click', 'tap']), user_id FROM events WHERE event_type = 'click'", "events")

@@ -177,3 +177,11 @@ def part_ranges(size: int, part: int) -> list[tuple[int, int, int]]:
     part = max(part, 5 * mib, -(-size // 10_000))
     part = -(-part // mib) * mib
     return [(i + 1, at, min(at + part, size) - 1) for i, at in enumerate(range(0, size, part))]
+
+
+def part_spans(size: Column, part: Column) -> Column:
+    """The parts of uploads by their columns, as ``part_ranges`` has them: an array of number, first and last byte."""
+    mib = 1 << 20
+    wide = F.ceil(F.greatest(part, F.lit(5 * mib), F.ceil(size / 10_000)) / mib) * mib
+    span = lambda i: F.struct((i + 1).alias("number"), (i * wide).alias("first"), (F.least((i + 1) * wide, size) - 1).alias("last"))
+    return F.transform(F.sequence(F.lit(0).cast("long"), F.ceil(size / wide) - 1), span)

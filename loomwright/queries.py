@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import dates, multivalue, numbers, phones, text, validators
 from .operators import aggregates, browse, columns, dedupe, inference, lineage, rows, schemas
+from .operators.scratch import place
 from .plans import guard
 from .plans.importing import ImportSpec, compiled
 
@@ -378,7 +379,11 @@ def migrate_columns(part):
 
 @query("SELECT event_id, user_id FROM events WHERE event_id % 3 <> 1", "events")
 def undo_import(events):
-    return lineage.undone(events.withColumn("_import_id", F.col("event_id") % 3), 1).select("event_id", "user_id")
+    """Three imports into a table, of which the second is undone."""
+    store = lineage.Store(events.sparkSession, place(events.sparkSession, "undo"))
+    for i in range(3):
+        store.append("events", events.where(F.col("event_id") % 3 == i).select("event_id", "user_id"), import_id=f"import-{i}")
+    return store.undo("events", "import-1").select("event_id", "user_id")
 
 
 @query("SELECT event_id, CASE WHEN event_id = 7 THEN 'merged' ELSE event_type END AS event_type FROM events", "events")
@@ -391,10 +396,12 @@ def json_props_extract(events):
     return events.select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
-@query("SELECT n_nationkey, greatest(5, n_nationkey * 7) AS part_mib, ceil((n_nationkey + 1) * 100 / greatest(5, n_nationkey * 7))::BIGINT AS parts FROM nation", "nation")
+@query("""WITH u AS (SELECT n_nationkey, (n_nationkey + 1) * 104857601::BIGINT AS size, n_nationkey * 7340033::BIGINT AS part FROM nation),
+w AS (SELECT *, ceil(greatest(part, 5242880, ceil(size / 10000)) / 1048576)::BIGINT * 1048576 AS wide FROM u), p AS (SELECT *, unnest(range(ceil(size / wide)::BIGINT)) AS i FROM w)
+SELECT n_nationkey, i + 1 AS number, i * wide AS first_byte, least((i + 1) * wide, size) - 1 AS last_byte FROM p""", "nation")
 def part_ranges(nation):
-    part = F.greatest(F.lit(5), F.col("n_nationkey") * 7)
-    return nation.select("n_nationkey", part.alias("part_mib"), F.ceil((F.col("n_nationkey") + 1) * 100 / part).alias("parts"))
+    size, part = (F.col("n_nationkey") + 1).cast("long") * 104857601, F.col("n_nationkey").cast("long") * 7340033
+    return nation.select("n_nationkey", F.inline(schemas.part_spans(size, part))).toDF("n_nationkey", "number", "first_byte", "last_byte")
 
 
 @query("""SELECT 'event_type' AS "column", 0.0::DOUBLE AS numeric, 0.0::DOUBLE AS time FROM events HAVING count(*) > 0 UNION ALL SELECT 'day', 0.0, 1.0 FROM events HAVING count(*) > 0 UNION ALL SELECT 'price', 1.0, 0.0 FROM events HAVING count(*) > 0""", "events")

@@ -107,3 +107,12 @@ def test_json_of_any_cell(spark):
     got = json.loads(context.json_records(df).first()["record"])
     assert got == {"whole": 2, "part": "2.5", "none": -100, "nan": None, "inf": None, "d": 1.5, "b": True, "nothing": None, "at": "2024-01-02T03:04:05", "day": "2024-01-02", "bytes": "hi", "text": 'say "x"\n', "list": [1, "1.5", None], "s": {"a b": 3, "n": ["2024-01-02"]}, "m": {"k": None}}
     assert [type(got[c]) for c in ("whole", "none")] == [int, int]
+
+
+def test_parts_by_columns_are_parts_by_numbers(spark):
+    from loomwright.operators import schemas
+
+    mib = 1 << 20
+    for size, part in ((1, 0), (5 * mib, 1), (5 * mib + 1, 5 * mib), (10**12, 7 * mib + 3), (123_456_789, 9 * mib)):
+        got = spark.range(1).select(F.inline(schemas.part_spans(F.lit(size).cast("long"), F.lit(part).cast("long")))).collect()
+        assert [tuple(r) for r in got] == schemas.part_ranges(size, part)
