@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import dates, phones
-from .operators import aggregates, browse, history, keys, lineage, rows, semantics
+from .operators import aggregates, browse, conversations, events as logs, history, keys, lineage, rows, semantics
 from .operators.scratch import place
-from .plans import context, guard
+from .plans import context, fallback, guard
 from .sources import groups
 from .queries import query
 
@@ -230,3 +230,69 @@ def files_by_structure(customer, supplier):
         one = one.select(F.lit(",".join(sorted(g.types))).alias("columns"), "file", "n", "keys", "balance")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+@query("""WITH e AS (SELECT o_custkey::VARCHAR AS import_id, o_orderkey AS nth, CASE WHEN o_orderkey % 3 > 0 THEN 's' || o_orderkey % 4 END AS status, CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey END::BIGINT AS rows_inserted FROM orders)
+SELECT import_id, arg_max(status, nth) FILTER (status IS NOT NULL) AS status, arg_max(rows_inserted, nth) FILTER (rows_inserted IS NOT NULL) AS rows_inserted FROM e GROUP BY import_id""", "orders")
+def state_after_compaction(orders):
+    """A log that is compacted between its events gives what all events give, those among it that come late."""
+    k = F.col("o_orderkey")
+    all_ = orders.select(F.col("o_custkey").cast("string").alias("import_id"), k.cast("long").alias("at"), F.when(k % 3 > 0, F.concat(F.lit("s"), (k % 4).cast("string"))).alias("status"), F.when(k % 5 == 0, k.cast("long")).alias("rows_inserted"))
+    log = logs.Log(lineage.Store(orders.sparkSession, place(orders.sparkSession, "compacted")), "history", "import_id string", "status string, rows_inserted long")
+    for part in (1, 0, 2):
+        log.extend(all_.where(F.col("at") % 3 == part))
+        if part != 2:
+            log.compact()
+    return log.state()
+
+
+@query("""SELECT import_id, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed, sum(errors)::BIGINT AS errors
+  FROM (SELECT l_orderkey::VARCHAR AS import_id, CASE WHEN l_linenumber % 3 = 0 THEN 'pending' WHEN l_linenumber % 3 = 1 THEN 'completed' ELSE 'failed' END AS status, CASE WHEN l_linenumber % 3 = 2 THEN l_linenumber ELSE 0 END AS errors FROM lineitem) GROUP BY import_id""", "lineitem")
+def chunk_states(lineitem):
+    """Chunks of imports: each is pending first, then some end."""
+    n = F.col("l_linenumber")
+    log = history.Imports(lineage.Store(lineitem.sparkSession, place(lineitem.sparkSession, "chunks"))).chunks
+    chunks = lineitem.select(F.col("l_orderkey").cast("string").alias("import_id"), n.cast("int").alias("chunk_number"))
+    n = F.col("chunk_number")
+    log.extend(chunks.select("*", F.lit(1).cast("long").alias("at"), F.lit("pending").alias("status"), F.lit(0).cast("long").alias("errors"), F.lit("").alias("error_message")))
+    log.extend(chunks.where(n % 3 > 0).select("*", F.lit(2).cast("long").alias("at"), F.when(n % 3 == 1, "completed").otherwise("failed").alias("status"), F.when(n % 3 == 2, n.cast("long")).otherwise(0).alias("errors"), F.lit("x").alias("error_message")))
+    counted = [F.count_if(F.col("status") == s).alias(s) for s in ("pending", "completed", "failed")]
+    return log.state().groupBy("import_id").agg(*counted, F.sum("errors").alias("errors"))
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey = 77 AND c_mktsegment = (SELECT c_mktsegment FROM customer WHERE c_custkey = 77)", "customer")
+def lookup_by_keys(customer):
+    """The row that a record equals on its keys, by what files know of their columns."""
+    store = lineage.Store(customer.sparkSession, place(customer.sparkSession, "lookup"))
+    store.append("customers", customer, order="c_custkey", keys=["c_name", "c_mktsegment"])
+    record = customer.where("c_custkey = 77").select("c_name", "c_mktsegment").first().asDict()
+    return store.equal("customers", record, list(record)).select("c_custkey", "c_name", "c_acctbal")
+
+
+@query("""SELECT conv_id AS thread_id, min(turn) AS created_at, max(turn) AS updated_at, arg_min(text, turn) FILTER (role = 'user') AS first_prompt, count(*) AS messages
+  FROM conversations GROUP BY conv_id ORDER BY max(turn) DESC NULLS LAST, conv_id LIMIT 40 OFFSET 3""", "conversations")
+def thread_list(conversations_):
+    messages = conversations_.select(F.col("conv_id").alias("thread_id"), "role", F.col("text").alias("content"), F.col("turn").alias("created_at"))
+    return history.newest(conversations.threads_of(messages), "updated_at", "thread_id", limit=40, offset=3)
+
+
+@query("""SELECT o_orderkey AS id, o_orderpriority AS title FROM orders WHERE o_orderkey % 7 <> 0
+  ORDER BY CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 1000 ELSE o_orderkey % 777 END DESC, o_orderkey LIMIT 50""", "orders")
+def instructions_by_use(orders):
+    """Saved instructions, those first that were used last, the deleted ones left out: as events give them."""
+    k = F.col("o_orderkey")
+    log = logs.Log(lineage.Store(orders.sparkSession, place(orders.sparkSession, "instructions")), "llm_instructions", "id long", "title string, updated_at long, last_used_at long, deleted boolean")
+    rows = orders.select(k.cast("long").alias("id"), F.col("o_orderpriority").alias("title"))
+    given = lambda at, **facts: rows.select("id", F.lit(at).cast("long").alias("at"), *[facts.get(n, F.lit(None)).cast(t).alias(n) for n, t in (("title", "string"), ("updated_at", "long"), ("last_used_at", "long"), ("deleted", "boolean"))])
+    log.extend(given(1, title=F.col("title"), updated_at=F.col("id") % 777, deleted=F.lit(False)))
+    log.extend(given(2, last_used_at=F.when(F.col("id") % 2 == 0, F.col("id") % 1000)))
+    log.extend(given(3, deleted=F.when(F.col("id") % 7 == 0, F.lit(True))))
+    return conversations.by_use(log.state().where("NOT deleted")).limit(50).select("id", "title")
+
+
+@query("""SELECT o_custkey AS advertiser, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS revenue FROM orders WHERE o_totalprice IS NOT NULL GROUP BY o_custkey ORDER BY revenue DESC, o_custkey LIMIT 3""", "nation", "orders")
+def fallback_top_owners(nation, orders):
+    """The answer without a model: its table and columns are found by their names and types."""
+    sales = orders.select("o_orderkey", F.lit("x").alias("spend_note"), F.col("o_custkey").alias("client_id"), F.col("o_totalprice").cast("decimal(18,2)").alias("order_value"))
+    found = fallback.top("Who are the top advertisers by revenue?", {"nation": nation, "import_history": sales.withColumnRenamed("order_value", "amount"), "sales": sales})
+    return found.select("advertiser", F.col("revenue").cast("double").alias("revenue"))

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import browse
+from .aggregates import status_summary
+from .events import Log, state  # noqa: F401  state is a function of histories too
 from .keys import Keys, configured
 from .keys import resolved as resolved_keys
 from .lineage import Store
@@ -22,8 +24,9 @@ STATUS = ["in_progress", "success", "failed", "partial"]
 MAPPING_STATUS = {None: ["pending", "in_progress"], "pending": ["in_progress", "failed"], "in_progress": ["completed", "failed"]}
 REJECT_ACTIONS = ["inserted_as_is", "inserted_corrected", "discarded", "merged"]
 DUPLICATE_ACTIONS = ["merge", "keep_existing", "create_new"]
+CHUNK_STATUS = ["pending", "in_progress", "completed", "failed"]
 HISTORY = (
-    "import_id string, at long, table_name string, user_id string, file_name string, file_hash string, source_path string, file_size_bytes long, import_strategy string, mapping_config string, "
+    "table_name string, user_id string, file_name string, file_hash string, source_path string, file_size_bytes long, import_strategy string, mapping_config string, "
     "metadata string, status string, mapping_status string, error_message string, rows_in_file long, rows_inserted long, duplicates_found long, rejects_found long, errors_found long, started_at timestamp, duration_seconds double"
 )
 FILTERS = ["import_id", "table_name", "user_id", "status", "file_name", "file_hash", "source_path", "file_size_bytes"]
@@ -31,12 +34,6 @@ AUDITS = ["import_duplicates", "import_validation_failures", "mapping_errors"]
 RESOLUTION = "log string, id string, import_id string, resolved_at timestamp, resolved_by string, action string, details string"
 
 
-def state(log: DataFrame, key: str, at: str = "at") -> DataFrame:
-    """What holds of each key: of every column the last value that an event gave."""
-    last = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(at))).alias(c) for c in log.columns if c not in (key, at)]
-    return log.groupBy(key).agg(*last)
-
-
 def newest(df: DataFrame, by: str, tie: str, limit: int = 100, offset: int = 0) -> DataFrame:
     """A page of a list, the newest first."""
     return df.orderBy(F.col(by).desc_nulls_last(), F.col(tie)).offset(offset).limit(limit)
@@ -158,23 +155,39 @@ class Imports:
 
     def __init__(self, store: Store):
         self.store, self.spark = store, store.spark
+        self.log = Log(store, "import_history", "import_id string", HISTORY)
+        self.chunks = Log(store, "mapping_chunks", "import_id string, chunk_number int", "status string, errors long, error_message string")
 
     def event(self, import_id: str, **facts) -> None:
-        names = [f.split()[0] for f in HISTORY.split(", ")]
-        row = {"import_id": import_id, "at": time.time_ns(), **facts}
-        self.store.log("import_history", self.spark.createDataFrame([tuple(row.get(n) for n in names)], HISTORY))
+        self.log.add({"import_id": import_id, **facts})
 
     def history(self) -> DataFrame:
         """The state of each import."""
-        if not self.store.exists("log_import_history"):
-            return state(self.spark.createDataFrame([], HISTORY), "import_id")
-        return state(self.store.logged("import_history"), "import_id")
+        return self.log.state()
 
     def get(self, import_id: str) -> Mapping:
-        found = self.history().where(F.col("import_id") == import_id).first()
-        if found is None:
+        if (found := self.log.find(import_id=import_id)) is None:
             raise ValueError(f"no import {import_id}")
-        return found.asDict()
+        return found
+
+    def compact(self) -> None:
+        """Drops events that nothing of the state comes from."""
+        self.log.compact()
+        self.chunks.compact()
+
+    def start_chunks(self, import_id: str, total: int) -> None:
+        """Chunks of a mapping, numbered from 1, each pending; chunks that were done before are done again."""
+        self.chunks.add(*[{"import_id": import_id, "chunk_number": n, "status": "pending", "errors": 0, "error_message": ""} for n in range(1, total + 1)])
+
+    def chunk(self, import_id: str, number: int, status: str, errors: int = 0, error_message: str = "") -> None:
+        if status not in CHUNK_STATUS:
+            raise ValueError(f"no such status: {status}")
+        self.chunks.add({"import_id": import_id, "chunk_number": number, "status": status, "errors": errors, "error_message": error_message})
+
+    def chunk_summary(self, import_id: str) -> Mapping[str, int]:
+        """How many chunks of an import are in each state, and total."""
+        counted = status_summary(self.chunks.state().where(F.col("import_id") == import_id), "status", CHUNK_STATUS).first().asDict()
+        return counted | {"total": sum(counted.values())}
 
     def begin(self, table_name: str, import_id: str | None = None, started_at=None, mapping_config: Mapping | None = None, metadata: Mapping | None = None, **facts) -> str:
         """Opens an import; the same bytes in the same table are an error."""
@@ -233,6 +246,30 @@ class Imports:
         self.store.log("resolutions", self.spark.createDataFrame([(log, id, found["import_id"], datetime.now(), by, action, json.dumps(details) if details else None)], RESOLUTION))
         return found
 
+    def unique_columns(self, import_id: str, record: Mapping) -> list[str]:
+        """The uniqueness columns of an import as its configuration has them; without any, all columns of the record."""
+        config = json.loads(self.get(import_id)["mapping_config"] or "{}")
+        named = (config.get("duplicate_check") or {}).get("uniqueness_columns") or config.get("unique_columns") or []
+        return [c for c in named if c in record] or list(record)
+
+    def duplicate_detail(self, id: str) -> Mapping:
+        """A duplicate, its table and uniqueness columns, and the first row there that it equals on them, if there is one."""
+        found = self.audit("import_duplicates").where(F.col("id") == id).first()
+        if found is None:
+            raise ValueError(f"no row {id} in import_duplicates")
+        record = json.loads(found["record"])
+        table, keys = self.get(found["import_id"])["table_name"], self.unique_columns(found["import_id"], record)
+        there = self.store.find(table, record, keys) if self.store.exists(table) else None
+        existing = {"row_id": there["_row_id"], "record": {k: v for k, v in there.asDict().items() if not k.startswith("_")}} if there else None
+        return {"duplicate": found.asDict() | {"record": record}, "existing_row": existing, "table_name": table, "uniqueness_columns": keys}
+
+    def reject_detail(self, id: str) -> Mapping:
+        """A rejected row with its record and the table that it was meant for."""
+        found = self.audit("import_validation_failures").where(F.col("id") == id).first()
+        if found is None:
+            raise ValueError(f"no row {id} in import_validation_failures")
+        return found.asDict() | {"record": json.loads(found["record"]), "table_name": self.get(found["import_id"])["table_name"]}
+
     def resolve_reject(self, id: str, action: str, by: str | None = None, note: str | None = None) -> None:
         """Marks a rejected row; nothing is inserted by it."""
         if action not in REJECT_ACTIONS:
@@ -262,6 +299,6 @@ class Imports:
         if not self.store.exists("log_import_history"):
             return
         gone = kept(self.history().where(F.col("table_name") == table_name).select("import_id"), "dropped")
-        for log in (*AUDITS, "resolutions", "import_history"):
+        for log in (*AUDITS, "resolutions", "mapping_chunks", "import_history"):
             if self.store.exists(f"log_{log}"):
                 self.store.rewrite_log(log, self.store.logged(log).join(gone, "import_id", "left_anti"))

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numbers
@@ -49,9 +49,29 @@ class Store:
     def logged(self, name: str) -> DataFrame:
         return self.spark.read.option("mergeSchema", True).parquet(self.at(f"log_{name}"))
 
-    def append(self, table: str, rows: DataFrame, order: str | None = None, import_id: str | None = None, types: Mapping[str, str] | None = None) -> str:
+    def create(self, table: str, types: Mapping[str, str], anew: bool = False) -> bool:
+        """Makes a table without rows of columns and their declared types; returns whether it was made.
+
+        A table that is there stays as it is if its columns are of the same types. If they aren't it is an error, or with ``anew``
+        the table is made again, and its rows go."""
+        shape = self.spark.range(0).select(*[numbers.coerce(F.lit(None).cast("string"), t).alias(user_column(c)) for c, t in types.items()])
+        if self.exists(table):
+            now = {c: t for c, t in self.read(table).dtypes if not c.startswith("_")}
+            if now == dict(shape.dtypes):
+                return False
+            if not anew:
+                other = sorted(c for c in {*now, *shape.columns} if now.get(c) != dict(shape.dtypes).get(c))
+                raise ValueError(f"{table} is there with other columns or types: {', '.join(other)}")
+            self.delete(table)
+        system = {"_row_id": F.lit(0).cast("long"), "_source_row_number": F.lit(0).cast("long"), "_imported_at": F.current_timestamp(), "_import_id": F.lit("")}
+        shape.withColumns(system).write.parquet(self.at(f"{table}/{SHAPE}"))
+        return True
+
+    def append(self, table: str, rows: DataFrame, order: str | None = None, import_id: str | None = None, types: Mapping[str, str] | None = None, keys: Sequence[str] = ()) -> str:
         """Adds rows as one import, with the system's columns; row ids go on from the table's largest.
 
+        Rows lie in the order of their ids, and columns named by ``keys`` get Bloom filters, so lookups by either skip row groups.
+
         With ``types`` (declared types of columns whose cells are text) cells are coerced, and ``_corrections`` says which were changed by it. A whole
         number that its column can't hold is an error that says which type can."""
         import_id = import_id or uuid.uuid4().hex
@@ -63,9 +83,28 @@ class Store:
         keyed = dense_ids(rows, order or number or rows.columns[0], "_row_id", last + 1)
         keyed = keyed.withColumnRenamed("_source_record_number", "_source_row_number") if number else keyed.withColumn("_source_row_number", F.col("_row_id") - last)
         keyed = keyed.withColumns({"_import_id": F.lit(import_id), "_imported_at": F.current_timestamp()})
-        keyed.write.mode("append").partitionBy("_import_id").parquet(self.at(table))
+        writer = keyed.write.mode("append").partitionBy("_import_id")
+        for k in map(user_column, keys):
+            writer = writer.option(f"parquet.bloom.filter.enabled#{k}", "true")
+        writer.parquet(self.at(table))
         return import_id
 
+    def equal(self, table: str, record: Mapping, keys: Sequence[str]) -> DataFrame:
+        """Rows that equal a record on the keys, null equals null. Values are cast to the columns' types, not columns to text, so the
+        filter reaches the files and their statistics and Bloom filters."""
+        rows = self.read(table)
+        kinds = dict(rows.dtypes)
+        for k in keys:
+            c, value = F.col(f"`{k}`"), record.get(k)
+            rows = rows.where(c.isNull() if value is None else c == F.lit(value).try_cast(kinds[k]))
+        return rows
+
+    def find(self, table: str, record: Mapping, keys: Sequence[str]) -> Row | None:
+        """The first row that equals a record on the keys."""
+        rows = self.equal(table, record, keys)
+        found = rows.agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), "_row_id").alias("row")).first()
+        return found["row"]
+
     def coerced(self, rows: DataFrame, types: Mapping[str, str]) -> DataFrame:
         whole = [c for c, t in types.items() if t.upper() in LARGEST]
         if whole:
@@ -112,6 +151,10 @@ class Store:
         where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.at(table))
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
+    def remove(self, file: str) -> None:
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.spark.sparkContext._jvm.java.net.URI(file))
+        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, False)
+
     def resolve_duplicate(self, table: str, row_id: int, action: str, record: Mapping | None = None) -> None:
         """merge writes the record's columns into the existing row, create_new adds the record, keep_existing does nothing."""
         if action == "keep_existing":

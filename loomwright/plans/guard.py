@@ -248,7 +248,12 @@ class Fetched:
 def fetch(spark: SparkSession, sql: str, limit: int = AGENT_ROWS, seconds: float = limits.AGENT_SECONDS) -> Fetched:
     """The guarded query's rows, at most ``limit`` of them within so many seconds; whatever fails at run time, the time limit among
     it, is a refusal with its reason and a hint."""
-    began, df = time.time(), run(spark, sql, limit)
+    return collected(spark, run(spark, sql, limit), seconds)
+
+
+def collected(spark: SparkSession, df: DataFrame, seconds: float) -> Fetched:
+    """The rows of a result that is limited already."""
+    began = time.time()
     try:
         with limits.time_limit(spark, seconds):
             return Fetched(df.columns, df.collect(), time.time() - began)
