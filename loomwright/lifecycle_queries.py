@@ -247,9 +247,9 @@ def state_after_compaction(orders):
 
 
 @query("""SELECT import_id, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed, sum(errors)::BIGINT AS errors
-  FROM (SELECT l_orderkey::VARCHAR AS import_id, CASE WHEN l_linenumber % 3 = 0 THEN 'pending' WHEN l_linenumber % 3 = 1 THEN 'completed' ELSE 'failed' END AS status, CASE WHEN l_linenumber % 3 = 2 THEN l_linenumber ELSE 0 END AS errors FROM lineitem) GROUP BY import_id""", "lineitem")
+  FROM (SELECT DISTINCT l_orderkey::VARCHAR AS import_id, l_linenumber, CASE WHEN l_linenumber % 3 = 0 THEN 'pending' WHEN l_linenumber % 3 = 1 THEN 'completed' ELSE 'failed' END AS status, CASE WHEN l_linenumber % 3 = 2 THEN l_linenumber ELSE 0 END AS errors FROM lineitem) GROUP BY import_id""", "lineitem")
 def chunk_states(lineitem):
-    """Chunks of imports: each is pending first, then some end."""
+    """Chunks of imports: each is pending first, then some end. Lines of an order with the same number are one chunk."""
     n = F.col("l_linenumber")
     log = history.Imports(lineage.Store(lineitem.sparkSession, place(lineitem.sparkSession, "chunks"))).chunks
     chunks = lineitem.select(F.col("l_orderkey").cast("string").alias("import_id"), n.cast("int").alias("chunk_number"))
