@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import re
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -11,6 +12,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from loomwright.llm import jaccard, mixing, packing, pages, quality, repeats, sharding, stages, token_files, tokens, topk, toxicity
@@ -538,3 +540,31 @@ def test_toxicity(spark, awkward, empty):
     nothing = toxicity.train(toxicity.training_rows(awkward, labels.limit(0)))
     assert [r["score"] for r in toxicity.score(awkward, nothing).collect()] == [0.0] * len(AWKWARD)
     assert toxicity.score(empty, toxicity.train(toxicity.training_rows(empty, labels.limit(0)))).count() == 0
+
+
+def plain_features(text):
+    """The weights that a text turns on, by words and dictionaries."""
+    words, whole, h = re.findall(r"\w+", text.lower()), 2**64 - 1, xxhash.xxh3_64_intdigest
+    found = [h(w) for w in words] + [h(f"{k}:{w[:k]}") for w in words for k in toxicity.STEMS if len(w) >= k]
+    pairs = [(h(a) * 0x9E3779B97F4A7C15 + h(b)) & whole for a, b in zip(words, words[1:])]
+    skips = [(h(a) * 0xC2B2AE3D27D4EB4F + h(b) * 3) & whole for a, b in zip(words, words[2:])]
+    n = Counter(x % 2**toxicity.BITS for x in found + [x ^ (x >> 31) for x in pairs] + [x ^ (x >> 29) for x in skips])
+    n.pop(0, None)
+    here, again, often = n, [s for s in n if n[s] >= 2 and n[s] / len(words) >= 1 / 400], [s for s in n if n[s] >= 3 and n[s] / len(words) >= 1 / 200]
+    return {0} | {s * toxicity.LEVELS for s in here} | {s * toxicity.LEVELS + 1 for s in again} | {s * toxicity.LEVELS + 2 for s in often}
+
+
+def test_toxicity_by_brute_force(spark):
+    """Every score of the query is what the plain features and the weights give, over whole texts."""
+    for text in ("", "a", "one two", "Über die Brücke, über die Brücke", "word " * 1000 + "end", "x y " * 3):
+        got = toxicity.features(*toxicity.grams(text))
+        assert len(got) == len(set(got.tolist())) and set(got.tolist()) == plain_features(text), text[:20]
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    at, value = toxicity.train(toxicity.training_rows(docs, labels))
+    weight = dict(zip(at.tolist(), value.tolist()))
+    got = {r["doc_id"]: r for r in rows(QUERIES["op10_ftrl_toxicity"](spark, DATA))}
+    assert len(got) == docs.count() and weight
+    for doc_id, text in docs.select("doc_id", "text").collect():
+        want = 1 / (1 + np.exp(-sum(weight.get(i, 0.0) for i in plain_features(text or ""))))
+        assert abs(got[doc_id]["score"] - want) < 1e-9 and got[doc_id]["predicted"] == (got[doc_id]["score"] >= 0.5)
+        assert got[doc_id]["held_out"] == (zlib.crc32(str(doc_id).encode()) % 5 == 0)
