@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,55 +17,47 @@ def digits(c: Column) -> Column:
     return F.regexp_replace(c.cast("string"), r"\D", "")
 
 
-def country_length(d: Column, most: int = 15) -> Column:
-    """How many leading digits are the country code; 0 if there is none."""
-    n, out = F.length(d), None
+def country_pattern(most: int = 15) -> str:
+    """Matches a plus and the country code behind it: a known prefix of a number that is as long as its country's are, else by length."""
+    known = []
     for prefix, low, high in COUNTRIES:
-        test = d.startswith(prefix) & (n >= low) & (n <= (max(high, most) if high == 15 else high))
-        out = F.when(test, len(prefix)) if out is None else out.when(test, len(prefix))
-    for low, width in UNKNOWN:
-        out = out.when(n >= low, width)
-    return out.otherwise(0)
-
+        longest = max(high, most) if high == 15 else high
+        known.append(rf"{prefix}(?=\d{{{low - len(prefix)},{longest - len(prefix)}}}$)")
+    return r"^\+(" + "|".join([*known, *[rf"\d{{{width}}}(?=\d{{{low - width},}}$)" for low, width in UNKNOWN]]) + ")"
 
-def grouped(local: Column, country: Column) -> Column:
-    """A local number in the groups its country or length asks for."""
-    n = F.length(local)
 
-    def parts(*spans: tuple[int, int], layout: str) -> Column:
-        return F.format_string(layout, *[F.substring(local, a, b) for a, b in spans])
-
-    threes = F.trim(F.regexp_replace(local, "(.{3})", "$1 "))
-    return (
-        F.when((country == "44") & (n == 10), parts((1, 2), (3, 4), (7, 4), layout="%s %s %s"))
-        .when(n == 10, parts((1, 3), (4, 3), (7, 4), layout="(%s) %s-%s"))
-        .when(n < 7, local).when(n == 7, parts((1, 3), (4, 4), layout="%s-%s"))
-        .when(n == 8, parts((1, 4), (5, 4), layout="%s-%s")).when(n == 9, parts((1, 3), (4, 3), (7, 3), layout="%s-%s-%s"))
-        .otherwise(threes)
-    )
+#: country|local, the local number in its groups. What is grouped already has a blank or a dash, so that no later pattern matches it.
+GROUPS = [
+    (r"^(44)\|(\d{2})(\d{4})(\d{4})$", "$1|$2 $3 $4"), (r"^([^|]*)\|(\d{3})(\d{3})(\d{4})$", "$1|($2) $3-$4"), (r"^([^|]*)\|(\d{3})(\d{4})$", "$1|$2-$3"), (r"^([^|]*)\|(\d{4})(\d{4})$", "$1|$2-$3"),
+    (r"^([^|]*)\|(\d{3})(\d{3})(\d{3})$", "$1|$2-$3-$4"), (r"^([^|]*)\|(?=\d{11,}$)", "$1||"), (r"(?<=\|\|(?:\d{3}){1,99})(?=\d)", " "), (r"\|\|", "|"),
+]
+# How the country is shown in each form, and a number without one.
+FORMS = {"international": [(r"^([^|]+)\|", "+$1 "), (r"^\|", "")], "national": [(r"^[^|]*\|", "")], "e164": [(r"^([^|]+)\|", "+$1"), (r"^\|", "")]}
 
 
 def standardized(c: Column, output: str = "e164", default_country: str | None = None, keep_extension: bool = False, strip_zeros: bool = True, fewest: int = 7, most: int = 15) -> Column:
-    """e164, international, national or digits_only form; null if the digits are too few or too many."""
+    """e164, international, national or digits_only form; null if the digits are too few or too many.
+
+    A cell goes through a chain of patterns, each of which reads the one before it once: its digits, country|local, groups, form."""
     text = F.trim(c.cast("string"))
     mark = r"(?i)(?:x|ext|extension)[\s.]?(\d+)"
-    extension = F.regexp_extract(text, mark, 1) if keep_extension else F.lit("")
+    extension = F.regexp_extract(text, mark, 1) if keep_extension else None
     if keep_extension:
         text = F.trim(F.regexp_replace(text, rf"(?s){mark}.*$", ""))
     d = digits(text)
     d = F.regexp_replace(d, "^0+", "") if strip_zeros else d
-    n = F.length(d)
-    width = F.when(text.startswith("+") | (n > 10), country_length(d, most)).otherwise(0)
-    country = F.when(width > 0, F.substring(d, F.lit(1), width))
-    if default_country:
-        country = F.coalesce(country, F.when(~text.startswith("+") & (n <= 10), F.lit(default_country)))
-    local = F.substring(d, width + 1, n)
-    layout = grouped(local, F.coalesce(country, F.lit("")))
-    plus = F.coalesce(F.concat(F.lit("+"), country), F.lit(""))
-    forms = {"digits_only": d, "national": layout, "international": F.concat(plus, F.when(country.isNotNull(), " ").otherwise(""), layout)}
-    out = forms.get(output, F.concat(plus, local))
-    out = F.concat(out, F.when(extension != "", F.concat(F.lit("x"), extension)).otherwise(""))
-    return F.when(n.between(fewest, most), out)
+    out = d
+    if output != "digits_only":
+        # a plus, or more than ten digits, ask for a country
+        steps = [(r"(?!^\+)\D", ""), *([(r"^(\+?)0+", "$1")] if strip_zeros else []), (r"^(?=\d{11})", "+"), (country_pattern(most), "$1|")]
+        steps += [(r"^(?=\d{0,10}$)", re.sub(r"([\\$])", r"\\\1", default_country) + "|")] if default_country else []
+        steps += [(r"^\+?(?=\d*$)", "|"), *([] if output not in ("international", "national") else GROUPS), *FORMS.get(output, FORMS["e164"])]
+        out = text
+        for pattern, form in steps:
+            out = F.regexp_replace(out, F.lit(pattern), F.lit(form))
+    if extension is not None:
+        out = F.concat(out, F.when(extension != "", F.concat(F.lit("x"), extension)).otherwise(""))
+    return F.when(F.length(d).between(fewest, most), out)
 
 
 def composed(country: Column, area: Column, subscriber: Column, extension: Column | None = None) -> Column:
