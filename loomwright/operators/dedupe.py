@@ -7,6 +7,7 @@ from difflib import get_close_matches
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, NumericType
 
 from ..functions.text import key
 
@@ -50,14 +51,21 @@ def first_of_each(df: DataFrame, keys: Sequence[str], order: str = "_source_reco
 def against_existing(incoming: DataFrame, existing: DataFrame, keys: Sequence[str], nulls_match: bool = False) -> tuple[DataFrame, DataFrame]:
     """Incoming rows whose keys no existing row has, and those whose keys one has. Nulls match nothing, unless told to."""
     check_keys(keys, incoming.columns)
-    there = existing.select(*[F.col(k).cast("string").alias(f"_there_{i}") for i, k in enumerate(keys)]).distinct()
+    there = existing.select(*[F.col(k).alias(f"_there_{i}") for i, k in enumerate(keys)]).distinct()
     same = F.lit(True)
     for i, k in enumerate(keys):
-        a, b = F.col(k).cast("string"), F.col(f"_there_{i}")
+        a, b = F.col(k), F.col(f"_there_{i}")
+        if not comparable(incoming.schema[k].dataType, existing.schema[k].dataType):
+            a, b = a.cast("string"), b.cast("string")
         same = same & (a.eqNullSafe(b) if nulls_match else a == b)
     return incoming.join(there, same, "left_anti"), incoming.join(there, same, "left_semi")
 
 
+def comparable(a: DataType, b: DataType) -> bool:
+    """Whether values of two types are compared as they are (1 is 1.0, and a bucketed table stays so), not as text."""
+    return a == b or isinstance(a, NumericType) and isinstance(b, NumericType)
+
+
 def matched_row(incoming: DataFrame, existing: DataFrame, keys: Sequence[str], row_id: str = "_row_id") -> DataFrame:
     """Each incoming row with existing_row_id, the first existing row that equals it on the keys (nulls equal nulls)."""
     firsts = existing.groupBy(*[F.col(k).alias(f"_there_{i}") for i, k in enumerate(keys)]).agg(F.min(row_id).alias("existing_row_id"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, multivalue, numbers
@@ -80,20 +80,59 @@ def dayfirst(df: DataFrame, column: str, order: str, sample: int = 100) -> bool
     return found[0]
 
 
+def coerced(c: Column, sql_type: str) -> Column:
+    """A cell as its expected type, null where it doesn't fit: times as timestamps, booleans by the wide words, text without a fraction of zeros."""
+    value, kind = F.nullif(F.trim(c.cast("string")), F.lit("")), numbers.family(sql_type)
+    if kind == "timestamp":
+        return dates.timestamp(value)
+    if kind == "boolean":
+        return numbers.to_boolean(value, wide=True)
+    return numbers.shown(value) if kind == "text" else numbers.coerce(value, sql_type)
+
+
+def coerced_table(df: DataFrame, types: dict[str, str]) -> DataFrame:
+    """The table with the columns of ``types`` under their expected types; other columns stay as they are. One projection."""
+    return df.withColumns({c: coerced(F.col(f"`{c}`"), t) for c, t in types.items() if c in df.columns})
+
+
 def coerce_report(df: DataFrame, types: dict[str, str]) -> DataFrame:
     """column, expected, filled, coerced and status (ok, partial, failed) of each column under its expected type."""
-    def good(c: str, t: str) -> Column:
-        value = F.col(f"`{c}`").cast("string")
-        kind = numbers.family(t)
-        return (dates.timestamp(value) if kind == "timestamp" else numbers.to_boolean(value, wide=True) if kind == "boolean" else numbers.coerce(value, t)).isNotNull()
-
     filled = lambda c: F.nullif(F.trim(F.col(f"`{c}`").cast("string")), F.lit("")).isNotNull()
+    good = lambda c, t: coerced(F.col(f"`{c}`"), t).isNotNull()
     counted = df.agg(*[F.struct(F.count_if(filled(c)).alias("filled"), F.count_if(filled(c) & good(c, t)).alias("coerced")).alias(f"s{i}") for i, (c, t) in enumerate(types.items())])
     cells = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(t).alias("expected"), F.col(f"s{i}.filled").alias("filled"), F.col(f"s{i}.coerced").alias("coerced")) for i, (c, t) in enumerate(types.items())])
     status = F.when(F.col("coerced") == F.col("filled"), "ok").when(F.col("coerced") > 0, "partial").otherwise("failed")
     return counted.select(F.inline(cells)).withColumn("status", status)
 
 
+#: How many characters of samples a summary shows, by how many classes of length they are chosen, and the share of empty cells that is an issue.
+SHOWN, CLASSES, MOST_EMPTY = 500, 16, 0.5
+
+
+def column_summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """column, kind (what most filled cells are: integer, decimal, boolean, date or text; of equally many the first of these; empty if none is
+    filled), null_share, samples and issue of each column.
+
+    Samples are the smallest cell of each length modulo 16, in order, as many as 500 characters hold: all comes from one aggregate over all rows,
+    of which a task sends one row."""
+    columns, kinds = list(columns or df.columns), ["integer", "decimal", "boolean", "date", "text"]
+    rows = looked_at(df, columns)
+
+    def counts(i: int) -> Column:
+        c, n = F.col(f"c{i}"), F.col(f"n{i}")
+        kind = F.when(n == F.floor(n), "integer").when(n.isNotNull(), "decimal").when(F.lower(c).isin("true", "false"), "boolean").when(F.col(f"d{i}"), "date").when(c.isNotNull(), "text")
+        smallest = [F.min(F.when(F.length(c) % CLASSES == k, c)) for k in range(CLASSES)]
+        return F.struct(F.count(c).alias("filled"), *[F.count_if(kind == k).alias(k) for k in kinds], F.array_sort(F.array_compact(F.array(*smallest))).alias("all")).alias(f"s{i}")
+
+    counted = rows.agg(F.count("*").alias("rows"), *[counts(i) for i in range(len(columns))])
+    each = counted.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col("rows"), F.col(f"s{i}").alias("s")) for i, c in enumerate(columns)])))
+    most = F.greatest(*[F.col(f"s.{k}") for k in kinds])
+    kind = F.coalesce(*[F.when((F.col(f"s.{k}") == most) & (most > 0), k) for k in kinds], F.lit("empty"))
+    null_share = F.when(F.col("rows") > 0, 1 - F.col("s.filled") / F.col("rows")).otherwise(0.0)
+    samples = F.filter("s.all", lambda x, i: F.length(F.array_join(F.slice("s.all", F.lit(1), i + 1), "")) <= SHOWN)
+    return each.select("column", kind.alias("kind"), null_share.alias("null_share"), samples.alias("samples"), F.when(null_share > MOST_EMPTY, "more than half of the cells are empty").alias("issue"))
+
+
 def multi_valued(df: DataFrame, columns: Sequence[str], sample: int | None = None) -> DataFrame:
     """Columns of which at least MULTI of the cells are JSON arrays, and what most of their items are."""
     out = None
@@ -133,8 +172,6 @@ def dense_ids(df: DataFrame, order: str, out: str, start: int = 0) -> DataFrame:
 
     The ranges are written down: their bounds are sampled, so ranges that are made twice, once to be counted and once to be
     numbered, differ, and numbers repeat."""
-    from pyspark.sql import Window
-
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = kept(df.repartitionByRange(parts, order).sortWithinPartitions(order).withColumn("_id", F.monotonically_increasing_id()), "ranges")
     part = F.shiftright("_id", 33)

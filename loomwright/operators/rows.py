@@ -104,11 +104,33 @@ def replaced(df: DataFrame, t: Mapping) -> Reshaped:
     return Reshaped(df.withColumns(replaced_columns(df, t)), [f"regex_replace: no column {c}" for c in missing])
 
 
+SELECTED, VALUES = "_selected", "_values"
+
+
+def exploded_where(df: DataFrame, t: Mapping, when: Column) -> Reshaped:
+    """As ``exploded``, of the rows that ``when`` selects: these lose their sources, others keep all cells. Every row stays at its place, in one pass."""
+    sources = list(t.get("source_columns") or [t["source_column"]])
+    target, there = t.get("target_column") or sources[0], [s for s in sources if s in df.columns]
+    errors = [f"{t['type']}: no column {s}" for s in sources if s not in df.columns]
+    values = values_of(df, t, there) if there else F.array(F.lit(None).cast("string"))
+    if t.get("include_original_row") and there:
+        values = F.concat(F.array(F.lit(None).cast("string")), values)
+    if t.get("keep_empty_rows"):
+        values = F.when(F.size(values) == 0, F.array(F.lit(None).cast("string"))).otherwise(values)
+    lost = there if t.get("drop_source_columns", True) else []
+    cells = [F.when(~when, F.col(f"`{c}`")).alias(c) if c in lost else F.col(f"`{c}`") for c in df.columns if c != target]
+    listed = df.withColumn(VALUES, F.when(when, values).otherwise(F.array(cell(df, target))))
+    return Reshaped(listed.select(*cells, F.explode(VALUES).alias(target)), errors)
+
+
 def conditional(df: DataFrame, t: Mapping) -> Reshaped:
     """Actions for the rows that the condition selects. Only explode, filter and replace can be nested."""
     errors: list[str] = []
     when = mask(df, {"type": t["type"], **t.get("condition", t)}, errors)
     when = F.lit(True) if when is None else when
+    if any(a.get("type") == "explode_columns" for a in t.get("actions", [])):
+        # the rows are those that the condition selected, whatever an explode makes of its columns
+        df, when = df.withColumn(SELECTED, when), F.col(SELECTED)
     for action in t.get("actions", []):
         kind = action.get("type")
         if kind == "regex_replace":
@@ -117,12 +139,11 @@ def conditional(df: DataFrame, t: Mapping) -> Reshaped:
             inner = mask(df, action, errors)
             df = df if inner is None else df.where(~when | inner)
         elif kind == "explode_columns":
-            yes, no = exploded(df.where(when), action), df.where(~when)
-            errors += yes.errors
-            df = yes.rows.unionByName(no, allowMissingColumns=True)
+            step = exploded_where(df, action, when)
+            df, errors = step.rows, errors + step.errors
         else:
             errors.append(f"conditional_transform: {kind} can't be nested")
-    return Reshaped(df, errors)
+    return Reshaped(df.drop(SELECTED), errors)
 
 
 def dropped(df: DataFrame, t: Mapping) -> Reshaped:

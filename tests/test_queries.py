@@ -7,7 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from loomwright import lifecycle_queries  # noqa: F401  registers its queries
+from loomwright import cell_queries, lifecycle_queries  # noqa: F401  register their queries
 from loomwright.queries import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
