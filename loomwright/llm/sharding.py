@@ -12,6 +12,8 @@ from .common import stored, table
 SHARDS = 16
 #: Key samples drawn for each splitter, and ranges for each shard: both fix how much the driver sees, whatever the input.
 SAMPLES, RANGES = 8, 64
+#: Rows of a range are ranked in parts of about so many bytes, however large the ranges are.
+PART_BYTES = 256 << 20
 #: A range that straddles a shard's end is subdivided this often, each time into RANGES ranges.
 ROUNDS = 3
 #: Equal texts stay in one shard if keeping them there moves its end by no more than this share of a shard.
@@ -81,8 +83,8 @@ def between(low: tuple | None, high: tuple | None) -> Column:
     return keep
 
 
-def shard_ends(rows: DataFrame, shards: int) -> tuple[list[tuple], list[tuple]]:
-    """The first key of every shard but the first, and all splitters.
+def shard_ends(rows: DataFrame, shards: int) -> tuple[list[tuple], list[tuple], int]:
+    """The first key of every shard but the first, all splitters, and the bytes of all rows.
 
     The ranges between the first splitters are measured. Those that straddle the end of a shard are too full to be dealt
     whole: they are subdivided by splitters of their own, until the end is met to a small part of a shard."""
@@ -112,7 +114,7 @@ def shard_ends(rows: DataFrame, shards: int) -> tuple[list[tuple], list[tuple]]:
         near = min((j for j in (i - 1, i) if 0 <= j < len(at)), key=lambda j: abs(ends[j] - goal), default=None)
         if near is not None:
             chosen.append(at[near])
-    return whole_groups(rows, chosen, total / shards), at
+    return whole_groups(rows, chosen, total / shards), at, total
 
 
 def cumulated(sizes: list[int]) -> list[int]:
@@ -132,23 +134,42 @@ def whole_groups(rows: DataFrame, ends: list[tuple], shard: float) -> list[tuple
     return [(e[0], -(2**63), -1) if e[0] in small else e for e in ends]
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, carry: bool = False) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, carry: bool = False, part_bytes: int = PART_BYTES) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot (gapless from 0 in each shard, in key order) of every row of ``docs``; with
     ``carry`` also doc, a struct of all its columns. The records move to their ranges (without ``carry`` Spark leaves out all
     but doc_id and text), and size and text_crc32 are those of the moved ones.
 
     Bytes are near equal: a shard is off by a thousandth or so, plus one document, plus a group of equal texts below
     WHOLE_GROUP of a shard. A larger group of equal texts is parted. Null texts count as empty; repeated rows keep their
-    places by row number; an empty table gives no rows."""
+    places by row number; an empty table gives no rows. What is ranked at once is a part of a range of about ``part_bytes``."""
     rows = stored(keyed(docs), "keys")
-    ends, at = shard_ends(rows, shards)
-    fine = rows.withColumn("range", range_of(sorted({*at, *ends}))).withColumn("shard", range_of(sorted(ends)))
-    before = Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = fine.groupBy("shard", "range").agg(F.count("*").alias("n")).select(F.col("range").alias("_range"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
-    counts = stored(counts, "range-counts")  # a row for each range
-    nth = F.row_number().over(Window.partitionBy("range").orderBy(*KEY)).alias("_nth")
-    ranked = fine.select("range", "shard", "doc", nth)
-    return ranked.join(F.broadcast(counts), F.col("range") == F.col("_range")).select(*digest(F.col("doc.doc_id"), F.col("doc.text")), "shard", (F.col("_before") + F.col("_nth") - 1).alias("slot"), *(["doc"] if carry else []))
+    ends, at, total = shard_ends(rows, shards)
+    bounds = sorted({*at, *ends})
+    parts = max(1, -(-total // (shards * RANGES * part_bytes)))
+    fine = rows.withColumn("range", range_of(bounds)).withColumn("shard", range_of(sorted(ends))).withColumn("part", part_of(bounds, F.col("range"), parts))
+    before = Window.partitionBy("shard").orderBy("range", "part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = fine.groupBy("shard", "range", "part").agg(F.count("*").alias("n"))
+    counts = counts.select(F.col("range").alias("_range"), F.col("part").alias("_part"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    counts = stored(counts, "range-counts")  # a row for each part
+    nth = F.row_number().over(Window.partitionBy("range", "part").orderBy(*KEY)).alias("_nth")
+    ranked = fine.select("range", "part", "shard", "doc", nth)
+    told = ranked.join(counts, (F.col("range") == F.col("_range")) & (F.col("part") == F.col("_part")))
+    return told.select(*digest(F.col("doc.doc_id"), F.col("doc.text")), "shard", (F.col("_before") + F.col("_nth") - 1).alias("slot"), *(["doc"] if carry else []))
+
+
+def part_of(at: list[tuple], place: Column, parts: int) -> Column:
+    """Which of ``parts`` parts of its range (``place``) a row is in: its key's place between the range's bounds, so parts are in key order. Hashes of
+    texts lie evenly; a range of one text only is parted by doc_id. How even the parts are decides on speed alone."""
+    if parts == 1:
+        return F.lit(0)
+    low, high = (-(2**63), -(2**63)), (2**63 - 1, 2**63 - 1)
+    bounds = [low, *[(a, b) for a, b, _ in at], high]
+    known = [F.array(*[F.lit(float(b[j])) for b in bounds]) for j in (0, 1)]
+    first = [F.get(k, place) for k in known]
+    last = [F.get(k, place + 1) for k in known]
+    share = [F.try_divide(F.col(key).cast("double") - a, b - a) for key, a, b in zip(KEY, first, last, strict=False)]
+    inside = F.when(first[0] < last[0], share[0]).when(first[1] < last[1], share[1]).otherwise(F.lit(0.0))
+    return F.least(F.greatest(F.floor(inside * parts), F.lit(0)), F.lit(parts - 1)).cast("int")
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:

@@ -232,6 +232,22 @@ def test_shards_of_copies(spark):
     assert got.join(df, "doc_id").where("text <> 'the same'").groupBy("text").agg(F.countDistinct("shard").alias("n")).where("n > 1").count() == 0
 
 
+def test_ranges_are_ranked_in_parts(spark, awkward):
+    """Parts of ranges, also of those that hold one text only, change no place of any row, and no part holds much."""
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "the same").otherwise(F.concat(F.lit("text "), F.col("id").cast("string"))).alias("text"))
+    whole, parted = ({(r["doc_id"]): (r["shard"], r["slot"]) for r in sharding.shard(df, 4, part_bytes=b).collect()} for b in (sharding.PART_BYTES, 100))
+    assert whole == parted and len(whole) == 20_000
+    keys = sharding.keyed(df)
+    ends, at, total = sharding.shard_ends(keys, 4)
+    bounds = sorted({*at, *ends})
+    placed = keys.withColumn("range", sharding.range_of(bounds)).withColumn("part", sharding.part_of(bounds, F.col("range"), 16))
+    per_range = placed.groupBy("range").agg(F.count("*").alias("n"), F.countDistinct("part").alias("parts")).collect()
+    assert sum(r["parts"] for r in per_range) > 8 * len(per_range)
+    assert placed.groupBy("range", "part").count().agg(F.max("count")).first()[0] < max(r["n"] for r in per_range) / 2
+    odd = [sorted((tuple(r) for r in sharding.shard(awkward, 3, part_bytes=b).collect()), key=str) for b in (sharding.PART_BYTES, 1)]
+    assert odd[0] == odd[1]
+
+
 def test_quality(spark, awkward, empty):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
