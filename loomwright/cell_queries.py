@@ -25,23 +25,22 @@ ACCEPTED = {
 }
 
 
-def spelled(form: str) -> Column:
-    """A cell by its form; a color's first # is its own."""
-    head, form = ("#", form[1:]) if form.startswith("#") and form != "#" else ("", form)
-    parts = [F.lit(p) for p in form.split("#")]
-    filled = [x for p in parts for x in (p, F.lpad(key().cast("string"), 6, "0"))][:-1]
-    return F.concat(F.lit(head), *filled)
+def form(cell: str) -> str:
+    """A cell's form with {} in the place of the key; a color's first # is its own."""
+    head, cell = ("#", cell[1:]) if cell.startswith("#") and cell != "#" else ("", cell)
+    return head + cell.replace("#", "{}")
 
 
 @query(f"SELECT c_custkey, unnest({sorted(ACCEPTED)}) AS validator, c_custkey % 5 = 0 OR c_custkey % 5 = 3 AS accepted, c_custkey % 5 = 0 AS required FROM customer", "customer")
 def validated_cells(customer):
     """Of five customers one has a cell that its validator accepts, one such that it refuses, one a placeholder, one a blank, one nothing but that."""
-    def cell(name: str) -> Column:
-        good, bad = ACCEPTED[name]
-        return F.when(key() % 5 == 0, F.concat(F.lit(" "), spelled(good), F.lit(" "))).when(key() % 5 == 1, spelled(bad)).when(key() % 5 == 2, F.lit("TBD")).when(key() % 5 == 3, F.lit("  ")).otherwise("researching...")
-
-    verdicts = [F.struct(F.lit(v).alias("validator"), validators.passes(cell(v), v, "ab").alias("accepted"), validators.passes(cell(v), v, "ab", allow_null=False).alias("required")) for v in sorted(ACCEPTED)]
-    return customer.select("c_custkey", F.inline(F.array(*verdicts)))
+    forms = F.array(*[F.struct(F.lit(v).alias("validator"), F.lit(form(good)).alias("good"), F.lit(form(bad)).alias("bad")) for v, (good, bad) in sorted(ACCEPTED.items())])
+    # keys are dealt out before they become so many cells: a file of few bytes, or of one row group, would be one task
+    asked = customer.select("c_custkey").repartition("c_custkey").select("c_custkey", F.inline(forms))
+    spelled = lambda c: F.replace(F.col(c), F.lit("{}"), F.lpad(key().cast("string"), 6, "0"))
+    cell = F.when(key() % 5 == 0, F.concat(F.lit(" "), spelled("good"), F.lit(" "))).when(key() % 5 == 1, spelled("bad")).when(key() % 5 == 2, F.lit("TBD")).when(key() % 5 == 3, F.lit("  ")).otherwise("researching...")
+    verdict = lambda **how: validators.passes_named(F.col("cell"), F.col("validator"), sorted(ACCEPTED), "ab", **how)
+    return asked.select("c_custkey", "validator", cell.alias("cell")).select("c_custkey", "validator", verdict().alias("accepted"), verdict(allow_null=False).alias("required"))
 
 
 def sheet(customer: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Conditional explodes, expected types, summaries of columns and keys of different types."""
 
-from loomwright.functions import phones
+from loomwright import cell_queries
+from loomwright.functions import phones, validators
 from loomwright.operators import dedupe, inference, rows
 from pyspark.sql import functions as F
 
@@ -55,3 +56,28 @@ def test_phones_in_groups(spark):
     assert shown("international", fewest=6) == ["+44 20 7946 0958", "(212) 555-0199", "+1 (212) 555-0199", "555-0199", "5550-1999", "555-019-999", "123456", "+999 123 456 789 012", "+1 (212) 555-0199", None, None]
     assert shown("national", "1")[:3] == ["20 7946 0958", "(212) 555-0199", "(212) 555-0199"]
     assert shown("e164", "1")[1:4] == ["+12125550199", "+12125550199", "+15550199"]
+
+
+def test_validators_by_name(spark):
+    names = [*validators.PRESETS, "not_empty", "boolean", "regex", "no such", None]
+    texts = [None, "", "  ", " TBD ", "n/a", "yes", "0", " a@b.org ", "#fff", "12-3456789", "ab1", "10.0.0.1", "2024-02-28", "::1", "x y"]
+    df = spark.createDataFrame([(n, t) for n in names for t in texts], "name string, t string")
+    for named in (names[:-2], []):
+        for how in ({}, {"allow_null": False}, {"pattern": "ab"}, {"pattern": "("}):
+            both = [F.when(F.col("name") == n, validators.passes(F.col("t"), n, **how)) for n in named]
+            one_by_one = F.coalesce(*both, validators.passes(F.col("t"), "no such", **how))
+            got = df.select("name", "t", validators.passes_named(F.col("t"), F.col("name"), named, **how).alias("by_name"), one_by_one.alias("each")).collect()
+            assert [r for r in got if r["by_name"] is None or r["by_name"] != r["each"]] == []
+
+
+def test_validated_cells_are_compiled_and_dealt_out(spark):
+    customer = spark.range(1000, numPartitions=1).select(F.col("id").alias("c_custkey"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = cell_queries.validated_cells(customer)
+        assert df.rdd.getNumPartitions() > 1
+        codes = getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$").__getattr__("MODULE$").codegenStringSeq(df._jdf.queryExecution().executedPlan())
+        sizes = [codes.apply(i)._3().maxMethodCodeSize() for i in range(codes.size())]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sizes and 0 < min(sizes) and max(sizes) < 8000  # -1 is code that couldn't be compiled; the JVM interprets what is larger
