@@ -14,19 +14,31 @@ from pyspark.sql import functions as F
 from .lineage import Store
 
 
-def state(log: DataFrame, key: str | Sequence[str], at: str = "at") -> DataFrame:
-    """What holds of each key: of every column the last value that an event gave."""
+#: Bytes of a log's files for each partition of its keys: the files are dense, and this many can be half a million rows.
+PART = 4 << 20
+
+
+def together(log: DataFrame, keys: Sequence[str], parts: int | None) -> DataFrame:
+    """The events of a key in one of so many partitions; None leaves them where they are.
+
+    Aggregates of text sort their rows. Without this each split of the files is sorted as well, to little effect where a key has few
+    events: a split of a dense log is gigabytes of rows."""
+    return log.repartition(parts, *keys) if parts else log
+
+
+def state(log: DataFrame, key: str | Sequence[str], at: str = "at", parts: int | None = None) -> DataFrame:
+    """What holds of each key: of every column the last value that an event gave. For ``parts`` see ``together``."""
     keys = [key] if isinstance(key, str) else list(key)
     last = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(at))).alias(c) for c in log.columns if c not in (*keys, at)]
-    return log.groupBy(*keys).agg(*last)
+    return together(log, keys, parts).groupBy(*keys).agg(*last)
 
 
-def needed(log: DataFrame, key: str | Sequence[str], at: str = "at") -> DataFrame:
+def needed(log: DataFrame, key: str | Sequence[str], at: str = "at", parts: int | None = None) -> DataFrame:
     """The events of each key that its state comes from, with the columns that they give it, and its last event."""
     keys = [key] if isinstance(key, str) else list(key)
     facts = [c for c in log.columns if c not in (*keys, at)]
     last = [F.max(F.when(F.col(c).isNotNull(), F.struct(F.col(at).alias("at"), F.col(c).alias("value")))).alias(f"_{i}") for i, c in enumerate(facts)]
-    folded = log.groupBy(*keys).agg(F.max(at).alias("_last"), *last)
+    folded = together(log, keys, parts).groupBy(*keys).agg(F.max(at).alias("_last"), *last)
     times = F.array_distinct(F.array_compact(F.array("_last", *[F.col(f"_{i}.at") for i in range(len(facts))])))
     apart = folded.withColumn(at, F.explode(times))
     return apart.select(*keys, at, *[F.when(F.col(f"_{i}.at") == F.col(at), F.col(f"_{i}.value")).alias(c) for i, c in enumerate(facts)])
@@ -54,15 +66,19 @@ class Log:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(self.path)
 
+    def parts(self) -> int:
+        """Partitions for the keys, by the size of the files."""
+        return 1 + self.store.size(f"log_{self.name}") // PART
+
     def state(self) -> DataFrame:
-        return state(self.events(), self.keys)
+        return state(self.events(), self.keys, parts=self.parts())
 
     def find(self, **key) -> Mapping | None:
         """The state of one key, None if it has no events. The key is pushed down to the files, which skip row groups by it. A file that
         was compacted meanwhile is no error: the log is listed anew."""
         for again in (True, False):
             try:
-                rows = self.state()
+                rows = state(self.events(), self.keys)
                 for column, value in key.items():
                     rows = rows.where(F.col(column) == value)
                 found = rows.first()
@@ -82,7 +98,8 @@ class Log:
         files = self.events().inputFiles()
         if not files:
             return
-        left = needed(self.spark.read.schema(self.schema).parquet(*files), self.keys)
-        left.repartitionByRange(*self.keys).sortWithinPartitions(*self.keys).write.mode("append").parquet(self.path)
+        parts = self.parts()
+        left = needed(self.spark.read.schema(self.schema).parquet(*files), self.keys, parts=parts)
+        self.store.log(self.name, left.repartitionByRange(parts, *self.keys).sortWithinPartitions(*self.keys))
         for file in files:
             self.store.remove(file)

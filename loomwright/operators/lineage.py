@@ -15,6 +15,8 @@ from .schemas import user_column
 
 #: Where a table's columns are kept while it has no rows.
 SHAPE = "_shape"
+#: Rows of a log's file at most. Splits are packed by bytes, with 4 MB for each file: few bytes of a dense log would be very many rows.
+LOG_ROWS = 250_000
 # The largest whole numbers of types.
 LARGEST = {"SMALLINT": 2**15 - 1, "INTEGER": 2**31 - 1, "INT": 2**31 - 1, "BIGINT": 2**63 - 1}
 
@@ -43,8 +45,13 @@ class Store:
         where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.at(name)}/_import_id=*")
         return not where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
 
+    def size(self, name: str) -> int:
+        """Bytes of the files of a table or log, 0 if it isn't there."""
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.at(name))
+        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where).getLength() if self.exists(name) else 0
+
     def log(self, name: str, rows: DataFrame) -> None:
-        rows.write.mode("append").parquet(self.at(f"log_{name}"))
+        rows.write.mode("append").option("maxRecordsPerFile", LOG_ROWS).parquet(self.at(f"log_{name}"))
 
     def logged(self, name: str) -> DataFrame:
         return self.spark.read.option("mergeSchema", True).parquet(self.at(f"log_{name}"))
@@ -144,7 +151,7 @@ class Store:
             fs.delete(aside, True)
 
     def rewrite_log(self, name: str, rows: DataFrame) -> None:
-        rows.write.parquet(draft := f"{self.path}/.draft-{uuid.uuid4().hex}")
+        rows.write.option("maxRecordsPerFile", LOG_ROWS).parquet(draft := f"{self.path}/.draft-{uuid.uuid4().hex}")
         self.swap(draft, self.at(f"log_{name}"))
 
     def delete(self, table: str) -> None:

@@ -8,7 +8,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from loomwright.operators import conversations, history
+from loomwright.operators import conversations, events, history, lineage
 from loomwright.operators.events import Log, needed, state
 from loomwright.operators.lineage import Store
 from loomwright.plans import fallback, guard
@@ -46,6 +46,24 @@ def test_compaction_keeps_the_state(spark, store):
     assert {tuple(r) for r in log.state().collect()} == want and log.find(k="new") == {"k": "new", "a": None, "b": None} and log.find(k="7")["b"] == 5
 
 
+def test_dense_logs_are_sorted_by_parts_of_keys(spark, store, monkeypatch):
+    monkeypatch.setattr(lineage, "LOG_ROWS", 500, raising=False)
+    monkeypatch.setattr(events, "PART", 4096, raising=False)
+    log = Log(store, "x", "k string, n int", "a string, b long")
+    rows = spark.range(5000).select((F.col("id") % 2000).cast("string").alias("k"), (F.col("id") % 2).cast("int").alias("n"), F.col("id").alias("at"), F.when(F.col("id") % 3 == 0, F.concat(F.lit("a"), F.col("id"))).alias("a"), F.col("id").alias("b"))
+    log.extend(rows.coalesce(1))
+    files = lambda: {r[0]: r[1] for r in log.events().groupBy(F.input_file_name()).count().collect()}
+    assert max(files().values()) <= 500 and len(files()) >= 10  # a split of few bytes isn't very many rows
+    got = log.state()
+    plan = got._jdf.queryExecution().sparkPlan().toString() + got._jdf.queryExecution().executedPlan().toString()
+    assert plan.rindex("Exchange hashpartitioning(k") > plan.rindex("Sort [k")  # no split of files is sorted
+    assert got.rdd.getNumPartitions() == log.parts() > 1
+    want = {tuple(r) for r in state(rows, ["k", "n"]).collect()}
+    assert {tuple(r) for r in got.collect()} == want and len(want) == 2000
+    log.compact()
+    assert max(files().values()) <= 500 and {tuple(r) for r in log.state().collect()} == want
+
+
 def test_compaction_that_ends_halfway(spark, store):
     log = Log(store, "x", "k string", "a string")
     log.add({"k": "1", "a": "x"}, {"k": "1", "a": "y"}, {"k": None, "a": "z"})
